@@ -21,7 +21,7 @@ OPEN_BINS, BLOCK_PIECES = 512, 1 << 16
 #: Chunks that are kept with their ids; then the store starts anew.
 CACHED_CHUNKS = 400_000
 #: White space of the tokenizer's pattern (Unicode's White_Space; fixed values).
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 class Ids(dict):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mailspan.llm import packing, quality, sharding
+from mailspan.llm import ann, jaccard, langid, lines, mixing, packing, pii, quality, sharding, warc
 
-MODULES = (sharding, quality, packing)
+MODULES = (sharding, langid, warc, quality, pii, mixing, ann, packing, jaccard, lines)
 
 
 def queries() -> dict:
