@@ -2,10 +2,577 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mailspan.functions import enums, scalars
+from mailspan.operators import arabic, extract, pipeline, reads, resolve, store
+from mailspan.plans import oracle as o
+from mailspan.sources import ingest, views
+
+_FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+SHOWN = ("id", "title", "status", "documentType", "language", "sourceType", "isFavorite", "createdAt")
+_SHOWN = ", ".join(SHOWN)
+NOW = 1_704_200_000_000
+NEEDLE, WILD = "ation", "th_nd%es"
+
+
+def query(sql: str | None = None, *parts: str):
+    def add(f: Callable) -> Callable:
+        _FOUND[f.__name__] = (f, o.sql(sql, *parts) if sql else None)
+        return f
+
+    return add
+
+
+# ── reads ────────────────────────────────────────────────────────────────────────────────────────────────────────────
+
+
+@query(f"SELECT {_SHOWN} FROM d ORDER BY createdAt DESC, id LIMIT 10", o.DOCUMENTS)
+def doc_recent_top10(spark, d):
+    return reads.recent(views.documents(spark, d).select(*SHOWN))
+
+
+@query(f"SELECT {_SHOWN} FROM d WHERE status = 'EXTRACTED'", o.DOCUMENTS)
+def doc_by_status(spark, d):
+    return reads.with_status(views.documents(spark, d), "EXTRACTED").select(*SHOWN)
+
+
+@query(f"SELECT {_SHOWN} FROM d WHERE isFavorite", o.DOCUMENTS)
+def doc_favorites(spark, d):
+    return reads.favourites(views.documents(spark, d)).select(*SHOWN)
+
+
+@query(f"SELECT {_SHOWN} FROM d WHERE id IN (SELECT documentId FROM pg WHERE contains({o.fold('ocrText')}, '{NEEDLE}')) ORDER BY createdAt DESC, id LIMIT 10", o.DOCUMENTS, o.PAGES)
+def doc_search_text(spark, d):
+    return reads.recent(reads.with_text(views.documents(spark, d), views.document_pages(spark, d), NEEDLE).select(*SHOWN))
+
+
+@query(f"SELECT {_SHOWN} FROM d WHERE id IN (SELECT documentId FROM pg WHERE {o.fold('ocrText')} LIKE '%{WILD}%')", o.DOCUMENTS, o.PAGES)
+def doc_search_wildcard(spark, d):
+    return reads.search(views.documents(spark, d), views.document_pages(spark, d), WILD).select(*SHOWN)
+
+
+@query(f"SELECT {_SHOWN} FROM d", o.DOCUMENTS)
+def doc_search_blank(spark, d):
+    return reads.search(views.documents(spark, d), views.document_pages(spark, d), "  ").select(*SHOWN)
+
+
+@query(f"SELECT {_SHOWN} FROM d WHERE id = '7'", o.DOCUMENTS)
+def doc_by_id(spark, d):
+    return reads.by_id(views.documents(spark, d), "7").select(*SHOWN)
+
+
+@query("SELECT (SELECT count(*) FROM d) AS n_documents, (SELECT count(*) FROM pg) AS n_pages, (SELECT count(*) FROM tl) AS n_events", o.DOCUMENTS, o.PAGES, o.TIMELINE)
+def doc_counts(spark, d):
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    one = count(views.documents(spark, d), "n_documents").withColumn("k", F.lit(1))
+    return one.join(count(views.document_pages(spark, d), "n_pages").withColumn("k", F.lit(1)), "k").join(count(views.timeline(spark, d), "n_events").withColumn("k", F.lit(1)), "k").drop("k")
+
+
+@query("SELECT documentId, pageNumber, ocrText, ocrConfidence FROM pg WHERE documentId = '11'", o.PAGES)
+def pages_ordered(spark, d):
+    return reads.of_document(views.document_pages(spark, d), "11").select("documentId", "pageNumber", "ocrText", "ocrConfidence").orderBy("pageNumber")
+
+
+@query("SELECT documentId, string_agg(ocrText, chr(10) || chr(10) ORDER BY pageNumber) AS text FROM pg GROUP BY documentId", o.PAGES)
+def page_text_concat(spark, d):
+    return reads.combined_text(views.document_pages(spark, d))
+
+
+@query("SELECT documentId, count(*) AS n_pages, floor(avg(ocrConfidence::DOUBLE) * 100 + 0.5)::INT || '%' AS confidence FROM pg GROUP BY documentId", o.PAGES)
+def page_mean_confidence(spark, d):
+    return reads.page_confidence(views.document_pages(spark, d))
+
+
+@query("SELECT id, name, city FROM pr", o.PROFILES)
+def profile_list(spark, d):
+    return reads.by_name(views.profiles(spark, d)).select("id", "name", "city")
+
+
+@query("SELECT id, name, city FROM pr WHERE type = 'AUTHORITY'", o.PROFILES)
+def profile_by_type(spark, d):
+    return reads.by_name(views.profiles(spark, d).filter("type = 'AUTHORITY'")).select("id", "name", "city")
+
+
+@query("SELECT id, name FROM pr WHERE name LIKE '%#00000001%'", o.PROFILES)
+def profile_search(spark, d):
+    return reads.search_profiles(views.profiles(spark, d), "#00000001").select("id", "name")
+
+
+@query(f"SELECT id, name FROM pr WHERE {o.fold('name')} LIKE '%customer#_____00_1%' OR (organization IS NOT NULL AND {o.fold('organization')} LIKE '%supplier%')", o.PROFILES)
+def profile_similar(spark, d):
+    return reads.similar_profiles(views.profiles(spark, d), "CUSTOMER#_____00_1", "supplier").select("id", "name")
+
+
+@query("SELECT pr.id, pr.name, ln.role FROM pr JOIN ln ON pr.id = ln.profileId WHERE ln.documentId = '32'", o.PROFILES, o.LINKS)
+def profiles_for_document(spark, d):
+    return reads.profiles_of(views.profiles(spark, d), views.links(spark, d), "32").select("id", "name", "role")
+
+
+@query(
+    """SELECT d.id, coalesce(p.n, 0) AS n_pages, coalesce(e.n, 0) AS n_events, coalesce(e.newest, '') AS newest, coalesce(p.t, '') AS first_page
+    FROM d LEFT JOIN (SELECT documentId, count(*) AS n, min_by(ocrText, pageNumber) AS t FROM pg GROUP BY 1) p ON p.documentId = d.id
+    LEFT JOIN (SELECT documentId, count(*) AS n, arg_max(id, (createdAt, id)) AS newest FROM tl GROUP BY 1) e ON e.documentId = d.id""",
+    o.DOCUMENTS, o.PAGES, o.TIMELINE,
+)
+def doc_detail_bundle(spark, d):
+    pages = views.document_pages(spark, d)
+    fields = extract.fields_long(extract.extract(views.letters(spark, d)), "documentId")
+    got = reads.detail(views.documents(spark, d).select("id"), pages, fields, views.timeline(spark, d))
+    return got.select("id", F.size("pages").cast("long").alias("n_pages"), F.size("events").cast("long").alias("n_events"), F.expr("coalesce(try_element_at(events, 1).id, '')").alias("newest"), F.expr("coalesce(try_element_at(pages, 1).ocrText, '')").alias("first_page"))
+
+
+@query("SELECT * FROM tl WHERE documentId = '21'", o.TIMELINE)
+def timeline_newest_first(spark, d):
+    return reads.newest_first(reads.of_document(views.timeline(spark, d), "21"))
+
+
+@query("SELECT conv_id::VARCHAR AS conversationId, count(*) AS messageCount, max(turn) AS lastMessageAt FROM conversations GROUP BY conv_id")
+def conversation_counts(spark, d):
+    return views.messages(spark, d).groupBy("conversationId").agg(F.count("*").alias("messageCount"), F.max("createdAt").alias("lastMessageAt"))
+
+
+# ── changes ──────────────────────────────────────────────────────────────────────────────────────────────────────────
+
+
+@query(
+    """SELECT id, name FROM pr WHERE type = 'PERSON' AND createdAt % 2 = 1 UNION ALL SELECT id, upper(name) FROM pr WHERE type = 'PERSON' AND createdAt % 2 = 0 UNION ALL SELECT id, name FROM pr WHERE type = 'AUTHORITY'""",
+    o.PROFILES,
+)
+def upsert_replace(spark, d):
+    p = views.profiles(spark, d).select("id", "name", "type", "createdAt")
+    new = p.filter("type = 'AUTHORITY' or createdAt % 2 = 0").withColumn("name", F.when(F.col("type") == "PERSON", F.upper("name")).otherwise(F.col("name")))
+    return store.upsert(p.filter("type = 'PERSON'"), new, "id").select("id", "name")
+
+
+@query("SELECT ln.documentId, ln.profileId, ln.role FROM ln JOIN pr ON pr.id = ln.profileId WHERE NOT (pr.type = 'AUTHORITY' AND pr.createdAt % 2 = 0)", o.LINKS, o.PROFILES)
+def upsert_cascades(spark, d):
+    """Links after half of the authorities were inserted again: a second insert takes the links along."""
+    p = views.profiles(spark, d)
+    tables = {"profiles": p, "document_profile_links": views.links(spark, d)}
+    return store.insert_cascading(tables, "profiles", p.filter("type = 'AUTHORITY' and createdAt % 2 = 0"))["document_profile_links"].select("documentId", "profileId", "role")
+
+
+@query("SELECT id, CASE WHEN createdAt % 2 = 0 THEN upper(name) ELSE name END AS name FROM pr", o.PROFILES)
+def update_rows(spark, d):
+    p = views.profiles(spark, d).select("id", "name", "createdAt")
+    new = p.filter("createdAt % 2 = 0").withColumn("name", F.upper("name"))
+    absent = new.withColumn("id", F.concat(F.lit("none"), "id"))
+    return store.update(p, new.union(absent)).select("id", "name")
+
+
+@query("SELECT id, CASE WHEN id = '1' THEN NOT isFavorite ELSE isFavorite END AS isFavorite FROM d", o.DOCUMENTS)
+def toggle_favorite(spark, d):
+    return store.toggle_favourite(views.documents(spark, d), "1").select("id", "isFavorite")
+
+
+@query(f"SELECT id, CASE WHEN id = '3' THEN 'ARCHIVED' ELSE status END AS status, CASE WHEN id = '3' THEN {NOW} ELSE createdAt END AS modifiedAt FROM d", o.DOCUMENTS)
+def status_update(spark, d):
+    return store.set_status(views.documents(spark, d), "3", "ARCHIVED", NOW).select("id", "status", "modifiedAt")
+
+
+@query(
+    """SELECT 'd' AS t, count(*) AS n FROM d WHERE status <> 'NEW' UNION ALL SELECT 'pg', count(*) FROM pg WHERE documentId NOT IN (SELECT id FROM d WHERE status = 'NEW')
+    UNION ALL SELECT 'tl', count(*) FROM tl WHERE documentId NOT IN (SELECT id FROM d WHERE status = 'NEW')""",
+    o.DOCUMENTS, o.PAGES, o.TIMELINE,
+)
+def cascade_delete(spark, d):
+    docs = views.documents(spark, d)
+    left = store.delete_cascading({"documents": docs, "document_pages": views.document_pages(spark, d), "timeline_events": views.timeline(spark, d)}, "documents", docs.filter("status = 'NEW'"))
+    count = lambda k, name: left[k].agg(F.count("*").alias("n")).select(F.lit(name).alias("t"), "n")
+    return count("documents", "d").union(count("document_pages", "pg")).union(count("timeline_events", "tl"))
+
+
+@query("SELECT documentId, profileId, role FROM ln WHERE NOT (documentId = '32' AND profileId LIKE 'c%')", o.LINKS)
+def unlink_profile(spark, d):
+    links = views.links(spark, d)
+    rows = links.filter("documentId = '32' and profileId like 'c%'")
+    return links.join(rows, ["documentId", "profileId"], "left_anti").select("documentId", "profileId", "role")
+
+
+@query("SELECT id, documentId, eventType FROM tl", o.TIMELINE)
+def append_events(spark, d):
+    e = views.timeline(spark, d)
+    return store.append_events(e.filter("createdAt % 3 <> 0"), e).select("id", "documentId", "eventType")
+
+
+@query(f"SELECT id, CASE WHEN documentType IN {enums.DOCUMENT_TYPE[:4]} THEN documentType END AS lenient, CASE WHEN status IN {enums.DOCUMENT_STATUS[:3]} THEN status ELSE 'NEW' END AS defaulted FROM d", o.DOCUMENTS)
+def enum_parsing(spark, d):
+    docs = views.documents(spark, d)
+    checked = docs.withColumn("status", enums.strict(F.col("status"), enums.DOCUMENT_STATUS))
+    return checked.select("id", enums.or_null(F.col("documentType"), enums.DOCUMENT_TYPE[:4]).alias("lenient"), enums.or_default(F.col("status"), enums.DOCUMENT_STATUS[:3], "NEW").alias("defaulted"))
+
+
+# ── extraction, on letters whose contents are known from the source columns ──────────────────────────────────────────
+
+_MARKS = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+_HITS = lambda words: f"len(list_filter(w, lambda x: list_contains({_MARKS(words)}, x)))"
+
+
+@query(
+    f"""SELECT documentId, CASE WHEN de > en AND de >= 3 THEN 'de' WHEN en > de AND en >= 3 THEN 'en' ELSE 'de' END AS lang
+    FROM (SELECT documentId, {_HITS(extract.GERMAN)} AS de, {_HITS(extract.ENGLISH)} AS en FROM (SELECT doc_id::VARCHAR AS documentId, regexp_split_to_array(lower(text), '\\s+') AS w FROM documents))"""
+)
+def lang_detect(spark, d):
+    return views.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("documentId"), extract.language("text").alias("lang"))
+
+
+@query("SELECT documentId, 4 AS n_letterhead, 3 AS n_address, 3 AS n_metadata, 3 AS n_body, 8 AS n_footer FROM lt", o.LETTERS)
+def zone_counts(spark, d):
+    z = extract.zones(views.letters(spark, d))
+    return z.select("documentId", *[F.size(c).alias(f"n_{c}") for c in ("letterhead", "address", "metadata", "body", "footer")])
+
+
+def _letters(spark: SparkSession, d: str) -> DataFrame:
+    return extract.extract(views.letters(spark, d))
+
+
+@query("SELECT documentId, 'kontakt' || o_custkey || '@example.com' AS email FROM lt", o.LETTERS)
+def extract_emails(spark, d):
+    return views.letters(spark, d).select("documentId", F.explode(extract.emails()).alias("email"))
+
+
+@query("SELECT documentId, '089 ' || lpad(o_orderkey::VARCHAR, 7, '0') AS phone FROM lt", o.LETTERS)
+def extract_phones(spark, d):
+    return views.letters(spark, d).select("documentId", F.explode(extract.phones()).alias("phone"))
+
+
+@query("SELECT documentId, 'DE89370400440532' || lpad((o_orderkey % 10000)::VARCHAR, 4, '0') || '00' AS iban FROM lt WHERE k < 2", o.LETTERS)
+def extract_ibans(spark, d):
+    return views.letters(spark, d).select("documentId", F.explode(extract.ibans()).alias("iban"))
+
+
+@query("SELECT documentId, amount || ' €' AS amount FROM lt", o.LETTERS)
+def extract_amounts(spark, d):
+    return views.letters(spark, d).select("documentId", F.explode(extract.amounts()).alias("amount"))
+
+
+@query("SELECT documentId, due AS deadline FROM lt", o.LETTERS)
+def extract_deadlines(spark, d):
+    return views.letters(spark, d).select("documentId", F.explode(extract.deadlines()).alias("deadline"))
+
+
+@query("SELECT documentId, CASE WHEN k < 2 THEN 'Invoice Number' ELSE 'Customer Number' END AS label, CASE WHEN k < 2 THEN 'R-' || lpad(o_orderkey::VARCHAR, 6, '0') ELSE 'K-' || lpad(o_custkey::VARCHAR, 6, '0') END AS value FROM lt", o.LETTERS)
+def extract_refs(spark, d):
+    return views.letters(spark, d).select("documentId", F.explode(extract.references()).alias("r")).select("documentId", "r.label", "r.value")
+
+
+@query("SELECT documentId, sent AS date FROM lt", o.LETTERS)
+def extract_date(spark, d):
+    return _letters(spark, d).select("documentId", "date")
+
+
+@query("SELECT documentId, subject FROM lt", o.LETTERS)
+def extract_subject(spark, d):
+    return _letters(spark, d).select("documentId", "subject")
+
+
+@query("SELECT documentId, 'Kunde ' || translate(o_custkey::VARCHAR, '0123456789', 'abcdefghij') AS name, 'Weg ' || (o_custkey % 90 + 1) AS street, '1' || lpad((o_custkey % 10000)::VARCHAR, 4, '0') AS postalCode, n_name AS city FROM lt", o.LETTERS)
+def receiver_contact(spark, d):
+    return _letters(spark, d).select("documentId", "receiver.name", "receiver.street", "receiver.postalCode", "receiver.city")
+
+
+@query("SELECT documentId, 'Stadtwerke Musterstadt GmbH' AS organization, 'Hauptstraße 12' AS street, '089 ' || lpad(o_orderkey::VARCHAR, 7, '0') AS phone, 'kontakt' || o_custkey || '@example.com' AS email FROM lt", o.LETTERS)
+def sender_contact(spark, d):
+    return _letters(spark, d).select("documentId", "sender.organization", "sender.street", "sender.phone", "sender.email")
+
+
+_PREVIEW = "'Sehr geehrte Damen und Herren, bitte zahlen Sie EUR ' || amount || ' bis zum ' || due || ' ' || CASE WHEN k < 2 THEN 'IBAN DE89 3704 0044 0532 ' || lpad((o_orderkey % 10000)::VARCHAR, 4, '0') || ' 00' ELSE 'Vielen Dank im Voraus' END"
+
+
+@query(f"SELECT documentId, {_PREVIEW} AS preview FROM lt", o.LETTERS)
+def body_preview(spark, d):
+    return extract.zones(views.letters(spark, d)).select("documentId", extract.preview().alias("preview"))
+
+
+_TYPE = "['INVOICE', 'INVOICE', 'NOTICE', 'FORM', 'CONTRACT', 'CERTIFICATE'][k + 1]"
+
+
+@query(f"SELECT documentId, {_TYPE} AS documentType FROM lt", o.LETTERS)
+def doc_type(spark, d):
+    return _letters(spark, d).select("documentId", "documentType")
+
+
+_FIELD_SQL = f"""SELECT documentId, f.seq::INT AS seq, f.name AS fieldName, f.value AS fieldValue, f.kind AS fieldType, f.conf::FLOAT AS confidence FROM (
+  SELECT documentId, unnest(list_transform(list_filter(x, lambda e: e.value IS NOT NULL), lambda e, i: {{'seq': i - 1, 'name': e.name, 'value': e.value, 'kind': e.kind, 'conf': e.conf}})) AS f FROM (
+    SELECT documentId, [
+      {{'name': 'Sender Organization', 'value': 'Stadtwerke Musterstadt GmbH', 'kind': 'ORGANIZATION', 'conf': 0.8}},
+      {{'name': 'Sender Address', 'value': 'Hauptstraße 12', 'kind': 'ADDRESS', 'conf': 0.75}},
+      {{'name': 'Sender Phone', 'value': '089 ' || lpad(o_orderkey::VARCHAR, 7, '0'), 'kind': 'PHONE', 'conf': 0.85}},
+      {{'name': 'Sender Email', 'value': 'kontakt' || o_custkey || '@example.com', 'kind': 'EMAIL', 'conf': 0.95}},
+      {{'name': 'Receiver Name', 'value': 'Kunde ' || translate(o_custkey::VARCHAR, '0123456789', 'abcdefghij'), 'kind': 'PERSON_NAME', 'conf': 0.8}},
+      {{'name': 'Receiver Address', 'value': 'Weg ' || (o_custkey % 90 + 1) || ', 1' || lpad((o_custkey % 10000)::VARCHAR, 4, '0') || ' ' || n_name, 'kind': 'ADDRESS', 'conf': 0.7}},
+      {{'name': 'Document Date', 'value': sent, 'kind': 'DATE', 'conf': 0.9}}, {{'name': 'Subject', 'value': subject, 'kind': 'SUBJECT', 'conf': 0.9}},
+      {{'name': CASE WHEN k < 2 THEN 'Invoice Number' ELSE 'Customer Number' END, 'value': CASE WHEN k < 2 THEN 'R-' || lpad(o_orderkey::VARCHAR, 6, '0') ELSE 'K-' || lpad(o_custkey::VARCHAR, 6, '0') END, 'kind': 'REFERENCE_NUMBER', 'conf': 0.8}},
+      {{'name': 'IBAN', 'value': CASE WHEN k < 2 THEN 'DE89370400440532' || lpad((o_orderkey % 10000)::VARCHAR, 4, '0') || '00' END, 'kind': 'IBAN', 'conf': 0.92}},
+      {{'name': 'Amount', 'value': amount || ' €', 'kind': 'OTHER', 'conf': 0.8}}, {{'name': 'Deadline', 'value': due, 'kind': 'DEADLINE', 'conf': 0.8}},
+      {{'name': 'Content Preview', 'value': {_PREVIEW}, 'kind': 'TEXT', 'conf': 0.7}}] AS x FROM lt))"""
+
+
+@query(_FIELD_SQL, o.LETTERS)
+def fields_long(spark, d):
+    return extract.fields_long(_letters(spark, d), "documentId")
+
+
+@query(
+    f"""SELECT section, fieldName, count(*) AS n FROM (SELECT *, unnest([CASE WHEN fieldName LIKE 'Sender%' THEN 'sender' END, CASE WHEN fieldName LIKE 'Receiver%' THEN 'receiver' END,
+      CASE WHEN fieldType IN ('DATE', 'SUBJECT', 'REFERENCE_NUMBER', 'DEADLINE') THEN 'metadata' END, CASE WHEN fieldType = 'IBAN' OR fieldName = 'Amount' THEN 'financial' END,
+      CASE WHEN fieldType IN ('EMAIL', 'PHONE') AND fieldName NOT LIKE 'Sender%' AND fieldName NOT LIKE 'Receiver%' THEN 'contact' END, CASE WHEN fieldType = 'TEXT' THEN 'content' END]) AS section FROM ({_FIELD_SQL}))
+    WHERE section IS NOT NULL GROUP BY ALL""",
+    o.LETTERS,
+)
+def field_sections(spark, d):
+    return reads.field_sections(fields_long(spark, d)).groupBy("section", "fieldName").agg(F.count("*").alias("n"))
+
+
+def _pending(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Letters as two pages each, and the documents they belong to; every tenth document has no page."""
+    text = views.letters(spark, d).withColumn("l", F.split("text", "\n"))
+    docs = text.select(F.col("documentId").alias("id"), F.expr("concat(if(cast(documentId as bigint) % 2 = 0, 'Scan ', 'Letter '), documentId)").alias("title"), F.lit("PROCESSING").alias("status"), F.lit(None).cast("string").alias("documentType"), F.lit("xx").alias("language"), F.lit(0).cast("long").alias("modifiedAt"))
+    pages = text.filter("cast(documentId as bigint) % 10 <> 0").select("documentId", F.posexplode(F.array(F.array_join(F.slice("l", 1, 11), "\n"), F.array_join(F.slice("l", 12, 11), "\n"))).alias("p", "ocrText"))
+    return docs, pages.select("documentId", (F.col("p") + 1).alias("pageNumber"), "ocrText", F.lit(0.925).cast("double").alias("ocrConfidence"))
+
+
+@query(f"SELECT documentId AS id, CASE WHEN o_orderkey % 2 = 0 THEN subject ELSE 'Letter ' || documentId END AS title, 'EXTRACTED' AS status, {_TYPE} AS documentType, 'de' AS language, {NOW} AS modifiedAt FROM lt WHERE o_orderkey % 10 <> 0", o.LETTERS)
+def pipeline_doc_patch(spark, d):
+    return pipeline.process(*_pending(spark, d), NOW).documents
+
+
+@query(
+    f"""SELECT documentId, 'TEXT_EXTRACTED' AS eventType, 'Text extracted from 2 page(s)' AS title, 'Average confidence: 93%' AS description, {NOW} AS createdAt FROM lt WHERE o_orderkey % 10 <> 0
+    UNION ALL SELECT documentId, 'ENTITIES_EXTRACTED', 'Extracted ' || CASE WHEN k < 2 THEN 13 ELSE 12 END || ' field(s)', 'Sender Organization, Sender Address, Sender Phone, Sender Email, Receiver Name, Receiver Address, Document Date, Subject, ' || CASE WHEN k < 2 THEN 'Invoice Number, IBAN' ELSE 'Customer Number' END || ', Amount, Deadline, Content Preview', {NOW} + 1 FROM lt WHERE o_orderkey % 10 <> 0""",
+    o.LETTERS,
+)
+def pipeline_events(spark, d):
+    return pipeline.process(*_pending(spark, d), NOW).events.drop("id")
+
+
+@query("SELECT documentId, 'OcrFailed' AS error FROM lt WHERE o_orderkey % 10 = 0", o.LETTERS)
+def pipeline_failures(spark, d):
+    return pipeline.process(*_pending(spark, d), NOW).failures
+
+
+# ── resolution: each order's parties against all profiles ────────────────────────────────────────────────────────────
+
+_PARTIES = """pa AS (
+  SELECT o_orderkey::VARCHAR AS documentId, 'RECEIVER' AS role, CASE WHEN o_orderkey % 3 = 0 THEN upper(c_name) ELSE substr(c_name, 1, 17) END AS name, NULL::VARCHAR AS organization,
+    CASE WHEN o_orderkey % 2 = 0 THEN 'c' || c_custkey || '@example.com' END AS email, '030 ' || c_custkey AS phone, 'Weg 1' AS address FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 20 = 0
+  UNION ALL SELECT s_suppkey::VARCHAR, 'SENDER', NULL, CASE WHEN s_suppkey % 5 = 0 THEN 'Nobody ' || s_suppkey ELSE ' ' || lower(s_name) || ' ' END, NULL, NULL, NULL FROM supplier WHERE s_suppkey % 5 <> 1
+  UNION ALL SELECT s_suppkey::VARCHAR, 'SENDER', NULL, substr(s_name, 1, 16), NULL, NULL, NULL FROM supplier WHERE s_suppkey % 5 = 1)"""
+
+
+def _parties(spark: SparkSession, d: str) -> DataFrame:
+    """Parties with exact, partial, padded and unknown names."""
+    c, s = views.table(spark, d, "customer").select("c_custkey", "c_name"), views.table(spark, d, "supplier")
+    orders = views.table(spark, d, "orders").select("o_orderkey", "o_custkey").filter("o_orderkey % 20 = 0").join(c, F.col("o_custkey") == c["c_custkey"])
+    none = F.lit(None).cast("string")
+    a = orders.select(F.col("o_orderkey").cast("string").alias("documentId"), F.lit("RECEIVER").alias("role"), F.expr("if(o_orderkey % 3 = 0, upper(c_name), substr(c_name, 1, 17))").alias("name"), none.alias("organization"), F.expr("if(o_orderkey % 2 = 0, concat('c', c_custkey, '@example.com'), null)").alias("email"), F.expr("concat('030 ', c_custkey)").alias("phone"), F.lit("Weg 1").alias("address"))
+    b = s.select(F.col("s_suppkey").cast("string").alias("documentId"), F.lit("SENDER").alias("role"), none.alias("name"), F.expr("case when s_suppkey % 5 = 0 then concat('Nobody ', s_suppkey) when s_suppkey % 5 = 1 then substr(s_name, 1, 16) else concat(' ', lower(s_name), ' ') end").alias("organization"), none.alias("email"), none.alias("phone"), none.alias("address"))
+    return a.union(b)
+
+
+_NEEDLE = f"{o.fold('coalesce(pa.organization, pa.name)')}"
+_CANDIDATES = f"""ca AS (
+  SELECT pa.documentId, pa.role, pr.id, pr.createdAt, pa.organization AS so, pa.name AS sn, pa.email AS se, pr.organization AS po, pr.name AS pn, pr.email AS pe FROM pa JOIN pr
+  ON {o.fold("pr.name")} LIKE '%' || {_NEEDLE} || '%' OR (pa.organization IS NOT NULL AND {o.fold("pr.organization")} LIKE '%' || {o.fold("pa.organization")} || '%'))"""
+_AGREE = lambda p, s, part: f"CASE WHEN trim(lower({p})) = trim(lower({s})) THEN 1.0::FLOAT WHEN contains(lower({p}), lower({s})) OR contains(lower({s}), lower({p})) THEN {part}::FLOAT ELSE 0.0::FLOAT END"
+_CONFIDENCE = f"""(coalesce((CASE WHEN so IS NOT NULL AND po IS NOT NULL THEN {_AGREE("po", "so", 0.8)} ELSE 0.0 END + CASE WHEN sn IS NOT NULL THEN {_AGREE("pn", "sn", 0.7)} ELSE 0.0 END + CASE WHEN se IS NOT NULL AND pe IS NOT NULL THEN CASE WHEN lower(se) = lower(pe) THEN 1.0 ELSE 0.0 END ELSE 0.0 END)::FLOAT
+  / nullif((so IS NOT NULL AND po IS NOT NULL)::INT + (sn IS NOT NULL)::INT + (se IS NOT NULL AND pe IS NOT NULL)::INT, 0), 0))::FLOAT"""
+_FIRST = f"fi AS (SELECT documentId, role, id AS profileId, {_CONFIDENCE} AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY documentId, role ORDER BY createdAt, id) AS r FROM ca) WHERE r = 1)"
+_SUGGESTED = "su AS (SELECT pa.*, fi.profileId, coalesce(fi.confidence, 0)::FLOAT AS confidence, CASE WHEN fi.profileId IS NULL THEN 'NEW_PROFILE' WHEN fi.confidence >= 0.95::FLOAT THEN 'EXACT_MATCH' ELSE 'POSSIBLE_MATCH' END AS matchType FROM pa LEFT JOIN fi USING (documentId, role))"
+_RESOLVED = (_PARTIES, o.PROFILES, _CANDIDATES, _FIRST, _SUGGESTED)
+
+
+@query("SELECT documentId, role, id AS profileId FROM ca", _PARTIES, o.PROFILES, _CANDIDATES)
+def match_candidates(spark, d):
+    return resolve.candidates(_parties(spark, d), views.profiles(spark, d)).select("s.documentId", "s.role", F.col("p.id").alias("profileId"))
+
+
+@query("SELECT documentId, role, id AS profileId FROM ca", _PARTIES, o.PROFILES, _CANDIDATES)
+def match_candidates_blocked(spark, d):
+    """The same by trigrams, as for profiles that are too many to broadcast."""
+    return resolve.candidates(_parties(spark, d), views.profiles(spark, d), broadcast_profiles=0).select("s.documentId", "s.role", F.col("p.id").alias("profileId"))
+
+
+@query("SELECT documentId, role, profileId FROM fi", _PARTIES, o.PROFILES, _CANDIDATES, _FIRST)
+def match_first(spark, d):
+    return resolve.suggestions(_parties(spark, d), views.profiles(spark, d)).filter("profileId is not null").select("documentId", "role", "profileId")
+
+
+@query(f"SELECT documentId, role, id AS profileId, {_CONFIDENCE} AS confidence FROM ca", _PARTIES, o.PROFILES, _CANDIDATES)
+def match_confidence(spark, d):
+    return resolve.rank_by_confidence(resolve.candidates(_parties(spark, d), views.profiles(spark, d))).drop("rank")
+
+
+@query("SELECT documentId, role, profileId, confidence, matchType FROM su", *_RESOLVED)
+def match_type(spark, d):
+    return resolve.suggestions(_parties(spark, d), views.profiles(spark, d)).select("documentId", "role", "profileId", "confidence", "matchType")
+
+
+@query("SELECT documentId, profileId, role FROM su WHERE matchType = 'EXACT_MATCH'", *_RESOLVED)
+def match_auto_links(spark, d):
+    return resolve.auto_links(resolve.suggestions(_parties(spark, d), views.profiles(spark, d)), NOW).drop("createdAt")
+
+
+@query(
+    """SELECT pr.id, coalesce(pr.phone, f.phone) AS phone, coalesce(pr.email, f.email) AS email FROM pr LEFT JOIN (
+      SELECT profileId, arg_min(phone, (documentId, role)) FILTER (WHERE phone IS NOT NULL) AS phone, arg_min(email, (documentId, role)) FILTER (WHERE email IS NOT NULL) AS email FROM su WHERE profileId IS NOT NULL GROUP BY profileId) f ON f.profileId = pr.id""",
+    *_RESOLVED,
+)
+def link_merge(spark, d):
+    p = views.profiles(spark, d)
+    return resolve.filled_profiles(p, resolve.suggestions(_parties(spark, d), p), NOW).select("id", "phone", "email")
+
+
+@query("SELECT documentId, role, CASE WHEN organization IS NOT NULL THEN 'AUTHORITY' ELSE 'PERSON' END AS type, coalesce(organization, name, 'Unknown') AS name FROM su WHERE matchType = 'NEW_PROFILE'", *_RESOLVED)
+def match_new_profiles(spark, d):
+    return resolve.created_profiles(resolve.suggestions(_parties(spark, d), views.profiles(spark, d)), NOW).select("documentId", "role", "type", "name")
+
+
+@query(
+    "SELECT documentId, 'SENDER' AS role, NULL::VARCHAR AS name, 'Stadtwerke Musterstadt GmbH' AS organization, 'kontakt' || o_custkey || '@example.com' AS email FROM lt UNION ALL SELECT documentId, 'RECEIVER', 'Kunde ' || translate(o_custkey::VARCHAR, '0123456789', 'abcdefghij'), NULL, NULL FROM lt",
+    o.LETTERS,
+)
+def match_parties(spark, d):
+    return resolve.parties(fields_long(spark, d)).select("documentId", "role", "name", "organization", "email")
+
+
+# ── Arabic: sentences of known words, chosen by order keys ───────────────────────────────────────────────────────────
+
+_VOCABULARY = "كتب الطالب الدرس في المدرسة المعلمون إلى البيت جديدة كتاب قال يذهب هذا و الولد كبير قد مدينة لن 12".split()
+
+
+def _sentences(spark: SparkSession, d: str) -> DataFrame:
+    pick = lambda i: f"element_at(w, cast((o_orderkey * {2 * i + 1} + {i * i}) % {len(_VOCABULARY)} as int) + 1)"
+    words = "array(" + ", ".join(f"'{w}'" for w in _VOCABULARY) + ")"
+    return views.table(spark, d, "orders").select("o_orderkey", F.expr(words).alias("w")).select(F.col("o_orderkey").alias("sentence_id"), F.expr(f"concat_ws(' ', {', '.join(pick(i) for i in range(5))})").alias("text"))
+
+
+def _predictions(spark: SparkSession, d: str) -> DataFrame:
+    return arabic.tokens(_sentences(spark, d)).select("sentence_id", "token_idx", F.lit(0).cast("long").alias("head"), F.expr("(sentence_id + token_idx * 7) % 34").alias("rel"), F.expr("(sentence_id + token_idx) % 6").alias("case"))
+
+
+_SENT_SQL = "sn AS (SELECT o_orderkey AS sentence_id, i, ['" + "', '".join(_VOCABULARY) + f"'][((o_orderkey * (2 * (i - 1) + 1) + (i - 1) * (i - 1)) % {len(_VOCABULARY)}) + 1] AS word FROM orders, (SELECT unnest(range(1, 6)) AS i))"
+
+
+@query("SELECT sentence_id, 0::INT AS token_idx, '<ROOT>' AS word FROM (SELECT DISTINCT sentence_id FROM sn) UNION ALL SELECT sentence_id, i::INT, word FROM sn", _SENT_SQL)
+def arabic_tokens(spark, d):
+    return arabic.tokens(_sentences(spark, d))
+
+
+_HASH = lambda w, n: f"(abs((('0x' || substr(md5({w}), 1, 16))::UBIGINT::HUGEINT + CASE WHEN ('0x' || substr(md5({w}), 1, 16))::UBIGINT::HUGEINT >= 9223372036854775808 THEN -18446744073709551616 ELSE 0 END)) % {n})::BIGINT"
+
+
+@query(
+    f"""SELECT sentence_id, i::INT AS token_idx, greatest(1, list_reduce(list_prepend(0, list_transform(string_split(word, ''), lambda c: unicode(c))), lambda h, c: (h * 31 + c) % 8192))::BIGINT AS word_id,
+    {_HASH("word", 200)} AS pattern_id, {_HASH("word", 8000)} AS bpe_id, greatest(1, unicode(word) % 300)::BIGINT AS char_id, (unicode(word) % 20)::BIGINT AS diac_id FROM sn""",
+    _SENT_SQL,
+)
+def arabic_hash_ids(spark, d):
+    f = arabic.features(arabic.tokens(_sentences(spark, d))).filter("token_idx > 0")
+    return f.select("sentence_id", "token_idx", "word_id", "pattern_id", F.col("bpe_ids")[0].alias("bpe_id"), F.col("char_ids")[0].alias("char_id"), F.col("diac_ids")[0].alias("diac_id"))
+
+
+_ROOTS = {"كتب": "تب", "الطالب": "طلب", "المدرسة": "مدر", "في": "ف"}
+
+
+@query("SELECT DISTINCT word, CASE word " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _ROOTS.items()) + " END AS root FROM sn WHERE word IN ('" + "', '".join(_ROOTS) + "')", _SENT_SQL)
+def arabic_root(spark, d):
+    words = arabic.tokens(_sentences(spark, d)).filter(F.col("word").isin(*_ROOTS)).select("word").distinct()
+    return arabic.with_root(words)
+
+
+_POS = "CASE WHEN word IN ('" + "','".join(arabic.PREPOSITIONS) + "') THEN 5 WHEN word IN ('" + "','".join(arabic.CONJUNCTIONS) + "') THEN 6 WHEN word IN ('" + "','".join(arabic.TAGGED_PARTICLES) + "') THEN 8 WHEN word IN ('" + "','".join(arabic.PRONOUNS) + "') THEN 10 ELSE 1 END"
+
+
+@query(f"SELECT sentence_id, i::INT AS token_idx, ({_POS})::INT AS pos_tag FROM sn", _SENT_SQL)
+def arabic_pos(spark, d):
+    return arabic.tokens(_sentences(spark, d)).filter("token_idx > 0").select("sentence_id", "token_idx", F.expr(arabic.guessed_pos()).alias("pos_tag"))
+
+
+@query(
+    "SELECT sentence_id, i::INT AS token_idx, coalesce(['" + "', '".join(arabic.RELATIONS) + "'][((sentence_id + i * 7) % 34 + 1)::INT], 'dep') AS relation, CASE (sentence_id + i) % 6 WHEN 1 THEN 'Nom' WHEN 2 THEN 'Acc' WHEN 3 THEN 'Gen' WHEN 4 THEN 'Jus' END AS case_name FROM sn",
+    _SENT_SQL,
+)
+def arabic_case(spark, d):
+    return arabic.diacritized(arabic.tokens(_sentences(spark, d)), _predictions(spark, d)).filter("token_idx > 0").select("sentence_id", "token_idx", "relation", "case_name")
+
+
+@query(None)
+def arabic_diacritize(spark, d):
+    nodes = arabic.diacritized(arabic.tokens(_sentences(spark, d)), _predictions(spark, d))
+    return nodes.select("sentence_id", "token_idx", "word", "diacritized", "pos", "case_diacritic", "source", arabic.case_label().alias("case_label"), arabic.relation_label().alias("relation_label"))
+
+
+@query(None)
+def arabic_sentences(spark, d):
+    return arabic.sentences_of(arabic.diacritized(arabic.tokens(_sentences(spark, d)), _predictions(spark, d)))
+
+
+# ── scalars and ingest ───────────────────────────────────────────────────────────────────────────────────────────────
+
+_INTENT = "CASE " + " ".join(f"WHEN {' OR '.join(f"contains(lower(text), '{w}')" for w in words)} THEN '{name}'" for name, words in scalars.CHAT_INTENTS) + " ELSE 'help' END"
+
+
+@query(f"SELECT conv_id, turn, {_INTENT} AS intent FROM conversations")
+def chat_intent(spark, d):
+    return views.table(spark, d, "conversations").select("conv_id", "turn", scalars.chat_intent(F.col("text")).alias("intent"))
+
+
+_AGO = f"({NOW} - createdAt)"
+
+
+@query(
+    f"SELECT id, CASE WHEN {_AGO} < 60000 THEN 'Just now' WHEN {_AGO} < 3600000 THEN ({_AGO} // 60000) || ' min ago' WHEN {_AGO} < 86400000 THEN ({_AGO} // 3600000) || 'h ago' WHEN {_AGO} < 604800000 THEN ({_AGO} // 86400000) || 'd ago' ELSE strftime(make_timestamp(createdAt * 1000), '%d.%m.%Y') END AS ago FROM tl WHERE createdAt <= {NOW}",
+    o.TIMELINE,
+)
+def relative_time(spark, d):
+    return views.timeline(spark, d).filter(F.col("createdAt") <= NOW).select("id", scalars.relative_time(F.col("createdAt"), F.lit(NOW)).alias("ago"))
+
+
+@query("SELECT p_partkey, 'PAM_' || substr(regexp_replace(p_name || ' (' || p_type || ') für ' || p_brand, '[^a-zA-Z0-9_-]', '_', 'g'), 1, 50) || '.pdf' AS name FROM part")
+def pdf_filename(spark, d):
+    return views.table(spark, d, "part").select("p_partkey", scalars.pdf_file_name(F.expr("concat(p_name, ' (', p_type, ') für ', p_brand)")).alias("name"))
+
+
+@query("SELECT id, CASE type WHEN 'PERSON' THEN 'Person' ELSE 'Authority' END || coalesce(' · ' || organization, '') AS subtitle, upper(substr(name, 1, 2)) AS initials FROM pr", o.PROFILES)
+def profile_labels(spark, d):
+    return views.profiles(spark, d).select("id", scalars.profile_subtitle(F.col("type"), F.col("organization")).alias("subtitle"), scalars.initials(F.col("name"), 2).alias("initials"))
+
+
+@query(
+    "SELECT id, upper(status[1]) || lower(status[2:]) AS label, CASE language WHEN 'de' THEN '🇩🇪 German' WHEN 'en' THEN '🇬🇧 English' WHEN 'ar' THEN '🇸🇦 Arabic' ELSE '🌐 ' || coalesce(language, 'Unknown') END AS language FROM d",
+    o.DOCUMENTS,
+)
+def document_labels(spark, d):
+    return views.documents(spark, d).select("id", scalars.enum_label(F.col("status")).alias("label"), scalars.language_label(F.col("language")).alias("language"))
+
+
+@query(None)
+def prompt_text(spark, d):
+    """The context of a chat about a document: its type, fields, parties and text."""
+    from mailspan.operators.prompt import document_prompts
+
+    letters = views.letters(spark, d)
+    extracted = extract.extract(letters)
+    docs = extracted.select(F.col("documentId").alias("id"), F.concat(F.lit("Letter "), "documentId").alias("title"), "documentType", F.col("lang").alias("language"))
+    pages = letters.select("documentId", F.lit(1).alias("pageNumber"), F.col("text").alias("ocrText"))
+    linked = views.links(spark, d).join(views.profiles(spark, d).select(F.col("id").alias("profileId"), "name", "type", "organization", F.lit(None).cast("string").alias("reference")), "profileId")
+    return document_prompts(docs, pages, extract.fields_long(extracted, "documentId"), linked)
+
+
+@query("SELECT user_id::VARCHAR AS documentId, (least(count(*), 10))::INT AS pageCount FROM events GROUP BY user_id")
+def scan_pages(spark, d):
+    scans = views.table(spark, d, "events").groupBy("user_id").agg(F.collect_list(F.concat(F.lit("page://"), "event_id")).alias("uris")).select(F.col("user_id").cast("string").alias("id"), "uris")
+    return ingest.scanned_pages(scans).groupBy("documentId").agg(F.max("pageCount").alias("pageCount"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for k, (f, _) in _FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for k, (_, s) in _FOUND.items() if s}
