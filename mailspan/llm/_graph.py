@@ -14,8 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round every node takes the smallest label around it and then its label's label, so that the number of rounds
     grows with the logarithm of the longest path. Rounds are written to the shared folder; only a count reaches the driver.
     """
-    both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct()
-    both = written(both, "edges")
+    ways = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    both = written(edges.filter("src <> dst").select(ways.alias("e")).select("e.src", "e.dst").distinct(), "edges")
     labels = written(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
     while True:
         near = both.join(labels, both["dst"] == labels["node"]).groupBy("src").agg(F.min("component").alias("near"))

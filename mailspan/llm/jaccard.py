@@ -25,9 +25,9 @@ from mailspan.llm._graph import components
 
 SHINGLE = 5
 #: Linked: 7 * common >= 3 * (a + b), which is 100 * common >= 75 * union.
-ENTRIES_A_BUCKET, CHUNK = 2_000_000, 2048
+ENTRIES_A_BUCKET, CHUNK, MEMBERS_A_TASK = 2_000_000, 2048, 50_000
 #: Shingles in this share of a bounded sample of sets are too common to tell sets apart; parts leave them out.
-COMMON_SHARE, SAMPLE_SETS, MOST_COMMON = 0.005, 20_000, 65_536
+COMMON_SHARE, SAMPLE_SETS, MOST_COMMON = 0.0005, 20_000, 262_144
 _BLOCK = 1 << 20
 
 _U = np.uint64
@@ -123,9 +123,9 @@ def bound(a: int, b: int) -> int:
 
 
 def parts_of(low: int, high: int) -> tuple[int, int]:
-    """For a band of sizes from `low` to `high`: the number of parts, and how many empty ones a set may have before it has
-    to show these too. Linked sets disagree in at most D parts, so they agree in more than parts - 1 - D; those cannot all
-    be empty unless both sets have more empty parts than that."""
+    """For a band of sizes from `low` to `high`: the number of parts, and how many empty ones a set may have before it needs
+    one more key, which all such sets of the band share. Linked sets disagree in at most D parts, so they agree in more than
+    parts - 1 - D; those cannot all be empty unless both sets have more empty parts than that."""
     d = bound(high, 4 * high // 3)
     spare = 0
     while spare < 2 * d + 2:
@@ -151,10 +151,10 @@ def part_keys(s: np.ndarray, band: int, starts: list[int], common: np.ndarray) -
         part, h = part[order], h[order]
         first = np.flatnonzero(np.diff(part, prepend=_U(n_parts))) if len(part) else np.zeros(0, np.int64)
         shown, prints = part[first], np.bitwise_xor.reduceat(h, first) if len(first) else np.zeros(0, np.uint64)
-        if n_parts - len(first) > spare:  # rare: it shows its empty parts, too
-            none = np.setdiff1d(np.arange(n_parts, dtype=np.uint64), shown)
-            shown, prints = np.concatenate((shown, none)), np.concatenate((prints, np.zeros(len(none), np.uint64)))
-        return _mixed(_mixed(prints + salt) + shown * _MIX[0])
+        keys = _mixed(_mixed(prints + salt) + shown * _MIX[0])
+        if n_parts - len(first) > spare:  # rare: it may agree with a set in nothing but empty parts, and then that has as many
+            keys = np.append(keys, _mixed(np.array([salt ^ _MIX[1]])))
+        return keys
 
 
 def keys_of(s: np.ndarray, starts: list[int], common: np.ndarray) -> np.ndarray:
@@ -229,13 +229,13 @@ def _common(df: DataFrame, rows: int) -> np.ndarray:
     sample = df.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20) + 1)).select("text").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [s.view(np.int64) for s in shingle_sets(batch.column(0).to_pylist())]
+        sets = [s.view(np.int64) for batch in batches for s in shingle_sets(batch.column(0).to_pylist())]
+        if sets:
             found, n = np.unique(np.concatenate(sets), return_counts=True)
-            # what is in one text of a batch alone is left out, so that common ones are all that is shuffled
+            # what is in one text of a task alone is left out, so that common ones are all that is shuffled
             yield pa.RecordBatch.from_arrays([pa.array(found[n > 1]), pa.array(n[n > 1])], ["s", "n"])
 
-    got = sample.mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(8, COMMON_SHARE * share * rows)).orderBy(F.desc("n"), "s").limit(MOST_COMMON).select("s").toPandas()["s"]
+    got = sample.mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(4, COMMON_SHARE * share * rows)).orderBy(F.desc("n"), "s").limit(MOST_COMMON).select("s").toPandas()["s"]
     return np.sort(got.to_numpy(np.int64).view(np.uint64))
 
 
@@ -341,6 +341,8 @@ def _remaining(groups: DataFrame, sets: DataFrame, labels: DataFrame, forest: bo
         for batch in batches:
             g, k, n = [], [], []
             for m in batch.column(0).to_pylist():
+                if len(m) == 32:  # two members: the first verification has told all about them
+                    continue
                 name, size = blake2b(m, digest_size=12).digest(), len(m) // 16
                 g += [name] * size
                 n += [size] * size
@@ -353,15 +355,25 @@ def _remaining(groups: DataFrame, sets: DataFrame, labels: DataFrame, forest: bo
     # a large group is compared chunk by chunk, each pair of chunks in a task of its own
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     rows = rows.withColumn("c", F.pmod(F.xxhash64("set_key"), chunks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    rows = rows.withColumn("lo", F.least("c", "o")).withColumn("hi", F.greatest("c", "o")).join(sets.select("set_key", "n", "sketch"), "set_key")
+    rows = written(rows.withColumn("lo", F.least("c", "o")).withColumn("hi", F.greatest("c", "o")), "members")
+    tasks = max(1, int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // MEMBERS_A_TASK))
+    rows = rows.join(sets.select("set_key", "n", "sketch"), "set_key")
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        codes = pd.factorize(pdf["component"])[0]
-        names = pdf["set_key"].to_list()
-        found = near_pairs(pdf["n"].to_numpy(), pdf["sketch"].to_list(), codes, forest)
-        return pd.DataFrame({"src": [names[i] for i, _ in found], "dst": [names[j] for _, j in found]}, dtype=object)
-
-    return rows.select("g", "lo", "hi", "set_key", "component", "n", "sketch").groupBy("g", "lo", "hi").applyInPandas(compare, "src binary, dst binary").distinct()
+        pdf = pdf.sort_values(["g", "lo", "hi"])
+        new = (pdf[["g", "lo", "hi"]] != pdf[["g", "lo", "hi"]].shift()).any(axis=1).to_numpy()
+        edges = np.append(np.flatnonzero(new), len(pdf)).tolist()
+        names, codes, sizes, sketches = pdf["set_key"].to_list(), pd.factorize(pdf["component"])[0], pdf["n"].to_numpy(), pdf["sketch"].to_list()
+        found = set()
+        for a, b in zip(edges, edges[1:], strict=False):
+            if (codes[a:b] != codes[a]).any():
+                found.update((names[a + i], names[a + j]) for i, j in near_pairs(sizes[a:b], sketches[a:b], codes[a:b], forest))
+        return pd.DataFrame({"src": [x for x, _ in found], "dst": [y for _, y in found]}, dtype=object)
+
+    # many groups a task; each group and pair of chunks is compared for itself
+    columns = ["g", "lo", "hi", "set_key", "component", "n", "sketch"]
+    dealt = rows.select(F.pmod(F.xxhash64("g", "lo", "hi"), F.lit(tasks)).alias("task"), *columns)
+    return dealt.groupBy("task").applyInPandas(compare, "src binary, dst binary").distinct()
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
