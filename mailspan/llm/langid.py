@@ -75,7 +75,8 @@ def fit(df: DataFrame, text_column: str = "text", lang_column: str = "lang", tra
     arrow_batches(df.sparkSession)
     labelled = df.select(df[text_column].cast("string").alias("text"), df[lang_column].cast("string").alias("lang")).filter("text is not null and lang is not null")
     share = min(1.0, training_rows / max(1, labelled.count()))
-    sample = labelled.filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20) + 1))
+    # chosen row by row, not text by text: copies of one text must not fill the sample
+    sample = labelled.filter(F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1 << 20)) < int(share * (1 << 20) + 1))
     got = sample.mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     lang, bucket, n = (got.column(i).to_pylist() for i in range(3))
     languages = sorted(set(lang))

@@ -107,7 +107,9 @@ def rule_order(df: DataFrame, text_column: str = "text", sample_rows: int = SAMP
     arrow_batches(df.sparkSession)
     rows = df.count()
     share = min(1.0, sample_rows / max(1, rows))
-    sample = df.filter(F.pmod(F.xxhash64(df[text_column], F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20) + 1)).select(df[text_column].alias("text"))
+    texts = df.select(df[text_column].cast("string").alias("text"))
+    # chosen row by row, not text by text: copies of one text must not fill the sample
+    sample = texts.filter(F.pmod(F.xxhash64("text", F.monotonically_increasing_id(), F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20) + 1))
     got = sample.mapInArrow(_profile, "rule string, n long, rejected long, seconds double").groupBy("rule").agg(F.sum("n").alias("n"), F.sum("rejected").alias("rejected"), F.sum("seconds").alias("seconds")).collect()
     seen = {r.rule: r for r in got}
     out = []
