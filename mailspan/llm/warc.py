@@ -60,7 +60,7 @@ def write_warc(df: DataFrame, path: str, id_column: str, url_column: str, text_c
         rf"concat('WARC/1.1\r\nWARC-Type: continuation\r\nWARC-Record-ID: ', replace(origin, '>', concat('-', i + 1, '>')), '\r\nWARC-Date: {DATE}\r\nWARC-Segment-Origin-ID: ', origin, "
         r"'\r\nWARC-Segment-Number: ', i + 1, '\r\n', if(i + 1 = size(parts), concat('WARC-Segment-Total-Length: ', octet_length(block), '\r\n'), ''), 'Content-Length: ', octet_length(p), '\r\n\r\n', p)"
     )
-    records = rows.select(F.explode(F.expr(f"transform(parts, (p, i) -> if(i = 0, {first_record}, {later_record}))")).alias("value"))
+    records = rows.select(F.explode_outer(F.expr(f"transform(parts, (p, i) -> if(i = 0, {first_record}, {later_record}))")).alias("value"))
     records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
 
 
