@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mailspan.functions.text import sql_string, utrim
+from mailspan.functions.text import utrim
 
 # Texts of the chat replies and the prompt.
 CHAT_INTENTS = (
@@ -139,7 +139,3 @@ def blank_to_null(value: str) -> str:
     """SQL: null for blank, else the value as it is."""
     return f"if({utrim(value)} = '', null, {value})"
 
-
-def literal_lines(*lines: str) -> str:
-    """SQL array of string literals."""
-    return ", ".join(sql_string(x) for x in lines)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailspan.functions.scalars import percent_text
-from mailspan.functions.text import blank, like_any_case
+from mailspan.functions.text import like_any_case
 
 
 def newest_first(df: DataFrame) -> DataFrame:
@@ -113,6 +113,3 @@ def state_of(rows: DataFrame, error: str | None = None) -> tuple[str, str | None
         return "Error", error
     return ("Empty" if rows.isEmpty() else "Success"), None
 
-
-def is_blank(column: str) -> str:
-    return blank(column)
