@@ -72,16 +72,16 @@ def test_blank_has_nothing(rows):
 
 
 @pytest.mark.parametrize(
-    "column, text, expected",
+    "make, text, expected",
     [
-        (extract.deadlines("t"), "innerhalb von 14 Tagen", ["14"]),
-        (extract.amounts("t"), "EUR 1.234,56 und 99,10 €", ["1.234,56 €", "99,10 €"]),
-        (extract.emails("t"), "a@b.de, a@b.de x.y@c.org.", ["a@b.de", "x.y@c.org."]),
-        (extract.ibans("t"), "DE89 3704 0044 0532 0130 00", ["DE89370400440532013000"]),
+        (extract.deadlines, "innerhalb von 14 Tagen", ["14"]),
+        (extract.amounts, "EUR 1.234,56 und 99,10 €", ["1.234,56 €", "99,10 €"]),
+        (extract.emails, "a@b.de, a@b.de x.y@c.org.", ["a@b.de", "x.y@c.org."]),
+        (extract.ibans, "DE89 3704 0044 0532 0130 00", ["DE89370400440532013000"]),
     ],
 )
-def test_lists(spark, column, text, expected):
-    assert spark.createDataFrame([(text,)], "t string").select(column.alias("x")).first().x == expected
+def test_lists(spark, make, text, expected):
+    assert spark.createDataFrame([(text,)], "t string").select(make("t").alias("x")).first().x == expected
 
 
 def test_reference_runs_over_lines(spark):
