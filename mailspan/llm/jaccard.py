@@ -25,9 +25,13 @@ from mailspan.llm._graph import components
 
 SHINGLE = 5
 #: Linked: 7 * common >= 3 * (a + b), which is 100 * common >= 75 * union.
-ENTRIES_A_BUCKET, CHUNK, MEMBERS_A_TASK = 2_000_000, 2048, 50_000
-#: Shingles in this share of a bounded sample of sets are too common to tell sets apart; parts leave them out.
-COMMON_SHARE, SAMPLE_SETS, MOST_COMMON = 0.0005, 20_000, 262_144
+SHINGLES_A_BUCKET, CHUNK, MEMBERS_A_TASK = 6_000_000, 2048, 50_000
+#: Shingles that a bounded sample of sets holds so often are too common to tell sets apart; parts leave them out.
+COMMON_IN_SAMPLE, SAMPLE_SETS, MOST_COMMON = 4, 50_000, 1_000_000
+#: Up to so many document ids are broadcast, to pick their texts; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+#: A class in candidate groups: its key and, after it, the size of its set.
+NODE = 24
 _BLOCK = 1 << 20
 
 _U = np.uint64
@@ -167,8 +171,8 @@ def keys_of(s: np.ndarray, starts: list[int], common: np.ndarray) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parity bits: at least four for each shingle, a power of two, so that a larger sketch folds onto a smaller one."""
-    bits = max(256, 1 << (4 * len(s) - 1).bit_length())
+    """Parity bits: at least two for each shingle, a power of two, so that a larger sketch folds onto a smaller one."""
+    bits = max(256, 1 << (2 * len(s) - 1).bit_length())
     parity = np.bincount((_mixed(s + _U(_P)) & _U(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
     return np.packbits(parity, bitorder="little").tobytes()
 
@@ -210,23 +214,24 @@ def near_pairs(sizes: np.ndarray, sketches: list[bytes], classes: np.ndarray, fo
 
 
 def _described(df: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key of each row of (doc_id, text)."""
+    """doc_id, n_shingles, set_key, sketch of each row of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, keys = [], []
+            n, keys, sketches = [], [], []
             for s in shingle_sets(batch.column(1).to_pylist()):
                 n.append(len(s))
                 keys.append(set_key(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "n_shingles", "set_key"])
+                sketches.append(sketch(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "set_key", "sketch"])
 
-    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_key binary")
+    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_key binary, sketch binary")
 
 
 def _common(df: DataFrame, rows: int) -> np.ndarray:
-    """Hashes of the most common shingles in a bounded sample of texts, sorted. They only decide how fast the join is."""
+    """Hashes of the most common shingles in a bounded sample of rows, sorted. They only decide how fast the join is."""
     share = min(1.0, SAMPLE_SETS / max(1, rows))
-    sample = df.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20) + 1)).select("text").distinct()
+    sample = df.filter(F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1 << 20)) < int(share * (1 << 20) + 1)).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [s.view(np.int64) for batch in batches for s in shingle_sets(batch.column(0).to_pylist())]
@@ -235,12 +240,12 @@ def _common(df: DataFrame, rows: int) -> np.ndarray:
             # what is in one text of a task alone is left out, so that common ones are all that is shuffled
             yield pa.RecordBatch.from_arrays([pa.array(found[n > 1]), pa.array(n[n > 1])], ["s", "n"])
 
-    got = sample.mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(4, COMMON_SHARE * share * rows)).orderBy(F.desc("n"), "s").limit(MOST_COMMON).select("s").toPandas()["s"]
+    got = sample.mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON_IN_SAMPLE).orderBy(F.desc("n"), "s").limit(MOST_COMMON).select("s").toPandas()["s"]
     return np.sort(got.to_numpy(np.int64).view(np.uint64))
 
 
 def _agreeing(df: DataFrame, starts: list[int], common: np.ndarray, buckets: int) -> DataFrame:
-    """members: the distinct groups of set keys (concatenated, sorted) that agree in some part."""
+    """members: the distinct groups of nodes (concatenated, sorted) that agree in some part."""
     shared = df.sparkSession.sparkContext.broadcast((starts, common))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,14 +254,14 @@ def _agreeing(df: DataFrame, starts: list[int], common: np.ndarray, buckets: int
             seen: dict[bytes, int] = {}
             keys, owners = [], []
             for s in shingle_sets(batch.column(0).to_pylist()):
-                if len(s) and (key := set_key(s)) not in seen:
+                if len(s) and (key := set_key(s) + len(s).to_bytes(8, "big")) not in seen:
                     seen[key] = len(seen)
                     keys.append(keys_of(s, starts, common))
                     owners.append(np.full(len(keys[-1]), seen[key], np.uint16))
             if not keys:
                 continue
             k, o = np.concatenate(keys), np.concatenate(owners)
-            names = np.frombuffer(b"".join(seen), "V16")
+            names = np.frombuffer(b"".join(seen), f"V{NODE}")
             bucket = ((k >> _U(32)) * _U(buckets)) >> _U(32)
             order = np.lexsort((k & _U((1 << 40) - 1), bucket))
             k, o, bucket = k[order], o[order], bucket[order]
@@ -267,10 +272,10 @@ def _agreeing(df: DataFrame, starts: list[int], common: np.ndarray, buckets: int
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([planes.tobytes()], pa.binary()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([names[own].tobytes()], pa.binary())], ["bucket", "keys", "owner", "names"])
 
     def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        every, codes = np.unique(np.frombuffer(b"".join(pdf["names"]), ">u8").reshape(-1, 2), axis=0, return_inverse=True)
+        every, codes = np.unique(np.frombuffer(b"".join(pdf["names"]), ">u8").reshape(-1, 3), axis=0, return_inverse=True)
         codes, entries, at = codes.reshape(-1), [], 0
         for planes, owner, names in zip(pdf["keys"], pdf["owner"], pdf["names"], strict=True):
-            n, own = len(owner) // 2, len(names) // 16
+            n, own = len(owner) // 2, len(names) // NODE
             wide = np.zeros((n, 8), np.uint8)
             wide[:, 3:] = np.frombuffer(planes, np.uint8).reshape(5, n).T
             entries.append(wide.view(np.uint64).reshape(-1) | codes[at : at + own][np.frombuffer(owner, np.uint16)].astype(np.uint64))
@@ -280,6 +285,8 @@ def _agreeing(df: DataFrame, starts: list[int], common: np.ndarray, buckets: int
         first = np.flatnonzero(np.diff(k, prepend=~k[:1]))
         size = np.diff(np.append(first, len(k)))
         two = first[size == 2]
+        small, large = np.minimum(*(x := every[:, 2][np.stack((c[two], c[two + 1]))])), np.maximum(*x)
+        two = two[3 * large <= 4 * small]  # sizes that can be linked
         groups = {tuple(x) for x in np.unique(np.stack((c[two], c[two + 1]), 1), axis=0).tolist()} if len(two) else set()
         groups |= {tuple(c[lo : lo + n].tolist()) for lo, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True)}
         names = [x.tobytes() for x in every]
@@ -289,23 +296,34 @@ def _agreeing(df: DataFrame, starts: list[int], common: np.ndarray, buckets: int
     return entries.groupBy("bucket").applyInPandas(meet, "members binary").distinct()
 
 
+def _nodes(members: bytes) -> list[tuple[bytes, int]]:
+    return [(members[i : i + 16], int.from_bytes(members[i + 16 : i + NODE], "big")) for i in range(0, len(members), NODE)]
+
+
 def _pairs(groups: DataFrame) -> DataFrame:
-    """Each group's first member with each other one."""
+    """Each group's first member with each other one, where their sizes allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
             for m in batch.column(0).to_pylist():
-                rest = [m[i : i + 16] for i in range(16, len(m), 16)]
-                a += [m[:16]] * len(rest)
+                (head, n), *rest = _nodes(m)
+                rest = [k for k, x in rest if 3 * max(n, x) <= 4 * min(n, x)]
+                a += [head] * len(rest)
                 b += rest
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["src", "dst"])
 
     return groups.mapInArrow(run, "src binary, dst binary").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (src, dst) whose sketches allow a link and whose sets have it."""
+def _sides(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    one = table.select(F.col("set_key").alias("src"), *(F.col(c).alias(f"{c}_a") for c in columns))
+    two = table.select(F.col("set_key").alias("dst"), *(F.col(c).alias(f"{c}_b") for c in columns))
+    return pairs.join(one, "src").join(two, "dst").select("src", "dst", *(f"{c}_{x}" for x in "ab" for c in columns))
+
+
+def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (src, dst) whose sizes and sketches allow a link."""
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,38 +333,48 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(3 * max(na, nb) <= 4 * min(na, nb) and int(np.bitwise_count(_folded(sa, words) ^ _folded(sb, words)).sum()) <= bound(na, nb))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
+    return _sides(pairs, classes, "n", "sketch").mapInArrow(close, "src binary, dst binary")
+
+
+def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (src, dst) whose sets are linked. Sets are made again, for these pairs alone, from the text of a row of each class."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                sets = [s for s in shingle_sets(batch.column(0).slice(at, 500).to_pylist()) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_key", "shingles"])
+
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                both = np.concatenate((x, y))
+                both = np.concatenate((np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)))
                 both.sort()
                 keep.append(7 * int(np.count_nonzero(both[1:] == both[:-1])) >= 3 * len(both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    def sides(p: DataFrame, *columns: str) -> DataFrame:
-        one = sets.select(F.col("set_key").alias("src"), *(F.col(c).alias(f"{c}_a") for c in columns))
-        two = sets.select(F.col("set_key").alias("dst"), *(F.col(c).alias(f"{c}_b") for c in columns))
-        return p.join(one, "src").join(two, "dst").select("src", "dst", *(f"{c}_{x}" for x in "ab" for c in columns))
+    pairs = written(pairs, "near")
+    keys = pairs.select(F.col("src").alias("set_key")).union(pairs.select("dst")).distinct()
+    ids = written(classes.join(keys, "set_key", "left_semi").select("doc_id").distinct(), "ids")
+    chosen = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    sets = chosen.select("text").mapInArrow(whole, "set_key binary, shingles binary")
+    return _sides(pairs, written(sets.join(keys, "set_key", "left_semi").dropDuplicates(["set_key"]), "sets"), "shingles").mapInArrow(linked, "src binary, dst binary")
 
-    near = sides(pairs, "n", "sketch").mapInArrow(close, "src binary, dst binary")
-    return sides(near, "shingles").mapInArrow(linked, "src binary, dst binary")
 
-
-def _remaining(groups: DataFrame, sets: DataFrame, labels: DataFrame, forest: bool) -> DataFrame:
+def _remaining(groups: DataFrame, classes: DataFrame, labels: DataFrame, forest: bool) -> DataFrame:
     """Pairs within the groups that are not yet connected and whose sketches allow a link."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             g, k, n = [], [], []
             for m in batch.column(0).to_pylist():
-                if len(m) == 32:  # two members: the first verification has told all about them
+                if len(m) == 2 * NODE:  # two members: the first verification has told all about them
                     continue
-                name, size = blake2b(m, digest_size=12).digest(), len(m) // 16
+                name, size = blake2b(m, digest_size=12).digest(), len(m) // NODE
                 g += [name] * size
                 n += [size] * size
-                k += [m[i : i + 16] for i in range(0, len(m), 16)]
+                k += [key for key, _ in _nodes(m)]
             yield pa.RecordBatch.from_arrays([pa.array(g, pa.binary()), pa.array(n, pa.int64()), pa.array(k, pa.binary())], ["g", "size", "set_key"])
 
     rows = groups.mapInArrow(members, "g binary, size long, set_key binary").join(labels.select(F.col("node").alias("set_key"), "component"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
@@ -357,7 +385,7 @@ def _remaining(groups: DataFrame, sets: DataFrame, labels: DataFrame, forest: bo
     rows = rows.withColumn("c", F.pmod(F.xxhash64("set_key"), chunks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1)))
     rows = written(rows.withColumn("lo", F.least("c", "o")).withColumn("hi", F.greatest("c", "o")), "members")
     tasks = max(1, int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // MEMBERS_A_TASK))
-    rows = rows.join(sets.select("set_key", "n", "sketch"), "set_key")
+    rows = rows.join(classes.select("set_key", "n", "sketch"), "set_key")
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["g", "lo", "hi"])
@@ -392,31 +420,14 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     if not facts.most:
         return told.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     starts = band_starts(facts.most)
-    groups = written(_agreeing(docs, starts, _common(docs, facts.rows), max(1, facts.total // ENTRIES_A_BUCKET)), "groups")
-
-    # sets and sketches of the classes that agree with another, each from the text of its first row
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = {m[i : i + 16] for m in batch.column(0).to_pylist() for i in range(0, len(m), 16)}
-            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary())], ["set_key"])
-
-    needed = groups.mapInArrow(members, "set_key binary").distinct()
-    first = told.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id")).join(needed, "set_key", "left_semi").select("doc_id").distinct()
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                sets = [s for s in shingle_sets(batch.column(0).slice(at, 500).to_pylist()) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_key", "n", "sketch", "shingles"])
-
-    sets = docs.join(first, "doc_id", "left_semi").select("text").mapInArrow(whole, "set_key binary, n long, sketch binary, shingles binary")
-    sets = written(sets.dropDuplicates(["set_key"]), "classes")
-
-    links = written(_verified(_pairs(groups), sets), "links")
+    groups = written(_agreeing(docs, starts, _common(docs, facts.rows), max(1, facts.total // SHINGLES_A_BUCKET)), "groups")
+    # one row for each set, under the smallest id that has it
+    classes = written(told.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    links = written(_linked(_close(_pairs(groups), classes), classes, docs), "links")
     labels = components(links)
     for forest in (True, False):
-        asked = written(_remaining(groups, sets, labels, forest), "pairs")
-        found = written(_verified(asked, sets), "links")
+        asked = written(_remaining(groups, classes, labels, forest), "pairs")
+        found = written(_linked(asked, classes, docs), "links")
         n_asked, n_found = asked.count(), found.count()
         if n_found:
             links = links.union(found)

@@ -468,11 +468,20 @@ def _edit(a, b):
     return row[-1]
 
 
+def _piecewise(a, b):
+    """The edit distance as defined for lines of several pieces; exact for one piece, as far as it decides."""
+    total = 0
+    for i in range(0, max(len(a), len(b)), lines.PIECE):
+        x, y = a[i : i + lines.PIECE], b[i : i + lines.PIECE]
+        d, n = 0 if x == y else _edit(x, y), max(len(x), len(y))
+        total += d if d <= n * 15 // 100 else n
+    return total
+
+
 def _plain_lines(rows):
     """Document -> its text without repeated lines."""
     import xxhash
 
-    signed = lambda h: h
     found = {}
     for i, t in rows:
         for pos, line in enumerate((t or "").split("\n")):
@@ -483,9 +492,8 @@ def _plain_lines(rows):
 
     def sim(norm):
         d = list(dict.fromkeys(norm.split(" ")))
-        long = [w for w in d if len(w) >= lines.LONG_WORD]
-        hs = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in (long if len(long) >= lines.LEAST_FEATURES else d)]
-        hs = sorted(signed(h) if h < 1 << 63 else h - (1 << 64) for h in hs)[: lines.FEATURES]
+        hs = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in d]
+        hs = sorted(h if h < 1 << 63 else h - (1 << 64) for h in hs)[: lines.FEATURES]
         return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
     norms = sorted(found)
@@ -500,7 +508,7 @@ def _plain_lines(rows):
     for i in range(len(norms)):
         for j in range(i):
             a, b = norms[i], norms[j]
-            if (sims[i] ^ sims[j]).bit_count() <= lines.DISTANCE and 10 * abs(len(a) - len(b)) <= max(len(a), len(b)) and 10 * _edit(a, b) <= max(len(a), len(b)):
+            if (sims[i] ^ sims[j]).bit_count() <= lines.DISTANCE and 10 * abs(len(a) - len(b)) <= max(len(a), len(b)) and 10 * _piecewise(a, b) <= max(len(a), len(b)):
                 root[top(i)] = top(j)
     groups = defaultdict(list)
     for i, n in enumerate(norms):
@@ -540,7 +548,7 @@ def test_piecewise_edits(spark):
         b = "".join(c if rng.random() > 0.03 else "z" for c in a)
         rows.append((a, b))
     got = [r.d for r in spark.createDataFrame(rows, "x string, y string").select(F.expr(lines.edits("x", "y")).alias("d")).collect()]
-    assert all(d >= _edit(a, b) for d, (a, b) in zip(got, rows)) and all(d == _edit(a, b) for d, (a, b) in zip(got, rows) if len(a) <= lines.PIECE)
+    assert all(d >= _edit(a, b) for d, (a, b) in zip(got, rows)) and all(d == _edit(a, b) for d, (a, b) in zip(got, rows) if len(a) <= lines.PIECE and _edit(a, b) <= 0.1 * len(a))
 
 
 # ── all ──
