@@ -26,8 +26,11 @@ from mailspan.llm._graph import components
 SHINGLE = 5
 #: Linked: 7 * common >= 3 * (a + b), which is 100 * common >= 75 * union.
 SHINGLES_A_BUCKET, CHUNK, MEMBERS_A_TASK = 6_000_000, 2048, 50_000
-#: Shingles that a bounded sample of sets holds so often are too common to tell sets apart; parts leave them out.
-COMMON_IN_SAMPLE, SAMPLE_SETS, MOST_COMMON = 4, 50_000, 1_000_000
+#: Shingles that so many rows hold are too common to tell sets apart; parts leave them out, the most common first and no
+#: more than MOST_COMMON of them. That decides how fast the join is, never what it finds.
+COMMON_ROWS, MOST_COMMON, HELD_SHINGLES = 8, 1_000_000, 4_000_000
+#: Rounds in which one link for each two connected groups is looked for, before all that may be left are compared.
+FOREST_ROUNDS = 4
 #: Up to so many document ids are broadcast, to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: A class in candidate groups: its key and, after it, the size of its set.
@@ -182,34 +185,37 @@ def _folded(x: bytes, words: int) -> np.ndarray:
     return a if len(a) == words else np.bitwise_xor.reduce(a.reshape(-1, words), 0)
 
 
-def near_pairs(sizes: np.ndarray, sketches: list[bytes], classes: np.ndarray, forest: bool) -> list[tuple[int, int]]:
-    """Pairs of different classes whose sizes and sketches allow a link; with `forest` none between what earlier ones connect."""
+def near_pairs(sizes: np.ndarray, sketches: list[bytes], classes: np.ndarray, seed: int | None) -> list[tuple[int, int]]:
+    """Pairs of different classes whose sizes and sketches allow a link; with a `seed` only one for each two classes, in an
+    order that it decides, and none between classes that earlier ones connect."""
     order = np.argsort(sizes, kind="stable")
-    root = {c: c for c in set(classes.tolist())}
-
-    def top(c):
-        while root[c] != c:
-            root[c] = c = root[root[c]]
-        return c
-
-    out, stacked = [], {}
-    for i, a in enumerate(order):
-        words = len(sketches[a]) // 8
-        upto = int(np.searchsorted(sizes[order], 4 * sizes[a] // 3, "right"))
+    n, by_size, label = len(order), sizes[order], np.unique(classes, return_inverse=True)[1][order]
+    fresh = label.copy()
+    turns = np.arange(n) if seed is None else np.random.default_rng(seed).permutation(n)
+    stacked: dict[int, tuple[int, np.ndarray]] = {}
+    words = np.array([len(sketches[i]) // 8 for i in order])  # never falls, as sizes don't
+    out: list[tuple[int, int]] = []
+    for i in turns.tolist():
+        upto = int(np.searchsorted(by_size, 4 * by_size[i] // 3, "right"))
         if upto <= i + 1:
             continue
-        if words not in stacked:  # sketches from here on are at least as long
-            stacked[words] = (i, np.stack([_folded(sketches[j], words) for j in order[i:]]))
-        base, rows = stacked[words]
-        others = order[i + 1 : upto]
-        d = np.bitwise_count(rows[i - base] ^ rows[i + 1 - base : upto - base]).sum(1)
-        for j in others[(d <= (sizes[a] + sizes[others]) // 7) & (classes[others] != classes[a])]:
-            if forest:
-                x, y = top(classes[a]), top(classes[j])
-                if x == y:
-                    continue
-                root[x] = y
-            out.append((int(a), int(j)))
+        w = int(words[i])
+        if w not in stacked:  # from the first sketch of this length on, all are at least as long
+            base = int(np.searchsorted(words, w))
+            stacked[w] = base, np.stack([_folded(sketches[j], w) for j in order[base:]])
+        base, rows = stacked[w]
+        at = np.arange(i + 1, upto)
+        at = at[fresh[at] != fresh[i]] if seed is not None else at[label[at] != label[i]]
+        if not len(at):
+            continue
+        d = np.bitwise_count(rows[i - base] ^ rows[at - base]).sum(1)
+        at = at[d <= (by_size[i] + by_size[at]) // 7]
+        if seed is None:
+            out += [(int(order[i]), int(order[j])) for j in at.tolist()]
+            continue
+        for other, k in zip(*np.unique(fresh[at], return_index=True), strict=True):
+            out.append((int(order[i]), int(order[at[k]])))
+            fresh[fresh == other] = fresh[i]
     return out
 
 
@@ -228,19 +234,29 @@ def _described(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_key binary, sketch binary")
 
 
-def _common(df: DataFrame, rows: int) -> np.ndarray:
-    """Hashes of the most common shingles in a bounded sample of rows, sorted. They only decide how fast the join is."""
-    share = min(1.0, SAMPLE_SETS / max(1, rows))
-    sample = df.filter(F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1 << 20)) < int(share * (1 << 20) + 1)).select("text")
+def _common(df: DataFrame) -> np.ndarray:
+    """Hashes of the most common shingles of all rows, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = [s.view(np.int64) for batch in batches for s in shingle_sets(batch.column(0).to_pylist())]
-        if sets:
+        sets, held = [], 0
+
+        def out() -> pa.RecordBatch:
             found, n = np.unique(np.concatenate(sets), return_counts=True)
-            # what is in one text of a task alone is left out, so that common ones are all that is shuffled
-            yield pa.RecordBatch.from_arrays([pa.array(found[n > 1]), pa.array(n[n > 1])], ["s", "n"])
+            # what is in one text of some thousands alone is left out, so that common ones are all that is shuffled
+            return pa.RecordBatch.from_arrays([pa.array(found[n > 1]), pa.array(n[n > 1])], ["s", "n"])
+
+        for batch in batches:
+            for s in shingle_sets(batch.column(0).to_pylist()):
+                sets.append(s.view(np.int64))
+                held += len(s)
+            if held > HELD_SHINGLES:
+                yield out()
+                sets, held = [], 0
+        if sets:
+            yield out()
 
-    got = sample.mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON_IN_SAMPLE).orderBy(F.desc("n"), "s").limit(MOST_COMMON).select("s").toPandas()["s"]
+    counted = df.select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON_ROWS)
+    got = counted.orderBy(F.desc("n"), "s").limit(MOST_COMMON).select("s").toPandas()["s"]
     return np.sort(got.to_numpy(np.int64).view(np.uint64))
 
 
@@ -362,7 +378,7 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     return _sides(pairs, written(sets.join(keys, "set_key", "left_semi").dropDuplicates(["set_key"]), "sets"), "shingles").mapInArrow(linked, "src binary, dst binary")
 
 
-def _remaining(groups: DataFrame, classes: DataFrame, labels: DataFrame, forest: bool) -> DataFrame:
+def _remaining(groups: DataFrame, classes: DataFrame, labels: DataFrame, seed: int | None) -> DataFrame:
     """Pairs within the groups that are not yet connected and whose sketches allow a link."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,7 +411,7 @@ def _remaining(groups: DataFrame, classes: DataFrame, labels: DataFrame, forest:
         found = set()
         for a, b in zip(edges, edges[1:], strict=False):
             if (codes[a:b] != codes[a]).any():
-                found.update((names[a + i], names[a + j]) for i, j in near_pairs(sizes[a:b], sketches[a:b], codes[a:b], forest))
+                found.update((names[a + i], names[a + j]) for i, j in near_pairs(sizes[a:b], sketches[a:b], codes[a:b], seed))
         return pd.DataFrame({"src": [x for x, _ in found], "dst": [y for _, y in found]}, dtype=object)
 
     # many groups a task; each group and pair of chunks is compared for itself
@@ -416,23 +432,23 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     arrow_batches(spark)
     docs = df.select(df[id_column].alias("doc_id"), df[text_column].cast("string").alias("text"))
     told = written(_described(docs), "sets")
-    facts = told.agg(F.sum("n_shingles").alias("total"), F.max("n_shingles").alias("most"), F.count("*").alias("rows")).first()
+    facts = told.agg(F.sum("n_shingles").alias("total"), F.max("n_shingles").alias("most")).first()
     if not facts.most:
         return told.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     starts = band_starts(facts.most)
-    groups = written(_agreeing(docs, starts, _common(docs, facts.rows), max(1, facts.total // SHINGLES_A_BUCKET)), "groups")
+    groups = written(_agreeing(docs, starts, _common(docs), max(1, facts.total // SHINGLES_A_BUCKET)), "groups")
     # one row for each set, under the smallest id that has it
     classes = written(told.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
     links = written(_linked(_close(_pairs(groups), classes), classes, docs), "links")
     labels = components(links)
-    for forest in (True, False):
-        asked = written(_remaining(groups, classes, labels, forest), "pairs")
+    for seed in (*range(FOREST_ROUNDS), None):
+        asked = written(_remaining(groups, classes, labels, seed), "pairs")
         found = written(_linked(asked, classes, docs), "links")
         n_asked, n_found = asked.count(), found.count()
         if n_found:
             links = links.union(found)
             labels = components(links)
-        if n_found == n_asked:
+        if n_found == n_asked:  # nothing that was asked for in vain could hide a link
             break
     named = told.join(labels.select(F.col("node").alias("set_key"), "component"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
     heads = named.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("head"))
