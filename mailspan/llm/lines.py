@@ -22,8 +22,8 @@ BLOCKS = 4
 #: Features are the distinct words. The SimHash is taken over the FEATURES of them with the smallest hashes, so that a small
 #: edit of a long line most often leaves it as it is.
 FEATURES = 16
-#: Edit distances are summed over aligned pieces of so many characters, which bounds that of a longer line from above in
-#: time linear in its length; a line of one piece is compared exactly.
+#: Edit distances are first summed over aligned pieces of so many characters, which bounds that of a longer line from above
+#: in time linear in its length; what this bound does not accept is compared whole. A line of one piece is exact at once.
 PIECE = 512
 #: Up to so many rows of (document, line numbers) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -80,6 +80,13 @@ def edits(x: str, y: str) -> str:
     return f"aggregate({each}, 0, (t, s) -> t + if(s.d >= 0, s.d, s.n))"
 
 
+def similar(x: str, y: str) -> str:
+    """SQL: whether the edit distance of `x` and `y` is within the limit; the pieces only say a quick yes."""
+    longest = f"greatest(length({x}), length({y}))"
+    limit = f"(100 - {SIMILARITY}) * {longest}"
+    return f"100 * {edits(x, y)} <= {limit} or ({longest} > {PIECE} and levenshtein({x}, {y}, cast({limit} div 100 as int)) >= 0)"
+
+
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """id, norm of the lines `wanted` (id, doc_id, th, pos)."""
     per_doc = wanted.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_list(F.struct("id", "pos")).alias("at"))
@@ -99,7 +106,7 @@ def _verified(docs: DataFrame, kinds: DataFrame, near: DataFrame) -> DataFrame:
     pairs = near.join(one, "src").join(two, "dst").select("src", "dst", "x", "y")
     # dealt out anew as work, not bytes, is what counts; written, as a filter would else move below the exchange
     pairs = written(pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "pairs")
-    return written(pairs.filter(F.expr(f"100 * {edits('x', 'y')} <= (100 - {SIMILARITY}) * greatest(length(x), length(y))")).select("src", "dst"), "links")
+    return written(pairs.filter(F.expr(similar("x", "y"))).select("src", "dst"), "links")
 
 
 def removals(docs: DataFrame) -> DataFrame:

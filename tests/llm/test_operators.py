@@ -556,6 +556,16 @@ def test_piecewise_edits(spark):
     assert all(d >= _edit(a, b) for d, (a, b) in zip(got, rows)) and all(d == _edit(a, b) for d, (a, b) in zip(got, rows) if len(a) <= lines.PIECE and _edit(a, b) <= 0.1 * len(a))
 
 
+def test_long_lines_are_compared_whole(spark):
+    rng = random.Random(10)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    a = text(2048)
+    rows = [(a, a[:30] + text(n) + a[30:]) for n in (26, 40, 150, 227, 228)] + [(a[:30] + a[70:], a), (a, text(2048)), (a[:600], a[100:]), (a[:512], a[:8] + a[50:512])]
+    rows += [(a, "".join(c if rng.random() > share else "z" for c in a)) for share in (0.05, 0.15)]
+    got = [r.s for r in spark.createDataFrame(rows, "x string, y string").select(F.expr(lines.similar("x", "y")).alias("s")).collect()]
+    assert got == [10 * _edit(x, y) <= max(len(x), len(y)) for x, y in rows] and got[:6] == [True, True, True, True, False, True]
+
+
 # ── all ──
 
 
