@@ -1,6 +1,6 @@
 """Fuzzy line deduplication with DataFrame functions only: normalised lines get a 64-bit SimHash, lines that agree in
-enough blocks of its bits are candidates (pigeonhole), edit similarity verifies them, and of each connected group of
-lines the first occurrence stays.
+enough blocks of its bits are candidates (pigeonhole), and so, on demand, are lines that share a long word; edit
+similarity verifies them, and of each connected group of lines the first occurrence stays.
 """
 
 from __future__ import annotations
@@ -25,6 +25,9 @@ FEATURES = 16
 #: Edit distances are first summed over aligned pieces of so many characters, which bounds that of a longer line from above
 #: in time linear in its length; what this bound does not accept is compared whole. A line of one piece is exact at once.
 PIECE = 512
+#: Anchors: the longest words of a line, as these are rare. A line has as many as can be touched by the edits that are
+#: allowed and one more, but of words under ANCHOR_LETTERS letters only as many as make ANCHORS in all.
+ANCHORS, ANCHOR_LETTERS = 16, 8
 #: Up to so many rows of (document, line numbers) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 _LANE = 0x0101010101010101
@@ -40,19 +43,29 @@ def normalised(line: str) -> str:
     return f"array_join({words_of(line)}, ' ')"
 
 
+def anchors(words: str, norm: str) -> str:
+    """SQL: the hashes of the anchors among `words`, the longest first; an order that does not depend on the line."""
+    # hashes below their word's length, so that one sort of longs serves
+    ranked = f"sort_array(array_distinct(transform({words}, w -> shiftleft(bigint(63 - least(length(w), 63)), 32) | (hash(w) & 4294967295L))))"
+    touched = f"length({norm}) * (100 - {SIMILARITY}) div {SIMILARITY} + 1"
+    wanted = f"least({touched}, greatest({ANCHORS}, size(filter(r, a -> a < {(64 - ANCHOR_LETTERS) << 32}L))))"
+    return f"element_at(transform(array({ranked}), r -> transform(slice(r, 1, cast({wanted} as int)), a -> cast((a & 4294967295L) - 2147483648L as int))), 1)"
+
+
 def simhashes(docs: DataFrame) -> DataFrame:
-    """A row for each line of at least LEAST_WORDS words of `docs` (doc_id, th, text): where it is, its hash (h1, h2), length, SimHash."""
+    """A row for each line of at least LEAST_WORDS words of `docs` (doc_id, th, text): where it is, its hash (h1, h2), length, SimHash, anchors."""
     # made within an outer explode, so that no filter is inferred or pushed down that would split every line once more
     each = rf"filter(transform(split(text, '\n'), (x, i) -> named_struct('pos', i, 'words', {words_of('x')})), l -> size(l.words) >= {LEAST_WORDS})"
     lines = docs.select("doc_id", "th", F.explode_outer(F.expr(each)).alias("l")).filter("l is not null").select("doc_id", "th", "l.pos", "l.words")
     lines = lines.withColumn("norm", F.array_join("words", " "))
     lines = lines.withColumn("hs", F.expr(f"slice(sort_array(array_distinct(transform(words, w -> xxhash64(w)))), 1, {FEATURES})"))
-    lines = lines.select("doc_id", "th", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), F.length("norm").alias("chars"), F.size("hs").alias("n"), *[F.coalesce(F.get("hs", F.lit(i)), F.lit(0)).alias(f"w{i}") for i in range(FEATURES)])
+    lines = lines.withColumn("anchors", F.expr(anchors("words", "norm")))
+    lines = lines.select("doc_id", "th", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), F.length("norm").alias("chars"), "anchors", F.size("hs").alias("n"), *[F.coalesce(F.get("hs", F.lit(i)), F.lit(0)).alias(f"w{i}") for i in range(FEATURES)])
     # 64 counters of 8 bits, eight in a long: the lanes of each feature's hash are added up
     lanes = [f"({' + '.join(f'(shiftrightunsigned(w{i}, {j}) & {_LANE}L)' for i in range(FEATURES))}) as s{j}" for j in range(8)]
-    lines = lines.selectExpr("doc_id", "th", "pos", "h1", "h2", "chars", "n", *lanes)
+    lines = lines.selectExpr("doc_id", "th", "pos", "h1", "h2", "chars", "anchors", "n", *lanes)
     bits = [f"if(2 * (shiftrightunsigned(s{i % 8}, {i - i % 8}) & 255L) > n, {f'{1 << i}L' if i < 63 else 'shiftleft(1L, 63)'}, 0L)" for i in range(64)]
-    return lines.select("doc_id", "th", "pos", "h1", "h2", "chars", F.expr(" | ".join(bits)).alias("sim"))
+    return lines.select("doc_id", "th", "pos", "h1", "h2", "chars", "anchors", F.expr(" | ".join(bits)).alias("sim"))
 
 
 def block_keys(blocks: int = BLOCKS, distance: int = DISTANCE) -> "F.Column":
@@ -109,10 +122,36 @@ def _verified(docs: DataFrame, kinds: DataFrame, near: DataFrame) -> DataFrame:
     return written(pairs.filter(F.expr(similar("x", "y"))).select("src", "dst"), "links")
 
 
-def removals(docs: DataFrame) -> DataFrame:
+def _grouped(kinds: DataFrame, links: DataFrame) -> DataFrame:
+    """`kinds` with the group that `links` have put each in so far."""
+    known = components(links)
+    return kinds.join(known, kinds["id"] == known["node"], "left").withColumn("group", F.coalesce("component", "id")).drop("node", "component")
+
+
+def _anchored(docs: DataFrame, kinds: DataFrame, links: DataFrame) -> DataFrame:
+    """Links of lines that share an anchor and that `links` do not connect yet."""
+    longest, difference = F.greatest("ca", "cb"), F.abs(F.col("ca") - F.col("cb"))
+    sizes = 100 * difference <= (100 - SIMILARITY) * longest
+    keyed = written(_grouped(kinds, links).select(F.explode("anchors").alias("key"), "id", "chars", "group"), "keyed")
+    # first each line with one of those that share an anchor, so that a group of near copies costs in proportion to its size
+    heads = keyed.groupBy(F.col("key").alias("k")).agg(F.min(F.struct("id", "chars", "group")).alias("head"), F.count("*").alias("n")).filter("n > 1")
+    shared = written(keyed.join(heads, F.col("key") == F.col("k")).select("key", "id", "chars", "group", F.col("head.id").alias("src"), F.col("head.chars").alias("ca"), F.col("head.group").alias("ga")), "shared")
+    star = shared.withColumnRenamed("chars", "cb").filter((F.col("ga") != F.col("group")) & sizes).select("src", F.col("id").alias("dst"))
+    links = links.union(_verified(docs, kinds, star))
+    # then all others that share one
+    now = _grouped(kinds, links).select(F.col("id").alias("node"), F.col("group").alias("g"))
+    left = shared.select("key", "id", "chars").join(now, F.col("id") == F.col("node"))
+    a = left.select("key", F.col("id").alias("src"), F.col("chars").alias("ca"), F.col("g").alias("ga"))
+    b = left.select("key", F.col("id").alias("dst"), F.col("chars").alias("cb"), F.col("g").alias("gb"))
+    near = a.join(b, (a["key"] == b["key"]) & (F.col("src") < F.col("dst")) & (F.col("ga") != F.col("gb")) & sizes)
+    return links.union(_verified(docs, kinds, near.select("src", "dst")))
+
+
+def removals(docs: DataFrame, typos: bool = False) -> DataFrame:
     """d, t, gone: for the documents (doc_id, th) that lose lines the numbers of these."""
-    lines = written(simhashes(docs), "lines")
-    kinds = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "pos")).alias("first"), F.count("*").alias("n"), F.min("sim").alias("sim"), F.min("chars").alias("chars"))
+    lines = simhashes(docs)
+    lines = written(lines if typos else lines.drop("anchors"), "lines")
+    kinds = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "pos")).alias("first"), F.count("*").alias("n"), F.min("sim").alias("sim"), F.min("chars").alias("chars"), *([F.first("anchors").alias("anchors")] if typos else []))
     kinds = written(kinds.withColumn("id", F.monotonically_increasing_id()), "kinds")
     longest, difference = F.greatest("ca", "cb"), F.abs(F.col("ca") - F.col("cb"))
     sizes = 100 * difference <= (100 - SIMILARITY) * longest
@@ -128,6 +167,8 @@ def removals(docs: DataFrame) -> DataFrame:
     b = keyed.select("key", F.col("id").alias("dst"), F.col("sim").alias("sb"), F.col("chars").alias("cb"), F.col("group").alias("gb"))
     near = a.join(b, (a["key"] == b["key"]) & (F.col("src") < F.col("dst")) & (F.col("ga") != F.col("gb")) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= DISTANCE) & sizes)
     links = links.union(_verified(docs, kinds, near.select("src", "dst")))
+    if typos:
+        links = _anchored(docs, kinds, links)
     groups = components(links)
     kinds = kinds.join(groups, kinds["id"] == groups["node"], "left").withColumn("group", F.coalesce("component", "id"))
     keeper = kinds.filter("component is not null").groupBy("component").agg(F.min("first").alias("keeper"))
@@ -136,9 +177,10 @@ def removals(docs: DataFrame) -> DataFrame:
     return again.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_set("pos").alias("gone"))
 
 
-def dedup_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def dedup_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", typos: bool = False) -> DataFrame:
     """`df` with repeated lines taken out of the text, plus n_removed (how many).
 
+    Lines are alike if their SimHashes and texts are; with `typos`, also if they share an anchor and their texts are.
     The occurrence with the smallest (id, text hash, line number) of a group stays; null ids come first. Lines of fewer
     than LEAST_WORDS words, null and empty texts stay as they are; a text may lose all its lines and is then empty.
     Rows of equal id and text are one document and keep or lose the same lines. Long lines are compared whole. Columns
@@ -146,7 +188,7 @@ def dedup_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     """
     carried = [c for c in df.columns if c not in (text_column, "n_removed")]
     docs = df.select(df[id_column].alias("doc_id"), F.coalesce(F.xxhash64(df[text_column]), F.lit(0)).alias("th"), df[text_column].cast("string").alias("text"))
-    gone = removals(docs)
+    gone = removals(docs, typos)
     wide = df.select(F.struct(*carried).alias("_own"), df[id_column].alias("_id"), F.coalesce(F.xxhash64(df[text_column]), F.lit(0)).alias("_th"), df[text_column].cast("string").alias("_text"))
     out = wide.join(gone, F.col("_id").eqNullSafe(F.col("d")) & (F.col("_th") == F.col("t")), "left")
     text = F.when(F.col("gone").isNull(), F.col("_text")).otherwise(F.expr("array_join(filter(split(_text, '\n'), (x, i) -> not array_contains(gone, i)), '\n')"))
@@ -154,7 +196,7 @@ def dedup_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), typos=True)
 
 
 QUERIES = {"op10_line_dedup": op10_line_dedup}

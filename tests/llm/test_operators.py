@@ -566,6 +566,34 @@ def test_long_lines_are_compared_whole(spark):
     assert got == [10 * _edit(x, y) <= max(len(x), len(y)) for x, y in rows] and got[:6] == [True, True, True, True, False, True]
 
 
+def _edited(rng, line, edits):
+    for _ in range(edits):
+        at, c = rng.randrange(len(line)), rng.choice("klmnop")
+        line = rng.choice((line[:at] + c + line[at + 1 :], line[:at] + c + line[at:], line[:at] + line[at + 1 :]))
+    return line
+
+
+@pytest.mark.parametrize("n", [5, 8, 12, 16, 20, 30, 50])
+def test_lines_with_typos_are_found(spark, n):
+    """Recall against the edit similarity alone, on pairs with one edit, 5 % and 10 % of edits."""
+    rng = random.Random(n)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 10)))
+    rows, want = [], {}
+    for i in range(60):
+        line = " ".join(word() for _ in range(n))
+        for j, edits in enumerate((1, max(1, len(line) // 20), len(line) // 10)):
+            other = _edited(rng, line, edits)
+            text = " ".join(other.split())
+            rows.append((10 * i + j + 1, other))
+            if len(text.split()) >= lines.LEAST_WORDS and 10 * _edit(line, text) <= max(len(line), len(text)):
+                want[10 * i + j + 1] = j
+        rows.append((10 * i, line))
+    gone = {r.doc_id for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), typos=True).filter("n_removed > 0").collect()}
+    found = [sum(k in gone for k, j in want.items() if j == kind) / max(1, sum(j == kind for j in want.values())) for kind in range(3)]
+    print(n, found)
+    assert found[0] == found[1] == 1 and found[2] >= 0.97 and gone <= {i for i, _ in rows if i % 10}
+
+
 # ── all ──
 
 
