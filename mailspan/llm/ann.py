@@ -68,22 +68,11 @@ def fit(vectors: DataFrame, books: int = BOOKS, words: int = WORDS, training_vec
     return np.stack(out)
 
 
-def _smallest(scores: np.ndarray, keep: int) -> np.ndarray:
-    """Positions of the `keep` smallest in each row; of equal ones the first."""
-    if scores.shape[1] <= keep:
-        return np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
-    edge = np.partition(scores, keep - 1, axis=1)[:, keep - 1 : keep]
-    out = np.empty((len(scores), keep), np.int64)
-    for i, row in enumerate(scores):
-        under, at = np.flatnonzero(row < edge[i]), np.flatnonzero(row == edge[i])
-        out[i] = np.concatenate((under, at[: keep - len(under)]))
-    return out
-
-
 def nearest(df: DataFrame, queries: "F.Column | None" = None, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding", shortlist: int = SHORTLIST) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row that `queries` selects its `k` nearest others by Euclidean
     distance, nearest first, ties to the smaller id.
 
+    Every block's shortlist is ranked exactly, with all that ties with its last one and all vectors of the same codes.
     Rows with a null id, and vectors that are null, empty, zero, of another length than most or hold null or non-finite
     components take no part. Rows repeated in full count once. Too few candidates give fewer rows; an empty table none.
     """
@@ -109,6 +98,10 @@ def nearest(df: DataFrame, queries: "F.Column | None" = None, k: int = 10, id_co
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32())], ["vec_id", "vh", "code", "norm"])
 
     index = written(rows.select("vec_id", "vh", "v").mapInArrow(coded, "vec_id long, vh long, code binary, norm float"), "index")
+    # of equal vectors no more than the smallest ids can be among the nearest of any query
+    copies = W.partitionBy("vh").orderBy("vec_id")
+    index = index.dropDuplicates(["vec_id", "vh"]).withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k + 1).drop("copy")
+    index = written(index, "distinct")
     asked = rows.filter("q").select(F.col("vec_id").alias("query_id"), F.col("vh").alias("query_vh"), "v").distinct()
     asked = written(asked, "queries")
     # blocks of queries against blocks of codes, each pair one group of a bounded size
@@ -117,12 +110,12 @@ def nearest(df: DataFrame, queries: "F.Column | None" = None, k: int = 10, id_co
     right = index.withColumn("cb", F.pmod(F.xxhash64("vec_id"), F.lit(n_c)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
 
     def score(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "query_vh": [], "vec_id": [], "vh": [], "approx": []}
+        out = {"query_id": [], "query_vh": [], "code": []}
         c = c.drop_duplicates(["vec_id", "vh"]).sort_values(["vec_id", "vh"])
         if not len(q) or not len(c):
             return pd.DataFrame(out)
         books, codes = shared.value, np.frombuffer(b"".join(c["code"]), np.uint8).reshape(len(c), -1)
-        ids, vhs, norms = c["vec_id"].to_numpy(), c["vh"].to_numpy(), c["norm"].to_numpy(np.float32)
+        ids, norms = c["vec_id"].to_numpy(), c["norm"].to_numpy(np.float32)
         for at in range(0, len(q), 64):
             part = q.iloc[at : at + 64]
             x = np.stack(part["v"].to_numpy()).astype(np.float32)
@@ -131,19 +124,20 @@ def nearest(df: DataFrame, queries: "F.Column | None" = None, k: int = 10, id_co
             for t, own in zip(tables, codes.T, strict=True):
                 scores += t[:, own]
             scores[part["query_id"].to_numpy()[:, None] == ids[None, :]] = np.inf
-            best = _smallest(scores, shortlist)
-            for i, row in enumerate(best):
-                row = row[np.isfinite(scores[i, row])]
-                out["query_id"].append(np.full(len(row), part["query_id"].iloc[i]))
-                out["query_vh"].append(np.full(len(row), part["query_vh"].iloc[i]))
-                out["vec_id"].append(ids[row])
-                out["vh"].append(vhs[row])
-                out["approx"].append(scores[i, row])
+            # scores that single precision cannot tell from that of the last one kept tie with it
+            slack = 32 * np.finfo(np.float32).eps * (norms + (x**2).sum(1)[:, None])
+            edge = np.partition(scores, min(shortlist, len(c)) - 1, axis=1)[:, min(shortlist, len(c)) - 1, None]
+            for i, row in enumerate(np.isfinite(scores) & (scores <= edge + slack)):
+                # codes, not ids: all vectors of a code tie, also those of other blocks
+                own = np.unique(codes[row], axis=0)
+                out["query_id"].append(np.full(len(own), part["query_id"].iloc[i]))
+                out["query_vh"].append(np.full(len(own), part["query_vh"].iloc[i]))
+                out["code"].append(np.array([x.tobytes() for x in own], object))
         return pd.DataFrame({k: np.concatenate(x) for k, x in out.items()})
 
-    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(score, "query_id long, query_vh long, vec_id long, vh long, approx float")
+    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(score, "query_id long, query_vh long, code binary").distinct()
     own = W.partitionBy("query_id", "query_vh")
-    short = found.withColumn("r", F.row_number().over(own.orderBy("approx", "vec_id", "vh"))).filter(F.col("r") <= shortlist)
+    short = found.join(index.select("code", "vec_id", "vh"), "code").filter(F.col("query_id") != F.col("vec_id")).drop("code")
     full = rows.select("vec_id", "vh", F.col("v").alias("cv"))
     exact = short.join(full, ["vec_id", "vh"]).dropDuplicates(["query_id", "query_vh", "vec_id", "vh"]).join(asked, ["query_id", "query_vh"])
     square = F.aggregate(F.zip_with("v", "cv", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda a, b: a + b)

@@ -304,6 +304,20 @@ def test_recall_on_the_table(spark):
     assert sum(len(got[q] & {i for _, i in w}) for q, w in want.items()) >= 0.9 * sum(map(len, want.values()))
 
 
+def test_recall_among_near_copies(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(5000, 16))
+    x[1000:4000] = x[0] + 1e-4 * rng.normal(size=(3000, 16))
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
+    want, got = _brute(rows), defaultdict(set)
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = {q: len(got[q] & {i for _, i in w}) for q, w in want.items()}
+    near, others = [hits[q] for q in hits if 1000 <= q < 4000], [hits[q] for q in hits if not 1000 <= q < 4000]
+    print("RECALL", sum(near), 10 * len(near), sum(others), 10 * len(others))
+    assert sum(near) >= 0.95 * 10 * len(near) and sum(others) >= 0.9 * 10 * len(others)
+
+
 def test_beams_never_do_worse():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(200, 16)).astype(np.float32)
