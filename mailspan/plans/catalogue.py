@@ -364,10 +364,10 @@ _PARTIES = """pa AS (
   UNION ALL SELECT s_suppkey::VARCHAR, 'SENDER', NULL, substr(s_name, 1, 16), NULL, NULL, NULL FROM supplier WHERE s_suppkey % 5 = 1)"""
 
 
-def _parties(spark: SparkSession, d: str) -> DataFrame:
-    """Parties with exact, partial, padded and unknown names."""
+def _parties(spark: SparkSession, d: str, every: int = 20) -> DataFrame:
+    """Parties with exact, partial, padded and unknown names, for one order in `every`."""
     c, s = views.table(spark, d, "customer").select("c_custkey", "c_name"), views.table(spark, d, "supplier")
-    orders = views.table(spark, d, "orders").select("o_orderkey", "o_custkey").filter("o_orderkey % 20 = 0").join(c, F.col("o_custkey") == c["c_custkey"])
+    orders = views.table(spark, d, "orders").select("o_orderkey", "o_custkey").filter(f"o_orderkey % {every} = 0").join(c, F.col("o_custkey") == c["c_custkey"])
     none = F.lit(None).cast("string")
     a = orders.select(F.col("o_orderkey").cast("string").alias("documentId"), F.lit("RECEIVER").alias("role"), F.expr("if(o_orderkey % 3 = 0, upper(c_name), substr(c_name, 1, 17))").alias("name"), none.alias("organization"), F.expr("if(o_orderkey % 2 = 0, concat('c', c_custkey, '@example.com'), null)").alias("email"), F.expr("concat('030 ', c_custkey)").alias("phone"), F.lit("Weg 1").alias("address"))
     b = s.select(F.col("s_suppkey").cast("string").alias("documentId"), F.lit("SENDER").alias("role"), none.alias("name"), F.expr("case when s_suppkey % 5 = 0 then concat('Nobody ', s_suppkey) when s_suppkey % 5 = 1 then substr(s_name, 1, 16) else concat(' ', lower(s_name), ' ') end").alias("organization"), none.alias("email"), none.alias("phone"), none.alias("address"))
@@ -412,6 +412,12 @@ def match_type(spark, d):
     return resolve.suggestions(_parties(spark, d), views.profiles(spark, d)).select("documentId", "role", "profileId", "confidence", "matchType")
 
 
+@query("SELECT documentId, role, profileId, confidence, matchType FROM su", _PARTIES.replace("o_orderkey % 20 = 0", "true"), *_RESOLVED[1:])
+def match_type_whole(spark, d):
+    """The same for every order."""
+    return resolve.suggestions(_parties(spark, d, 1), views.profiles(spark, d)).select("documentId", "role", "profileId", "confidence", "matchType")
+
+
 @query("SELECT documentId, profileId, role FROM su WHERE matchType = 'EXACT_MATCH'", *_RESOLVED)
 def match_auto_links(spark, d):
     return resolve.auto_links(resolve.suggestions(_parties(spark, d), views.profiles(spark, d)), NOW).drop("createdAt")
@@ -533,6 +539,20 @@ def relative_time(spark, d):
     return views.timeline(spark, d).filter(F.col("createdAt") <= NOW).select("id", scalars.relative_time(F.col("createdAt"), F.lit(NOW)).alias("ago"))
 
 
+#: After the last event.
+_LATE = 1_706_800_000_000
+_LATER = f"({_LATE} - createdAt)"
+
+
+@query(
+    f"SELECT id, CASE WHEN {_LATER} < 60000 THEN 'Just now' WHEN {_LATER} < 3600000 THEN ({_LATER} // 60000) || ' min ago' WHEN {_LATER} < 86400000 THEN ({_LATER} // 3600000) || 'h ago' WHEN {_LATER} < 604800000 THEN ({_LATER} // 86400000) || 'd ago' ELSE strftime(make_timestamp(createdAt * 1000), '%d.%m.%Y') END AS ago FROM tl",
+    o.TIMELINE,
+)
+def relative_time_whole(spark, d):
+    """The same for all events, with dates."""
+    return views.timeline(spark, d).select("id", scalars.relative_time(F.col("createdAt"), F.lit(_LATE)).alias("ago"))
+
+
 @query("SELECT p_partkey, 'PAM_' || substr(regexp_replace(p_name || ' (' || p_type || ') für ' || p_brand, '[^a-zA-Z0-9_-]', '_', 'g'), 1, 50) || '.pdf' AS name FROM part")
 def pdf_filename(spark, d):
     return views.table(spark, d, "part").select("p_partkey", scalars.pdf_file_name(F.expr("concat(p_name, ' (', p_type, ') für ', p_brand)")).alias("name"))

@@ -20,6 +20,13 @@ def test_query(spark, sql, name):
         assert len(got)
 
 
+def test_whole_tables_are_answered(spark, sql):
+    count = lambda q: sql.execute(q).fetchone()[0]
+    ago = QUERIES["relative_time_whole"](spark, SMALL)
+    assert ago.count() == count("select count(*) from events") and not ago.filter("ago rlike '^[0-9]{2}[.]'").isEmpty()
+    assert QUERIES["match_type_whole"](spark, SMALL).filter("role = 'RECEIVER'").count() == count("select count(*) from orders")
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
