@@ -25,3 +25,14 @@ def components(edges: DataFrame) -> DataFrame:
         if moved.filter("component <> old").limit(1).count() == 0:
             return moved.select("node", "component")
         labels = moved.select("node", "component")
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """`labels` (node, component) after more `links` (src, dst): only what connects different components is worked on."""
+    top = labels.select(F.col("node"), F.col("component"))
+    named = links.select("src", "dst")
+    for side in ("src", "dst"):
+        named = named.join(top.withColumnRenamed("node", side), side, "left").withColumn(side, F.coalesce("component", side)).drop("component")
+    over = components(named.distinct()).select(F.col("node").alias("component"), F.col("component").alias("over"))
+    ends = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct().join(top, "node", "left_anti").withColumn("component", F.col("node"))
+    return written(top.union(ends).join(over, "component", "left").select("node", F.coalesce("over", "component").alias("component")), "labels")

@@ -2,10 +2,18 @@
 
 Every set is XOR-hashed into a sketch of parity bits, whose Hamming distance never exceeds the symmetric difference of
 two sets. For sets of a and b shingles a similarity of 3/4 or more means a symmetric difference of at most (a + b) / 7.
-Per band of sizes the sketch is divided into more parts than that bound, so that two linked sets agree in some part
-(pigeonhole); parts are joined on their XOR fingerprints, candidates are filtered by the whole sketches' distance and
-verified on the sets. Sets that are equal are one class from the start, and classes that are already connected are not
-compared again, so that groups of copies cost in proportion to their size.
+Per band of sizes the sketch is taken in more parts than that bound, so that two linked sets agree in some part
+(pigeonhole). What is joined are the parts' XOR fingerprints (a part's parity bits at full width, 64 for each), so that
+parts agree by chance almost never; the sketch in parity bits filters the candidates, and the sets verify them.
+
+Shingles that many rows hold would bring all of these together in one part. Parts therefore leave them out, in levels:
+level 0 leaves out all common ones; a set of which too little is left then is found by level 1 too, which leaves out only
+those that are LEVEL times as common, and so on to the last level with all shingles. Two linked sets agree in a part of
+the first level at which one of them has enough left, so no link is lost, and a group of that level is no larger than its
+bound on how common a shingle may be.
+
+Sets that are equal are one class from the start, and classes that are already connected are not compared again, so that
+groups of copies cost in proportion to their size.
 """
 
 from __future__ import annotations
@@ -21,20 +29,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailspan.llm._common import arrow_batches, table, written
-from mailspan.llm._graph import components
+from mailspan.llm._graph import components, joined
 
 SHINGLE = 5
 #: Linked: 7 * common >= 3 * (a + b), which is 100 * common >= 75 * union.
-SHINGLES_A_BUCKET, CHUNK, MEMBERS_A_TASK = 6_000_000, 2048, 50_000
-#: Shingles that so many rows hold are too common to tell sets apart; parts leave them out, the most common first and no
-#: more than MOST_COMMON of them. That decides how fast the join is, never what it finds.
-COMMON_ROWS, MOST_COMMON, HELD_SHINGLES = 8, 1_000_000, 4_000_000
+#: Shingles whose keys meet in one bucket; shingles whose keys are made at a time; members of a star that are compared at a
+#: time; members, and bytes of their sketches, that one task compares.
+SHINGLES_A_BUCKET, SHINGLES_AT_ONCE, CHUNK, MEMBERS_A_TASK, SKETCHES_A_TASK = 2_500_000, 400_000, 2048, 50_000, 32 << 20
+#: Shingles that so many rows hold are common, the most common first and no more than MOST_COMMON of them; from one level to
+#: the next they may be LEVEL times as common. That decides how fast the join is, never what it finds.
+COMMON_ROWS, LEVEL, MOST_COMMON, HELD_SHINGLES = 8, 16, 1_000_000, 4_000_000
+#: A key of the last level may have as many rows as the most common shingle; beyond SPLIT_ROWS they are dealt into parts,
+#: each pair of which meets under a key of its own.
+SPLIT_ROWS = 1_000_000
 #: Rounds in which one link for each two connected groups is looked for, before all that may be left are compared.
-FOREST_ROUNDS = 4
-#: Up to so many document ids are broadcast, to pick their texts; more are joined by a shuffle.
+FOREST_ROUNDS = 2
+#: Up to so many ids are broadcast, to pick rows; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: A class in candidate groups: its key and, after it, the size of its set.
-NODE = 24
 _BLOCK = 1 << 20
 
 _U = np.uint64
@@ -144,33 +155,67 @@ def parts_of(low: int, high: int) -> tuple[int, int]:
     return d + 1 + spare, spare
 
 
-def part_keys(s: np.ndarray, band: int, starts: list[int], common: np.ndarray) -> np.ndarray:
-    """Keys under which a set is found: as one of band `band`, from its parts' XOR fingerprints."""
-    n_parts, spare = parts_of(starts[band], starts[band + 1] - 1)
-    with np.errstate(over="ignore"):
-        salt = _U((band + 1) * _P & _MASK)
-        h = _mixed(s ^ salt)
-        if len(common):
-            at = np.searchsorted(common, s)
-            h = h[common[np.minimum(at, len(common) - 1)] != s]
-        part = ((h >> _U(32)) * _U(n_parts)) >> _U(32)
-        order = np.argsort(part, kind="stable")
-        part, h = part[order], h[order]
-        first = np.flatnonzero(np.diff(part, prepend=_U(n_parts))) if len(part) else np.zeros(0, np.int64)
-        shown, prints = part[first], np.bitwise_xor.reduceat(h, first) if len(first) else np.zeros(0, np.uint64)
-        keys = _mixed(_mixed(prints + salt) + shown * _MIX[0])
-        if n_parts - len(first) > spare:  # rare: it may agree with a set in nothing but empty parts, and then that has as many
-            keys = np.append(keys, _mixed(np.array([salt ^ _MIX[1]])))
+def batch_keys(sets: list[np.ndarray], starts: list[int], common: np.ndarray, drops: np.ndarray | None = None, salts: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Keys under which the sets are found, from their parts' XOR fingerprints, and for each key the number of its set.
+
+    Each set has keys in its band and, as a larger partner, in the one below, if a set there can be large enough.
+    common: hashes of shingles, sorted, that are left out at as many levels as `drops` says (by default, the first).
+    """
+    sizes = np.array([len(x) for x in sets], np.int64)
+    flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    left_out = np.zeros(len(flat), np.uint8)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+        left_out = np.where(common[at] == flat, 1 if drops is None else drops[at], 0).astype(np.uint8)
+    last = 1 if len(common) and drops is None else int(drops.max()) if len(common) else 0
+    bands = np.searchsorted(starts, sizes, "right") - 1
+    edges = np.array(starts, np.int64)
+    shape = np.array([parts_of(starts[b], starts[b + 1] - 1) for b in range(len(starts) - 1)], np.int64).reshape(-1, 2)
+    keys, owners = [], []
+    own = [bound(starts[b + 1] - 1, 4 * (starts[b + 1] - 1) // 3) > 0 for b in range(len(starts) - 1)]
+    for band, chosen in ((bands, np.array(own, bool)[bands]), (bands - 1, (bands > 0) & (3 * sizes <= 4 * (edges[bands] - 1)))):
+        with np.errstate(over="ignore"):
+            band = np.maximum(band, 0)
+            salt = (band + 1).astype(np.uint64) * _U(_P)
+            n_parts, spare = shape[band, 0], shape[band, 1]
+            here = chosen[of]
+            o, h, d = of[here], _mixed(flat[here] ^ salt[of[here]]), left_out[here]
+            part = ((h >> _U(32)) * n_parts[o].astype(np.uint64)) >> _U(32)
+            order = np.argsort((o.astype(np.uint64) << _U(32)) | part, kind="stable")
+            o, part, h, d = o[order], part[order], h[order], d[order]
+            todo = chosen.copy()
+            for level in range(last + 1):
+                keep = (d <= level) & todo[o]
+                ko, kp, kh = o[keep], part[keep], h[keep]
+                if len(ko):
+                    first = np.flatnonzero(np.append(True, (ko[1:] != ko[:-1]) | (kp[1:] != kp[:-1])))
+                    ko, kp, prints = ko[first], kp[first], np.bitwise_xor.reduceat(kh, first)
+                    key = _mixed(_mixed(prints + salt[ko]) + kp * _MIX[0] + _U(level) * _MIX[2])
+                    keys.append(key if level < last else _dealt(key, sets, ko, salts))
+                    owners.append(ko if level < last else np.repeat(ko, salts))
+                todo &= n_parts - np.bincount(ko, minlength=len(sets)) > spare
+                if not todo.any():
+                    break
+            if todo.any():  # rare: they may agree with a set in nothing but empty parts, and then that has as many
+                ko = np.flatnonzero(todo)
+                keys.append(_dealt(_mixed(salt[ko] ^ _MIX[1]), sets, ko, salts))
+                owners.append(np.repeat(ko, salts))
+    return (np.concatenate(keys), np.concatenate(owners)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _dealt(keys: np.ndarray, sets: list[np.ndarray], owners: np.ndarray, salts: int) -> np.ndarray:
+    """`salts` keys for each: one for each part that the own part of its set is to meet."""
+    if salts == 1:
         return keys
+    own = np.array([int(_mixed(x[:1])[0] % _U(salts)) if len(x) else 0 for x in sets], np.uint64)[owners][:, None]
+    other = np.arange(salts, dtype=np.uint64)[None, :]
+    with np.errstate(over="ignore"):
+        return _mixed(keys[:, None] + (np.minimum(own, other) * _U(salts) + np.maximum(own, other) + _U(1)) * _MIX[3]).reshape(-1)
 
 
-def keys_of(s: np.ndarray, starts: list[int], common: np.ndarray) -> np.ndarray:
-    """All keys of a set: in its band, and as a larger partner in the one below, if a set there can be large enough."""
-    band = int(np.searchsorted(starts, len(s), "right")) - 1
-    out = [part_keys(s, band, starts, common)] if bound(starts[band + 1] - 1, 4 * (starts[band + 1] - 1) // 3) else []
-    if band and 3 * len(s) <= 4 * (starts[band] - 1):
-        out.append(part_keys(s, band - 1, starts, common))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+def keys_of(s: np.ndarray, starts: list[int], common: np.ndarray, drops: np.ndarray | None = None, salts: int = 1) -> np.ndarray:
+    """All keys of one set."""
+    return batch_keys([s], starts, common, drops, salts)[0]
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -219,23 +264,29 @@ def near_pairs(sizes: np.ndarray, sketches: list[bytes], classes: np.ndarray, se
     return out
 
 
+def node_id(key: bytes) -> int:
+    """What stands for a set in candidate groups. Sets whose ids are equal by chance become candidates together."""
+    return int.from_bytes(key[:8], "little", signed=True)
+
+
 def _described(df: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key, sketch of each row of (doc_id, text)."""
+    """doc_id, rk, n_shingles, set_key, id, sketch of each row of (doc_id, rk, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, keys, sketches = [], [], []
-            for s in shingle_sets(batch.column(1).to_pylist()):
+            for s in shingle_sets(batch.column(2).to_pylist()):
                 n.append(len(s))
                 keys.append(set_key(s))
                 sketches.append(sketch(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "set_key", "sketch"])
+            ids = pa.array([None if k is None else node_id(k) for k in keys], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), ids, pa.array(sketches, pa.binary())], ["doc_id", "rk", "n_shingles", "set_key", "id", "sketch"])
 
-    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_key binary, sketch binary")
+    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, rk long, n_shingles long, set_key binary, id long, sketch binary")
 
 
-def _common(df: DataFrame) -> np.ndarray:
-    """Hashes of the most common shingles of all rows, sorted."""
+def _common(df: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes of the most common shingles of all rows, sorted; at how many levels each is left out; the largest count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, held = [], 0
@@ -249,110 +300,108 @@ def _common(df: DataFrame) -> np.ndarray:
             for s in shingle_sets(batch.column(0).to_pylist()):
                 sets.append(s.view(np.int64))
                 held += len(s)
-            if held > HELD_SHINGLES:
-                yield out()
-                sets, held = [], 0
+                if held > HELD_SHINGLES:
+                    yield out()
+                    sets, held = [], 0
         if sets:
             yield out()
 
     counted = df.select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON_ROWS)
-    got = counted.orderBy(F.desc("n"), "s").limit(MOST_COMMON).select("s").toPandas()["s"]
-    return np.sort(got.to_numpy(np.int64).view(np.uint64))
-
-
-def _agreeing(df: DataFrame, starts: list[int], common: np.ndarray, buckets: int) -> DataFrame:
-    """members: the distinct groups of nodes (concatenated, sorted) that agree in some part."""
-    shared = df.sparkSession.sparkContext.broadcast((starts, common))
+    got = counted.orderBy(F.desc("n"), "s").limit(MOST_COMMON).toPandas()
+    if not len(got):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint8), 0
+    s, n = got["s"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
+    order, drops, at = np.argsort(s), np.ones(len(n), np.uint8), n.min() * LEVEL
+    while at <= n.max():
+        drops, at = drops + (n >= at).astype(np.uint8), at * LEVEL
+    return s[order], drops[order], int(n.max())
+
+
+def _agreeing(df: DataFrame, starts: list[int], common: tuple[np.ndarray, np.ndarray, int], buckets: int) -> DataFrame:
+    """Stars of the sets that agree in some part: pairs (src, dst) of the smallest id among them and each other one."""
+    shared = df.sparkSession.sparkContext.broadcast((starts, *common[:2]))
+    salts = max(1, -(-common[2] // SPLIT_ROWS))
+
+    def packed(sets: list[np.ndarray], names: list[int]) -> pa.RecordBatch:
+        k, o = batch_keys(sets, *shared.value, salts)
+        bucket = ((k >> _U(32)) * _U(buckets)) >> _U(32)
+        order = np.argsort(bucket * _U(len(sets)) + o.astype(np.uint64), kind="stable")
+        k, o, bucket = k[order], o[order], bucket[order]
+        run = np.flatnonzero(np.append(True, (o[1:] != o[:-1]) | (bucket[1:] != bucket[:-1])))  # keys of one set in one bucket
+        counts, whose, where = np.diff(np.append(run, len(k))).astype(np.uint32), np.array(names, np.int64)[o[run]], bucket[run]
+        ids, first = np.unique(where, return_index=True)
+        cells = [(a, b, int(run[a]), int(run[b]) if b < len(run) else len(k)) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(run)], strict=True)]
+        five = k.view(np.uint8).reshape(-1, 8)[:, :5]  # 40 of 64 bits; the bucket has others
+        columns = [[five[lo:hi].tobytes() for _, _, lo, hi in cells], [counts[a:b].tobytes() for a, b, _, _ in cells], [whose[a:b].tobytes() for a, b, _, _ in cells]]
+        return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64), pa.int64()), *(pa.array(x, pa.binary()) for x in columns)], ["bucket", "keys", "counts", "names"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, common = shared.value
+        seen: set[bytes] = set()
+        sets, names, held = [], [], 0
         for batch in batches:
-            seen: dict[bytes, int] = {}
-            keys, owners = [], []
             for s in shingle_sets(batch.column(0).to_pylist()):
-                if len(s) and (key := set_key(s) + len(s).to_bytes(8, "big")) not in seen:
-                    seen[key] = len(seen)
-                    keys.append(keys_of(s, starts, common))
-                    owners.append(np.full(len(keys[-1]), seen[key], np.uint16))
-            if not keys:
-                continue
-            k, o = np.concatenate(keys), np.concatenate(owners)
-            names = np.frombuffer(b"".join(seen), f"V{NODE}")
-            bucket = ((k >> _U(32)) * _U(buckets)) >> _U(32)
-            order = np.lexsort((k & _U((1 << 40) - 1), bucket))
-            k, o, bucket = k[order], o[order], bucket[order]
-            ids, first = np.unique(bucket, return_index=True)
-            for b, lo, hi in zip(ids.tolist(), first.tolist(), [*first[1:].tolist(), len(k)], strict=True):
-                own, at = np.unique(o[lo:hi], return_inverse=True)
-                planes = np.ascontiguousarray(k[lo:hi].view(np.uint8).reshape(-1, 8)[:, :5].T)  # 40 of 64 bits; the bucket has others
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([planes.tobytes()], pa.binary()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([names[own].tobytes()], pa.binary())], ["bucket", "keys", "owner", "names"])
-
-    def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        every, codes = np.unique(np.frombuffer(b"".join(pdf["names"]), ">u8").reshape(-1, 3), axis=0, return_inverse=True)
-        codes, entries, at = codes.reshape(-1), [], 0
-        for planes, owner, names in zip(pdf["keys"], pdf["owner"], pdf["names"], strict=True):
-            n, own = len(owner) // 2, len(names) // NODE
-            wide = np.zeros((n, 8), np.uint8)
-            wide[:, 3:] = np.frombuffer(planes, np.uint8).reshape(5, n).T
-            entries.append(wide.view(np.uint64).reshape(-1) | codes[at : at + own][np.frombuffer(owner, np.uint16)].astype(np.uint64))
-            at += own
-        found = np.unique(np.concatenate(entries))  # 40 bits of the key over 24 of the code
-        k, c = found >> _U(24), (found & _U((1 << 24) - 1)).astype(np.int64)
-        first = np.flatnonzero(np.diff(k, prepend=~k[:1]))
-        size = np.diff(np.append(first, len(k)))
-        two = first[size == 2]
-        small, large = np.minimum(*(x := every[:, 2][np.stack((c[two], c[two + 1]))])), np.maximum(*x)
-        two = two[3 * large <= 4 * small]  # sizes that can be linked
-        groups = {tuple(x) for x in np.unique(np.stack((c[two], c[two + 1]), 1), axis=0).tolist()} if len(two) else set()
-        groups |= {tuple(c[lo : lo + n].tolist()) for lo, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True)}
-        names = [x.tobytes() for x in every]
-        return pd.DataFrame({"members": [b"".join(names[i] for i in g) for g in groups]}, dtype=object)
-
-    entries = df.select("text").mapInArrow(emit, "bucket int, keys binary, owner binary, names binary")
-    return entries.groupBy("bucket").applyInPandas(meet, "members binary").distinct()
-
-
-def _nodes(members: bytes) -> list[tuple[bytes, int]]:
-    return [(members[i : i + 16], int.from_bytes(members[i + 16 : i + NODE], "big")) for i in range(0, len(members), NODE)]
-
-
-def _pairs(groups: DataFrame) -> DataFrame:
-    """Each group's first member with each other one, where their sizes allow a link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for m in batch.column(0).to_pylist():
-                (head, n), *rest = _nodes(m)
-                rest = [k for k, x in rest if 3 * max(n, x) <= 4 * min(n, x)]
-                a += [head] * len(rest)
-                b += rest
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["src", "dst"])
-
-    return groups.mapInArrow(run, "src binary, dst binary").distinct()
-
-
-def _sides(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
-    one = table.select(F.col("set_key").alias("src"), *(F.col(c).alias(f"{c}_a") for c in columns))
-    two = table.select(F.col("set_key").alias("dst"), *(F.col(c).alias(f"{c}_b") for c in columns))
+                if not len(s) or (key := set_key(s)) in seen:
+                    continue
+                if len(seen) < 200_000:
+                    seen.add(key)
+                sets.append(s)
+                names.append(node_id(key))
+                held += len(s)
+                if held >= SHINGLES_AT_ONCE:
+                    yield packed(sets, names)
+                    sets, names, held = [], [], 0
+        if sets:
+            yield packed(sets, names)
+
+    def meet(cells: pa.Table) -> pa.Table:
+        names = np.frombuffer(b"".join(cells["names"].to_pylist()), np.int64)
+        counts = np.frombuffer(b"".join(cells["counts"].to_pylist()), np.uint32)
+        ids, code = np.unique(names, return_inverse=True)
+        c = np.repeat(code.astype(np.int32), counts)
+        k = np.zeros((len(c), 8), np.uint8)
+        k[:, :5] = np.frombuffer(b"".join(cells["keys"].to_pylist()), np.uint8).reshape(-1, 5)
+        k = k.view(np.uint64).reshape(-1)
+        order = np.lexsort((c, k))
+        k, c = k[order], c[order]
+        fresh = np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])) if len(k) else np.zeros(0, bool)
+        k, c = k[fresh], c[fresh]
+        first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+        head = np.repeat(c[first], np.diff(np.append(first, len(k))))  # codes are in the order of ids
+        pair = np.unique((head.astype(np.int64) * len(ids) + c)[head != c])
+        return pa.table({"src": ids[pair // max(1, len(ids))], "dst": ids[pair % max(1, len(ids))]})
+
+    entries = df.select("text").mapInArrow(emit, "bucket long, keys binary, counts binary, names binary")
+    return entries.groupBy("bucket").applyInArrow(meet, "src long, dst long").distinct()
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    """For a join: broadcast if it has been counted to be small."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def _sides(pairs: DataFrame, table: DataFrame, key: str, *columns: str) -> DataFrame:
+    one = table.select(F.col(key).alias("src"), *(F.col(c).alias(f"{c}_a") for c in columns))
+    two = table.select(F.col(key).alias("dst"), *(F.col(c).alias(f"{c}_b") for c in columns))
     return pairs.join(one, "src").join(two, "dst").select("src", "dst", *(f"{c}_{x}" for x in "ab" for c in columns))
 
 
-def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (src, dst) whose sizes and sketches allow a link."""
+def _close(pairs: DataFrame, active: DataFrame) -> DataFrame:
+    """The pairs (src, dst), as set keys, of the pairs of ids whose sizes and sketches allow a link."""
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for na, sa, nb, sb in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
                 words = min(len(sa), len(sb)) // 8
-                keep.append(3 * max(na, nb) <= 4 * min(na, nb) and int(np.bitwise_count(_folded(sa, words) ^ _folded(sb, words)).sum()) <= bound(na, nb))
+                keep.append(int(np.bitwise_count(_folded(sa, words) ^ _folded(sb, words)).sum()) <= bound(na, nb))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return _sides(pairs, classes, "n", "sketch").mapInArrow(close, "src binary, dst binary")
+    fit = _sides(pairs, active.select("id", "set_key", "n"), "id", "set_key", "n").filter("3 * greatest(n_a, n_b) <= 4 * least(n_a, n_b)")
+    named = fit.select(F.col("set_key_a").alias("src"), F.col("set_key_b").alias("dst")).filter("src <> dst")
+    return _sides(named, active, "set_key", "n", "sketch").mapInArrow(close, "src binary, dst binary")
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (src, dst) whose sets are linked. Sets are made again, for these pairs alone, from the text of a row of each class."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,38 +419,24 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(7 * int(np.count_nonzero(both[1:] == both[:-1])) >= 3 * len(both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = written(pairs, "near")
     keys = pairs.select(F.col("src").alias("set_key")).union(pairs.select("dst")).distinct()
-    ids = written(classes.join(keys, "set_key", "left_semi").select("doc_id").distinct(), "ids")
-    chosen = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    sets = chosen.select("text").mapInArrow(whole, "set_key binary, shingles binary")
-    return _sides(pairs, written(sets.join(keys, "set_key", "left_semi").dropDuplicates(["set_key"]), "sets"), "shingles").mapInArrow(linked, "src binary, dst binary")
-
+    sets = texts.join(_few(keys), "set_key", "left_semi").select("text").mapInArrow(whole, "set_key binary, shingles binary")
+    return _sides(pairs, written(sets.dropDuplicates(["set_key"]), "sets"), "set_key", "shingles").mapInArrow(linked, "src binary, dst binary")
 
-def _remaining(groups: DataFrame, classes: DataFrame, labels: DataFrame, seed: int | None) -> DataFrame:
-    """Pairs within the groups that are not yet connected and whose sketches allow a link."""
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            g, k, n = [], [], []
-            for m in batch.column(0).to_pylist():
-                if len(m) == 2 * NODE:  # two members: the first verification has told all about them
-                    continue
-                name, size = blake2b(m, digest_size=12).digest(), len(m) // NODE
-                g += [name] * size
-                n += [size] * size
-                k += [key for key, _ in _nodes(m)]
-            yield pa.RecordBatch.from_arrays([pa.array(g, pa.binary()), pa.array(n, pa.int64()), pa.array(k, pa.binary())], ["g", "size", "set_key"])
-
-    rows = groups.mapInArrow(members, "g binary, size long, set_key binary").join(labels.select(F.col("node").alias("set_key"), "component"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
-    open_groups = rows.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("g")
-    rows = rows.join(open_groups, "g", "left_semi")
-    # a large group is compared chunk by chunk, each pair of chunks in a task of its own
+def _remaining(stars: DataFrame, active: DataFrame, labels: DataFrame, seed: int | None) -> DataFrame:
+    """Pairs of the stars' members that are not yet connected and whose sketches allow a link."""
+    named = active.select("id", "set_key").join(labels.select(F.col("node").alias("set_key"), "component"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
+    rows = stars.select(F.col("src").alias("g"), F.col("dst").alias("id")).join(named, "id")
+    sizes = rows.groupBy(F.col("g").alias("star")).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("star", "size")
+    rows = rows.join(sizes, F.col("g") == F.col("star"))
+    # a large star is compared chunk by chunk, each pair of chunks for itself
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     rows = rows.withColumn("c", F.pmod(F.xxhash64("set_key"), chunks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    rows = written(rows.withColumn("lo", F.least("c", "o")).withColumn("hi", F.greatest("c", "o")), "members")
-    tasks = max(1, int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // MEMBERS_A_TASK))
-    rows = rows.join(classes.select("set_key", "n", "sketch"), "set_key")
+    rows = rows.select("g", "set_key", "component", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"))
+    rows = written(rows.join(active.select("set_key", "n", "sketch"), "set_key"), "members")
+    held = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("sketch")), F.lit(0)).alias("b")).first()
+    tasks = max(1, int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held.n // MEMBERS_A_TASK), -(-held.b // SKETCHES_A_TASK))
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["g", "lo", "hi"])
@@ -414,10 +449,9 @@ def _remaining(groups: DataFrame, classes: DataFrame, labels: DataFrame, seed: i
                 found.update((names[a + i], names[a + j]) for i, j in near_pairs(sizes[a:b], sketches[a:b], codes[a:b], seed))
         return pd.DataFrame({"src": [x for x, _ in found], "dst": [y for _, y in found]}, dtype=object)
 
-    # many groups a task; each group and pair of chunks is compared for itself
-    columns = ["g", "lo", "hi", "set_key", "component", "n", "sketch"]
-    dealt = rows.select(F.pmod(F.xxhash64("g", "lo", "hi"), F.lit(tasks)).alias("task"), *columns)
-    return dealt.groupBy("task").applyInPandas(compare, "src binary, dst binary").distinct()
+    # many stars a task; each star and pair of chunks is compared for itself
+    dealt = rows.select(F.pmod(F.xxhash64("g", "lo", "hi"), F.lit(tasks)).alias("task"), "g", "lo", "hi", "set_key", "component", "n", "sketch")
+    return dealt.groupBy("task").applyInPandas(compare, "src binary, dst binary")
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -428,31 +462,71 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     like others but never gives its group a name; if no row of the group has one, component_id is null. Long texts are
     read whole; an empty table gives no rows; other columns are ignored.
     """
+    return grouped(df, id_column, text_column).select("doc_id", "n_shingles", "component_id")
+
+
+def row_key(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> "F.Column":
+    return F.xxhash64(df[id_column], df[text_column].cast("string"))
+
+
+def one_of_each(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """`df` with one document of each group: the one with the smallest id, rows without an id after all others, ties by the
+    hash of id and text. Rows of equal id and text are one document, of which the row whose columns have the smallest hash
+    stays; rows of equal id and different texts are different documents. Documents without words all stay."""
+    told = written(grouped(df, id_column, text_column).select("doc_id", "rk", "group"), "told")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "rk")
+    first = told.filter("group is not null").groupBy("group").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("group").alias("g"), "first")
+    go = written(told.join(first, F.col("group") == F.col("g")).filter(place != F.col("first")).select(F.col("doc_id").alias("_d"), F.col("rk").alias("_k")).distinct(), "go")
+    again = written(told.groupBy(F.col("doc_id").alias("_d"), F.col("rk").alias("_k")).count().filter("count > 1").select("_d", "_k"), "again")
+
+    def same(other: DataFrame) -> "F.Column":
+        return df[id_column].eqNullSafe(other["_d"]) & (row_key(df, id_column, text_column) == other["_k"])
+
+    left = df.join(_few(go), same(go), "left_anti")
+    if again.isEmpty():
+        return left
+    repeated = left.join(_few(again), same(again), "left_semi")
+    one = repeated.groupBy(row_key(repeated, id_column, text_column).alias("_k"), repeated[id_column].alias("_d")).agg(F.min_by(F.struct(*df.columns), F.xxhash64(*df.columns)).alias("_row"))
+    return left.join(_few(again), same(again), "left_anti").unionByName(one.select("_row.*"))
+
+
+def grouped(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The same, with rk (the row's key) and group: the set key of one of the component's sets, null for the empty set. It
+    names the group even if no row of it has an id."""
     spark = df.sparkSession
     arrow_batches(spark)
-    docs = df.select(df[id_column].alias("doc_id"), df[text_column].cast("string").alias("text"))
+    text = df[text_column].cast("string")
+    docs = df.select(df[id_column].alias("doc_id"), row_key(df, id_column, text_column).alias("rk"), text.alias("text"))
     told = written(_described(docs), "sets")
     facts = told.agg(F.sum("n_shingles").alias("total"), F.max("n_shingles").alias("most")).first()
     if not facts.most:
-        return told.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        return told.select("doc_id", "rk", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("group"))
     starts = band_starts(facts.most)
-    groups = written(_agreeing(docs, starts, _common(docs), max(1, facts.total // SHINGLES_A_BUCKET)), "groups")
-    # one row for each set, under the smallest id that has it
-    classes = written(told.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    links = written(_linked(_close(_pairs(groups), classes), classes, docs), "links")
+    pairs = written(_agreeing(docs, starts, _common(docs), max(1, facts.total // SHINGLES_A_BUCKET)), "pairs")
+    # one row for each set, under the smallest id that has it; from here on only sets that are in a star count
+    classes = told.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("rk").alias("rk"), F.first("id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    classes = written(classes, "classes")
+    ids = written(pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct(), "ids")
+    active = written(classes.join(_few(ids), "id", "left_semi"), "active")
+    chosen = active.select("rk", "set_key")
+    texts = written(docs.join(_few(chosen), "rk").select("set_key", "text"), "texts")
+    links = written(_linked(written(_close(pairs, active).distinct(), "near"), texts), "links")
     labels = components(links)
     for seed in (*range(FOREST_ROUNDS), None):
-        asked = written(_remaining(groups, classes, labels, seed), "pairs")
-        found = written(_linked(asked, classes, docs), "links")
+        asked = written(_remaining(pairs, active, labels, seed).distinct(), "asked")
+        found = written(_linked(asked, texts), "links")
         n_asked, n_found = asked.count(), found.count()
         if n_found:
-            links = links.union(found)
-            labels = components(links)
+            labels = joined(labels, found)
         if n_found == n_asked:  # nothing that was asked for in vain could hide a link
             break
-    named = told.join(labels.select(F.col("node").alias("set_key"), "component"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
+    named = classes.select("set_key", "doc_id").join(labels.select(F.col("node").alias("set_key"), "component"), "set_key", "left").withColumn("group", F.coalesce("component", "set_key"))
     heads = named.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("head"))
-    return named.join(heads, "component", "left").select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("head")).alias("component_id"))
+    named = named.join(heads, "component", "left").select("set_key", "group", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("head")).alias("component_id"))
+    columns = ["doc_id", "rk", "n_shingles", "component_id", "group"]
+    full = told.filter("set_key is not null").select("doc_id", "rk", "n_shingles", "set_key").join(named, "set_key").select(columns)
+    empty = told.filter("set_key is null").select("doc_id", "rk", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("group"))
+    return full.union(empty)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
