@@ -35,7 +35,7 @@ SHINGLE = 5
 #: Linked: 7 * common >= 3 * (a + b), which is 100 * common >= 75 * union.
 #: Shingles whose keys meet in one bucket; shingles whose keys are made at a time; members of a star that are compared at a
 #: time; members, and bytes of their sketches, that one task compares.
-SHINGLES_A_BUCKET, SHINGLES_AT_ONCE, CHUNK, MEMBERS_A_TASK, SKETCHES_A_TASK = 2_500_000, 400_000, 2048, 50_000, 32 << 20
+SHINGLES_A_BUCKET, SHINGLES_AT_ONCE, CHUNK, MEMBERS_A_TASK, SKETCHES_A_TASK = 4_000_000, 400_000, 2048, 50_000, 32 << 20
 #: Shingles that so many rows hold are common, the most common first and no more than MOST_COMMON of them; from one level to
 #: the next they may be LEVEL times as common. That decides how fast the join is, never what it finds.
 COMMON_ROWS, LEVEL, MOST_COMMON, HELD_SHINGLES = 8, 16, 1_000_000, 4_000_000
@@ -155,10 +155,12 @@ def parts_of(low: int, high: int) -> tuple[int, int]:
     return d + 1 + spare, spare
 
 
-def batch_keys(sets: list[np.ndarray], starts: list[int], common: np.ndarray, drops: np.ndarray | None = None, salts: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Keys under which the sets are found, from their parts' XOR fingerprints, and for each key the number of its set.
+def batch_keys(sets: list[np.ndarray], starts: list[int], common: np.ndarray, drops: np.ndarray | None = None, salts: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys under which the sets are found, from their parts' XOR fingerprints; for each key the number of its set, and 1 if
+    the set is a guest there.
 
-    Each set has keys in its band and, as a larger partner, in the one below, if a set there can be large enough.
+    Each set has keys in its band and, as a larger partner, a guest, in the one below, if a set there can be large enough.
+    Two guests are found in a band of their own, so they need not meet.
     common: hashes of shingles, sorted, that are left out at as many levels as `drops` says (by default, the first).
     """
     sizes = np.array([len(x) for x in sets], np.int64)
@@ -171,9 +173,9 @@ def batch_keys(sets: list[np.ndarray], starts: list[int], common: np.ndarray, dr
     bands = np.searchsorted(starts, sizes, "right") - 1
     edges = np.array(starts, np.int64)
     shape = np.array([parts_of(starts[b], starts[b + 1] - 1) for b in range(len(starts) - 1)], np.int64).reshape(-1, 2)
-    keys, owners = [], []
+    keys, owners, guests = [], [], []
     own = [bound(starts[b + 1] - 1, 4 * (starts[b + 1] - 1) // 3) > 0 for b in range(len(starts) - 1)]
-    for band, chosen in ((bands, np.array(own, bool)[bands]), (bands - 1, (bands > 0) & (3 * sizes <= 4 * (edges[bands] - 1)))):
+    for guest, (band, chosen) in enumerate(((bands, np.array(own, bool)[bands]), (bands - 1, (bands > 0) & (3 * sizes <= 4 * (edges[bands] - 1))))):
         with np.errstate(over="ignore"):
             band = np.maximum(band, 0)
             salt = (band + 1).astype(np.uint64) * _U(_P)
@@ -200,7 +202,8 @@ def batch_keys(sets: list[np.ndarray], starts: list[int], common: np.ndarray, dr
                 ko = np.flatnonzero(todo)
                 keys.append(_dealt(_mixed(salt[ko] ^ _MIX[1]), sets, ko, salts))
                 owners.append(np.repeat(ko, salts))
-    return (np.concatenate(keys), np.concatenate(owners)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        guests += [np.full(len(x), guest, np.uint64) for x in owners[len(guests) :]]
+    return (np.concatenate(keys), np.concatenate(owners), np.concatenate(guests)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
 def _dealt(keys: np.ndarray, sets: list[np.ndarray], owners: np.ndarray, salts: int) -> np.ndarray:
@@ -318,12 +321,14 @@ def _common(df: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def _agreeing(df: DataFrame, starts: list[int], common: tuple[np.ndarray, np.ndarray, int], buckets: int) -> DataFrame:
-    """Stars of the sets that agree in some part: pairs (src, dst) of the smallest id among them and each other one."""
+    """Stars of the sets that agree in some part: pairs (src, dst) of one of them, the smallest id of those that are no
+    guests in the band, and each other one."""
     shared = df.sparkSession.sparkContext.broadcast((starts, *common[:2]))
     salts = max(1, -(-common[2] // SPLIT_ROWS))
 
     def packed(sets: list[np.ndarray], names: list[int]) -> pa.RecordBatch:
-        k, o = batch_keys(sets, *shared.value, salts)
+        k, o, guest = batch_keys(sets, *shared.value, salts)
+        k = k & ~_U(1) | guest  # in the lowest bit
         bucket = ((k >> _U(32)) * _U(buckets)) >> _U(32)
         order = np.argsort(bucket * _U(len(sets)) + o.astype(np.uint64), kind="stable")
         k, o, bucket = k[order], o[order], bucket[order]
@@ -361,13 +366,13 @@ def _agreeing(df: DataFrame, starts: list[int], common: tuple[np.ndarray, np.nda
         k = np.zeros((len(c), 8), np.uint8)
         k[:, :5] = np.frombuffer(b"".join(cells["keys"].to_pylist()), np.uint8).reshape(-1, 5)
         k = k.view(np.uint64).reshape(-1)
-        order = np.lexsort((c, k))
+        order = np.lexsort((c, k))  # one that is no guest first, if there is one, and the smallest id of these
         k, c = k[order], c[order]
-        fresh = np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])) if len(k) else np.zeros(0, bool)
-        k, c = k[fresh], c[fresh]
-        first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
-        head = np.repeat(c[first], np.diff(np.append(first, len(k))))  # codes are in the order of ids
-        pair = np.unique((head.astype(np.int64) * len(ids) + c)[head != c])
+        first = np.flatnonzero(np.append(True, k[1:] >> _U(1) != k[:-1] >> _U(1))) if len(k) else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, len(k)))
+        head = np.repeat(np.where(k[first] & _U(1), -1, c[first]), n)
+        c, head = c[head >= 0], head[head >= 0]
+        pair = np.unique((head * len(ids) + c)[head != c])
         return pa.table({"src": ids[pair // max(1, len(ids))], "dst": ids[pair % max(1, len(ids))]})
 
     entries = df.select("text").mapInArrow(emit, "bucket long, keys binary, counts binary, names binary")

@@ -441,14 +441,32 @@ def test_linked_sets_share_a_key():
             both, union = len(np.intersect1d(x, y)), len(np.union1d(x, y))
             common = np.sort(rng.choice(base, len(base) // 3, replace=False)) if rng.random() < 0.5 else common
             if 100 * both >= 75 * union and (len(x) != len(y) or both != len(x)):
-                assert len(np.intersect1d(jaccard.keys_of(x, starts, common), jaccard.keys_of(y, starts, common)))
+                for drops in (None, np.asarray(common % 3 + 1, np.uint8)):  # at one level, and at several
+                    for salts in (1, 3):
+                        met, guests = [set(), set()], [set(), set()]
+                        for i, z in enumerate((x, y)):
+                            k, _, guest = jaccard.batch_keys([z], starts, common, drops, salts)
+                            met[i], guests[i] = set(k.tolist()), set(k[guest == 1].tolist())
+                        assert met[0] & met[1] - (guests[0] & guests[1])
                 m = min(len(jaccard.sketch(x)), len(jaccard.sketch(y))) // 8
                 distance = int(np.bitwise_count(jaccard._folded(jaccard.sketch(x), m) ^ jaccard._folded(jaccard.sketch(y), m)).sum())
                 assert distance <= len(np.setxor1d(x, y)) <= jaccard.bound(len(x), len(y))
 
 
+def test_keys_of_many_sets_are_those_of_each():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 5, 6, 7, 30, 31, 400, 2000)]
+    starts, common = jaccard.band_starts(3000), np.sort(np.concatenate([x[::2] for x in sets]))
+    drops = np.asarray(common % 4 + 1, np.uint8)
+    k, o, _ = jaccard.batch_keys(sets, starts, common, drops, 2)
+    for i, s in enumerate(sets):
+        assert sorted(k[o == i].tolist()) == sorted(jaccard.keys_of(s, starts, common, drops, 2).tolist())
+
+
 def test_large_groups_are_compared_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "CHUNK", 8)
+    monkeypatch.setattr(jaccard, "SPLIT_ROWS", 20)
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
     rng = random.Random(6)
     base = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(w if rng.random() > 0.02 else f"e{rng.randrange(9999)}" for w in base)) for i in range(150)]
