@@ -1,6 +1,12 @@
-"""Fuzzy line deduplication with DataFrame functions only: normalised lines get a 64-bit SimHash, lines that agree in
-enough blocks of its bits are candidates (pigeonhole), and so, on demand, are lines that share a long word; edit
-similarity verifies them, and of each connected group of lines the first occurrence stays.
+"""Fuzzy line deduplication with DataFrame functions only: normalised lines get a SimHash in blocks, lines that agree in
+enough blocks are candidates (pigeonhole), edit similarity verifies them, and of each connected group of lines the first
+occurrence stays.
+
+Each block of a SimHash is taken over the words that a hash deals to it: 60 bits, each the majority of these words' hash
+bits. A word that is changed, put in or left out touches one block, so lines that differ in fewer words than they have
+blocks agree in some block, whatever the bits. Lines of few words have to agree in two of four blocks. Long lines have
+more blocks, as the same share of edits touches more words. Blocks of fewer words than LEAST_FEATURES are no keys: they
+would bring all lines together that hold a common word.
 """
 
 from __future__ import annotations
@@ -11,26 +17,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailspan.llm._common import table, written
-from mailspan.llm._graph import components
-
-#: Lines of fewer words are left alone. Linked: SimHashes differ in at most DISTANCE bits and the edit distance is at most
-#: 100 - SIMILARITY hundredths of the longer line.
-LEAST_WORDS, DISTANCE, SIMILARITY = 5, 2, 90
-#: Blocks of the SimHash: lines within DISTANCE agree in BLOCKS - DISTANCE of them, here in 32 bits. More blocks make longer
-#: keys, for larger corpora, and more of them.
-BLOCKS = 4
-#: Features are the distinct words. The SimHash is taken over the FEATURES of them with the smallest hashes, so that a small
-#: edit of a long line most often leaves it as it is.
-FEATURES = 16
+from mailspan.llm._graph import components, joined
+
+#: Lines of fewer words and fewer characters are left alone. Linked: the edit distance is at most 100 - SIMILARITY hundredths
+#: of the longer line.
+LEAST_WORDS, LEAST_CHARS, SIMILARITY = 5, 24, 90
+#: Classes of lines by their number of features, distinct words: the least number, and how many blocks a SimHash of the class
+#: has. In the first class two blocks have to agree. Lines a little over a least number are also found in the class below.
+CLASSES, LEAST_FEATURES = ((0, 4), (24, 4), (48, 8), (96, 16)), 3
+#: Of the longest lines the features with the smallest hashes, so many, make the SimHash.
+FEATURES = 96
 #: Edit distances are first summed over aligned pieces of so many characters, which bounds that of a longer line from above
 #: in time linear in its length; what this bound does not accept is compared whole. A line of one piece is exact at once.
 PIECE = 512
 #: Anchors: the longest words of a line, as these are rare. A line has as many as can be touched by the edits that are
 #: allowed and one more, but of words under ANCHOR_LETTERS letters only as many as make ANCHORS in all.
 ANCHORS, ANCHOR_LETTERS = 16, 8
-#: Up to so many rows of (document, line numbers) are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
-_LANE = 0x0101010101010101
+#: Up to so many rows of a few numbers are broadcast, and so many bytes of rows with lists; more are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 16 << 20
+#: Rounds in which the members of a key are compared with one of them, before all pairs that may be left are.
+STAR_ROUNDS = 2
+#: 15 counters of 4 bits in a long, and the highest bit of each.
+_LANE, _HIGH = 0x0111111111111111, 0x0888888888888888
 
 
 def words_of(line: str) -> str:
@@ -52,37 +60,44 @@ def anchors(words: str, norm: str) -> str:
     return f"element_at(transform(array({ranked}), r -> transform(slice(r, 1, cast({wanted} as int)), a -> cast((a & 4294967295L) - 2147483648L as int))), 1)"
 
 
-def simhashes(docs: DataFrame) -> DataFrame:
-    """A row for each line of at least LEAST_WORDS words of `docs` (doc_id, th, text): where it is, its hash (h1, h2), length, SimHash, anchors."""
+def simhash(features: str) -> str:
+    """SQL: 60 bits, each 1 if it is in more than half of the hashes `features`. Of more than 15 hashes the counters run over,
+    alike for alike hashes."""
+    sums = [f"aggregate({features}, 0L, (t, h) -> t + (shiftrightunsigned(h, {j}) & {_LANE}L))" for j in range(4)]
+    bits = [f"shiftright(({x} + (7 - least(7, size({features}) div 2)) * {_LANE}L) & {_HIGH}L, {3 - j})" for j, x in enumerate(sums)]
+    return " | ".join(bits)
+
+
+def block_keys(hashes: str) -> str:
+    """SQL: the keys of a line with the features `hashes`: of the blocks in its class, and in the one below if it is near."""
+    n, each = f"size({hashes})", []
+    for c, (least, blocks) in enumerate(CLASSES):
+        above = CLASSES[c + 1][0] if c + 1 < len(CLASSES) else None
+        used = hashes if above else f"slice(sort_array({hashes}), 1, {FEATURES})"
+        sims = f"transform(transform(sequence(0, {blocks - 1}), b -> filter(hs, h -> h & {blocks - 1} = b)), g -> named_struct('s', {simhash('g')}, 'n', size(g)))"
+        if c:
+            keys = f"transform({sims}, (s, i) -> if(s.n < {LEAST_FEATURES}, null, xxhash64({c}, i, s.s)))"
+        else:
+            pairs = ", ".join(f"if(s[{i}].n + s[{j}].n < {LEAST_FEATURES}, null, xxhash64({10 * i + j}, s[{i}].s, s[{j}].s))" for i, j in combinations(range(blocks), 2))
+            keys = f"transform(array({sims}), s -> array({pairs}))[0]"
+        inside = f"{n} >= {least}" + (f" and {n} <= {above * 10 // 9 + 2}" if above else "")
+        each.append(f"if({inside}, transform(array({used}), hs -> {keys})[0], cast(array() as array<bigint>))")
+    return f"filter(concat({', '.join(each)}), k -> k is not null)"
+
+
+def hashed_lines(docs: DataFrame, typos: bool = False) -> DataFrame:
+    """A row for each line of `docs` (doc_id, th, text) that counts: where it is, its hash (h1, h2), length and keys."""
     # made within an outer explode, so that no filter is inferred or pushed down that would split every line once more
-    each = rf"filter(transform(split(text, '\n'), (x, i) -> named_struct('pos', i, 'words', {words_of('x')})), l -> size(l.words) >= {LEAST_WORDS})"
+    each = rf"filter(transform(split(text, '\n'), (x, i) -> named_struct('pos', i, 'words', {words_of('x')})), l -> size(l.words) >= {LEAST_WORDS} or length(array_join(l.words, ' ')) >= {LEAST_CHARS})"
     lines = docs.select("doc_id", "th", F.explode_outer(F.expr(each)).alias("l")).filter("l is not null").select("doc_id", "th", "l.pos", "l.words")
     lines = lines.withColumn("norm", F.array_join("words", " "))
-    lines = lines.withColumn("hs", F.expr(f"slice(sort_array(array_distinct(transform(words, w -> xxhash64(w)))), 1, {FEATURES})"))
-    lines = lines.withColumn("anchors", F.expr(anchors("words", "norm")))
-    lines = lines.select("doc_id", "th", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), F.length("norm").alias("chars"), "anchors", F.size("hs").alias("n"), *[F.coalesce(F.get("hs", F.lit(i)), F.lit(0)).alias(f"w{i}") for i in range(FEATURES)])
-    # 64 counters of 8 bits, eight in a long: the lanes of each feature's hash are added up
-    lanes = [f"({' + '.join(f'(shiftrightunsigned(w{i}, {j}) & {_LANE}L)' for i in range(FEATURES))}) as s{j}" for j in range(8)]
-    lines = lines.selectExpr("doc_id", "th", "pos", "h1", "h2", "chars", "anchors", "n", *lanes)
-    bits = [f"if(2 * (shiftrightunsigned(s{i % 8}, {i - i % 8}) & 255L) > n, {f'{1 << i}L' if i < 63 else 'shiftleft(1L, 63)'}, 0L)" for i in range(64)]
-    return lines.select("doc_id", "th", "pos", "h1", "h2", "chars", "anchors", F.expr(" | ".join(bits)).alias("sim"))
-
-
-def block_keys(blocks: int = BLOCKS, distance: int = DISTANCE) -> "F.Column":
-    """For each choice of as many blocks as must agree: the choice and the bits of these blocks, as one key."""
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    part = [F.shiftrightunsigned("sim", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:], strict=False)]
-    keys = []
-    for c, chosen in enumerate(combinations(range(blocks), blocks - distance)):
-        width = sum(edges[i + 1] - edges[i] for i in chosen)
-        if width <= 56:
-            key = F.lit(c).cast("long")
-            for i in chosen:
-                key = F.shiftleft(key, edges[i + 1] - edges[i]).bitwiseOR(part[i])
-        else:
-            key = F.xxhash64(F.lit(c), *(part[i] for i in chosen))
-        keys.append(key)
-    return F.array(*keys)
+    # without blanks between words: pairs of characters
+    few = "transform(array(split(norm, '')), cs -> transform(cs, (c, i) -> xxhash64(c, get(cs, i + 1))))[0]"
+    lines = lines.withColumn("hs", F.expr(f"array_distinct(if(size(words) >= {LEAST_WORDS}, transform(words, w -> xxhash64(w)), {few}))"))
+    keys = F.expr(block_keys("hs"))
+    if typos:
+        keys = F.concat(keys, F.expr(f"transform({anchors('words', 'norm')}, a -> xxhash64(-1, a))"))
+    return lines.select("doc_id", "th", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), F.length("norm").alias("chars"), F.array_distinct(keys).alias("keys"))
 
 
 def edits(x: str, y: str) -> str:
@@ -94,10 +109,25 @@ def edits(x: str, y: str) -> str:
 
 
 def similar(x: str, y: str) -> str:
-    """SQL: whether the edit distance of `x` and `y` is within the limit; the pieces only say a quick yes."""
-    longest = f"greatest(length({x}), length({y}))"
-    limit = f"(100 - {SIMILARITY}) * {longest}"
-    return f"100 * {edits(x, y)} <= {limit} or ({longest} > {PIECE} and levenshtein({x}, {y}, cast({limit} div 100 as int)) >= 0)"
+    """SQL: whether the edit distance of `x` and `y` is within the limit.
+
+    Quick answers first, each a bound of the distance: lines of as many words differ in no more than their words do, one by
+    one, and lines of several pieces in no more than these; an edit takes away no more than three of a line's sequences of
+    three characters. What they leave open is compared whole.
+    """
+    limit = f"((100 - {SIMILARITY}) * greatest(length({x}), length({y})) div 100)"
+    one_by_one = f"aggregate(zip_with(split({x}, ' '), split({y}, ' '), (a, b) -> if(a = b, 0, levenshtein(a, b))), 0, (t, d) -> t + d)"
+    words = f"if(length(replace({x}, ' ', '')) - length({x}) = length(replace({y}, ' ', '')) - length({y}), {one_by_one} <= {limit}, false)"
+    grams = lambda c: f"array_distinct(regexp_extract_all({c}, r'(?s)(?=(...))', 1))"
+    other = f"size(array_except({grams(x)}, {grams(y)})) > 3 * {limit}"
+    pieces = f"length({x}) > {PIECE} and {edits(x, y)} <= {limit}"
+    return f"case when {words} then true when {other} then false when {pieces} then true else levenshtein({x}, {y}, cast({limit} as int)) >= 0 end"
+
+
+def _few(rows: DataFrame, lists: str | None = None) -> DataFrame:
+    """For a join: broadcast if it has been measured to be small, else hashed, as the other side is the large one."""
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(lists) * 16 if lists else F.lit(0)), F.lit(0)).alias("b")).first()
+    return F.broadcast(rows) if size.n <= BROADCAST_ROWS and 32 * size.n * bool(lists) + size.b <= BROADCAST_BYTES else rows.hint("shuffle_hash")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -105,16 +135,18 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     per_doc = wanted.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_list(F.struct("id", "pos")).alias("at"))
     per_doc = written(per_doc, "wanted")
     same = docs["doc_id"].eqNullSafe(per_doc["d"]) & (docs["th"] == per_doc["t"])
-    found = docs.join(F.broadcast(per_doc) if per_doc.count() <= BROADCAST_ROWS else per_doc, same)
+    found = docs.join(_few(per_doc, "at"), same)
     found = found.withColumn("lines", F.split("text", "\n"))
     return found.select(F.explode_outer(F.expr(f"transform(at, x -> named_struct('id', x.id, 'norm', {normalised('lines[x.pos]')}))")).alias("x")).select("x.id", "x.norm").dropDuplicates(["id"])
 
 
-def _verified(docs: DataFrame, kinds: DataFrame, near: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, lines: DataFrame, near: DataFrame) -> DataFrame:
     """The pairs (src, dst) of `near` whose lines are similar enough."""
     near = written(near.distinct(), "near")
-    wanted = near.select(F.col("src").alias("id")).union(near.select("dst")).distinct().join(kinds, "id").select("id", "first.doc_id", "first.th", "first.pos")
-    texts = written(_texts(docs, wanted), "texts")
+    ids = near.select(F.col("src").alias("id")).union(near.select("dst")).distinct()
+    place = F.struct("doc_id", "th", "pos")
+    found = lines.join(_few(ids), lines["h1"] == ids["id"]).groupBy("id").agg(F.min(place).alias("first"))
+    texts = written(_texts(docs, found.select("id", "first.doc_id", "first.th", "first.pos")), "texts")
     one, two = texts.select(F.col("id").alias("src"), F.col("norm").alias("x")), texts.select(F.col("id").alias("dst"), F.col("norm").alias("y"))
     pairs = near.join(one, "src").join(two, "dst").select("src", "dst", "x", "y")
     # dealt out anew as work, not bytes, is what counts; written, as a filter would else move below the exchange
@@ -122,81 +154,76 @@ def _verified(docs: DataFrame, kinds: DataFrame, near: DataFrame) -> DataFrame:
     return written(pairs.filter(F.expr(similar("x", "y"))).select("src", "dst"), "links")
 
 
-def _grouped(kinds: DataFrame, links: DataFrame) -> DataFrame:
-    """`kinds` with the group that `links` have put each in so far."""
-    known = components(links)
-    return kinds.join(known, kinds["id"] == known["node"], "left").withColumn("group", F.coalesce("component", "id")).drop("node", "component")
+def _sizes(a: str, b: str) -> str:
+    """SQL: whether lines of these lengths can be similar enough."""
+    return f"100 * abs({a} - {b}) <= {100 - SIMILARITY} * greatest({a}, {b})"
 
 
-def _anchored(docs: DataFrame, kinds: DataFrame, links: DataFrame) -> DataFrame:
-    """Links of lines that share an anchor and that `links` do not connect yet."""
-    longest, difference = F.greatest("ca", "cb"), F.abs(F.col("ca") - F.col("cb"))
-    sizes = 100 * difference <= (100 - SIMILARITY) * longest
-    keyed = written(_grouped(kinds, links).select(F.explode("anchors").alias("key"), "id", "chars", "group"), "keyed")
-    # first each line with one of those that share an anchor, so that a group of near copies costs in proportion to its size
-    heads = keyed.groupBy(F.col("key").alias("k")).agg(F.min(F.struct("id", "chars", "group")).alias("head"), F.count("*").alias("n")).filter("n > 1")
-    shared = written(keyed.join(heads, F.col("key") == F.col("k")).select("key", "id", "chars", "group", F.col("head.id").alias("src"), F.col("head.chars").alias("ca"), F.col("head.group").alias("ga")), "shared")
-    star = shared.withColumnRenamed("chars", "cb").filter((F.col("ga") != F.col("group")) & sizes).select("src", F.col("id").alias("dst"))
-    links = links.union(_verified(docs, kinds, star))
-    # then all others that share one
-    now = _grouped(kinds, links).select(F.col("id").alias("node"), F.col("group").alias("g"))
-    left = shared.select("key", "id", "chars").join(now, F.col("id") == F.col("node"))
-    a = left.select("key", F.col("id").alias("src"), F.col("chars").alias("ca"), F.col("g").alias("ga"))
-    b = left.select("key", F.col("id").alias("dst"), F.col("chars").alias("cb"), F.col("g").alias("gb"))
-    near = a.join(b, (a["key"] == b["key"]) & (F.col("src") < F.col("dst")) & (F.col("ga") != F.col("gb")) & sizes)
-    return links.union(_verified(docs, kinds, near.select("src", "dst")))
+def similar_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """node, component for the lines (by h1) that are connected by similarity."""
+    keyed = lines.select(F.explode("keys").alias("key"), F.col("h1").alias("id"), "chars")
+    heads = written(keyed.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("most")).filter("head < most").select("key", "head"), "heads")
+    # a row for each key and line, of the keys that several lines have; from here on only these lines count
+    met = written(keyed.join(_few(heads.select("key")), "key").distinct(), "met")
+    labels = None
+    # first the members of a key with one of them, so that a group of near copies costs in proportion to its size
+    for turn in range(STAR_ROUNDS + 1):
+        if labels is None:
+            left = met.withColumn("group", F.col("id"))
+        else:
+            named = met.join(labels, met["id"] == labels["node"], "left").withColumn("group", F.coalesce("component", "id")).drop("node", "component")
+            open_keys = named.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi").select("key")
+            left = written(named.join(open_keys, "key", "left_semi"), "left")
+        if turn < STAR_ROUNDS:
+            # another member each time; never one that was compared with all others before
+            order = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
+            one = left.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "chars", "group")).alias("h"))
+            one = one.select("key", F.col("h.id").alias("a"), F.col("h.chars").alias("ca"), F.col("h.group").alias("ga"))
+            pairs = left.join(one, "key").filter(F.expr(f"group <> ga and {_sizes('chars', 'ca')}")).select(F.col("a"), F.col("id").alias("b"))
+        else:
+            a, b = (left.select("key", *(F.col(c).alias(f"{c}{x}") for c in ("id", "chars", "group"))) for x in "12")
+            pairs = a.join(b, (a["key"] == b["key"]) & (F.col("id1") < F.col("id2")) & (F.col("group1") != F.col("group2")) & F.expr(_sizes("chars1", "chars2"))).select(F.col("id1").alias("a"), F.col("id2").alias("b"))
+        links = _verified(docs, lines, pairs.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")))
+        labels = components(links) if labels is None else joined(labels, links)
+    return labels
 
 
 def removals(docs: DataFrame, typos: bool = False) -> DataFrame:
     """d, t, gone: for the documents (doc_id, th) that lose lines the numbers of these."""
-    lines = simhashes(docs)
-    lines = written(lines if typos else lines.drop("anchors"), "lines")
-    kinds = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "pos")).alias("first"), F.count("*").alias("n"), F.min("sim").alias("sim"), F.min("chars").alias("chars"), *([F.first("anchors").alias("anchors")] if typos else []))
-    kinds = written(kinds.withColumn("id", F.monotonically_increasing_id()), "kinds")
-    longest, difference = F.greatest("ca", "cb"), F.abs(F.col("ca") - F.col("cb"))
-    sizes = 100 * difference <= (100 - SIMILARITY) * longest
-    # first each line with one of equal SimHash, so that a group of near copies costs in proportion to its size
-    heads = kinds.groupBy("sim").agg(F.min("id").alias("src"), F.min_by("chars", "id").alias("ca"), F.count("*").alias("n")).filter("n > 1").select("sim", "src", "ca")
-    star = kinds.select("sim", F.col("id").alias("dst"), F.col("chars").alias("cb")).join(heads, "sim").filter((F.col("src") != F.col("dst")) & sizes).select("src", "dst")
-    links = _verified(docs, kinds, star)
-    known = components(links)
-    # then all that agree in enough blocks and are not connected yet
-    marked = kinds.join(known, kinds["id"] == known["node"], "left").withColumn("group", F.coalesce("component", "id"))
-    keyed = marked.select(F.explode(block_keys()).alias("key"), "id", "sim", "chars", "group")
-    a = keyed.select("key", F.col("id").alias("src"), F.col("sim").alias("sa"), F.col("chars").alias("ca"), F.col("group").alias("ga"))
-    b = keyed.select("key", F.col("id").alias("dst"), F.col("sim").alias("sb"), F.col("chars").alias("cb"), F.col("group").alias("gb"))
-    near = a.join(b, (a["key"] == b["key"]) & (F.col("src") < F.col("dst")) & (F.col("ga") != F.col("gb")) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= DISTANCE) & sizes)
-    links = links.union(_verified(docs, kinds, near.select("src", "dst")))
-    if typos:
-        links = _anchored(docs, kinds, links)
-    groups = components(links)
-    kinds = kinds.join(groups, kinds["id"] == groups["node"], "left").withColumn("group", F.coalesce("component", "id"))
-    keeper = kinds.filter("component is not null").groupBy("component").agg(F.min("first").alias("keeper"))
-    doubled = kinds.filter("n > 1 or component is not null").join(keeper, "component", "left").select("h1", "h2", F.coalesce("keeper", "first").alias("keeper"))
-    again = lines.join(doubled, ["h1", "h2"]).filter(~F.struct("doc_id", "th", "pos").eqNullSafe(F.col("keeper")))
-    return again.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_set("pos").alias("gone"))
+    lines = written(hashed_lines(docs, typos), "lines")
+    groups = written(similar_lines(docs, lines), "groups")
+    place = F.struct("doc_id", "th", "pos")
+    kinds = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    kinds = kinds.join(groups, kinds["h1"] == groups["node"], "left")
+    alone = kinds.filter("component is null and n > 1").select("h1", "h2", F.col("first").alias("keeper"))
+    linked = kinds.filter("component is not null").select("h1", "h2", "component", "first")
+    keeper = linked.groupBy("component").agg(F.min("first").alias("keeper"))
+    doubled = written(alone.unionByName(linked.join(keeper, "component").select("h1", "h2", "keeper")), "doubled")
+    again = lines.select("doc_id", "th", "pos", "h1", "h2").join(_few(doubled), ["h1", "h2"]).filter(~place.eqNullSafe(F.col("keeper")))
+    return written(again.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_set("pos").alias("gone")), "gone")
 
 
 def dedup_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", typos: bool = False) -> DataFrame:
     """`df` with repeated lines taken out of the text, plus n_removed (how many).
 
-    Lines are alike if their SimHashes and texts are; with `typos`, also if they share an anchor and their texts are.
-    The occurrence with the smallest (id, text hash, line number) of a group stays; null ids come first. Lines of fewer
-    than LEAST_WORDS words, null and empty texts stay as they are; a text may lose all its lines and is then empty.
-    Rows of equal id and text are one document and keep or lose the same lines. Long lines are compared whole. Columns
-    other than the text stay; one named n_removed is replaced.
+    Lines are alike if they are equal when normalised, or agree in blocks of their SimHashes and have similar texts; with
+    `typos`, also if they share an anchor and have similar texts. The occurrence with the smallest (id, text hash, line
+    number) of a group stays; null ids come first. Lines of fewer than LEAST_WORDS words and LEAST_CHARS characters, null and
+    empty texts stay as they are; a text may lose all its lines and is then empty. Rows of equal id and text are one document
+    and keep or lose the same lines. Long lines are compared whole; in scripts without blanks, pairs of characters stand for
+    words. Columns other than the text stay; one named n_removed is replaced.
     """
     carried = [c for c in df.columns if c not in (text_column, "n_removed")]
     docs = df.select(df[id_column].alias("doc_id"), F.coalesce(F.xxhash64(df[text_column]), F.lit(0)).alias("th"), df[text_column].cast("string").alias("text"))
     gone = removals(docs, typos)
     wide = df.select(F.struct(*carried).alias("_own"), df[id_column].alias("_id"), F.coalesce(F.xxhash64(df[text_column]), F.lit(0)).alias("_th"), df[text_column].cast("string").alias("_text"))
-    out = wide.join(gone, F.col("_id").eqNullSafe(F.col("d")) & (F.col("_th") == F.col("t")), "left")
+    out = wide.join(_few(gone, "gone"), F.col("_id").eqNullSafe(F.col("d")) & (F.col("_th") == F.col("t")), "left")
     text = F.when(F.col("gone").isNull(), F.col("_text")).otherwise(F.expr("array_join(filter(split(_text, '\n'), (x, i) -> not array_contains(gone, i)), '\n')"))
     return out.withColumn("_new", text).select(*[F.col("_new").alias(c) if c == text_column else F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias(c) if c == "n_removed" else F.col("_own")[c].alias(c) for c in [*[c for c in df.columns if c != "n_removed"], "n_removed"]])
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), typos=True)
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES = {"op10_line_dedup": op10_line_dedup}

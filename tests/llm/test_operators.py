@@ -505,36 +505,19 @@ def _edit(a, b):
     return row[-1]
 
 
-def _piecewise(a, b):
-    """The edit distance as defined for lines of several pieces; exact for one piece, as far as it decides."""
-    total = 0
-    for i in range(0, max(len(a), len(b)), lines.PIECE):
-        x, y = a[i : i + lines.PIECE], b[i : i + lines.PIECE]
-        d, n = 0 if x == y else _edit(x, y), max(len(x), len(y))
-        total += d if d <= n * 15 // 100 else n
-    return total
+def _norm(line):
+    return re.sub(r"[^\w]+|_+", " ", line.lower()).strip()
 
 
-def _plain_lines(rows):
-    """Document -> its text without repeated lines."""
-    import xxhash
-
+def _plain_lines(rows, same=None):
+    """Document -> its text without repeated lines, by edit similarity alone, or by `same` (normalised line -> group)."""
     found = {}
     for i, t in rows:
         for pos, line in enumerate((t or "").split("\n")):
-            norm = re.sub(r"[^\w]+|_+", " ", line.lower()).strip()
-            words = norm.split(" ")
-            if len(words) >= lines.LEAST_WORDS and norm:
+            norm = _norm(line)
+            if len(norm.split()) >= lines.LEAST_WORDS or len(norm) >= lines.LEAST_CHARS:
                 found.setdefault(norm, []).append((i, pos))
-
-    def sim(norm):
-        d = list(dict.fromkeys(norm.split(" ")))
-        hs = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in d]
-        hs = sorted(h if h < 1 << 63 else h - (1 << 64) for h in hs)[: lines.FEATURES]
-        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
-
     norms = sorted(found)
-    sims = [sim(n) for n in norms]
     root = list(range(len(norms)))
 
     def top(i):
@@ -545,7 +528,7 @@ def _plain_lines(rows):
     for i in range(len(norms)):
         for j in range(i):
             a, b = norms[i], norms[j]
-            if (sims[i] ^ sims[j]).bit_count() <= lines.DISTANCE and 10 * abs(len(a) - len(b)) <= max(len(a), len(b)) and 10 * _piecewise(a, b) <= max(len(a), len(b)):
+            if same[a] == same[b] if same else 10 * abs(len(a) - len(b)) <= max(len(a), len(b)) and 10 * _edit(a, b) <= max(len(a), len(b)):
                 root[top(i)] = top(j)
     groups = defaultdict(list)
     for i, n in enumerate(norms):
@@ -556,6 +539,16 @@ def _plain_lines(rows):
     return {i: None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in gone) for i, t in rows}
 
 
+def _groups_of(spark, rows):
+    """Normalised line -> the group that the operator puts it in."""
+    df = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
+    docs = df.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"), "text")
+    found = lines.hashed_lines(docs)
+    label = {r.node: r.component for r in lines.similar_lines(docs, lines.written(found)).collect()}
+    texts = {(r.doc_id, p): _norm(x) for r in df.collect() for p, x in enumerate((r.text or "").split("\n"))}
+    return {texts[r.doc_id, r.pos]: label.get(r.h1, r.h1) for r in found.select("doc_id", "pos", "h1").collect()}
+
+
 def test_lines(spark, odd, none):
     rng, texts = random.Random(8), _texts(30, 12)
     pool = [x for t in texts for x in t.split("\n")]
@@ -573,7 +566,13 @@ def test_lines(spark, odd, none):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"h1": F.lit(1), "n_removed": F.lit(2), "keeper": F.lit(3)})
     got = lines.dedup_lines(df)
     assert set(got.columns) == set(df.columns)
-    assert {r.doc_id: r.text for r in got.collect()} == _plain_lines(rows)
+    got = {r.doc_id: r.text for r in got.collect()}
+    label = _groups_of(spark, rows)
+    assert got == _plain_lines(rows, label)
+    # of what edit similarity alone would take out of these short lines with typos, at least eight tenths go, and nothing else
+    want, kept = _plain_lines(rows), lambda t: Counter((t or "").split("\n"))
+    left = [sum((kept(got[i]) - kept(want[i])).values()) for i in got]
+    assert all(not kept(want[i]) - kept(got[i]) for i in got if want[i]) and sum(left) <= 0.2 * sum(sum((kept(t) - kept(want[i])).values()) for i, t in rows if t)
     assert lines.dedup_lines(none).isEmpty() and lines.dedup_lines(odd).count() == odd.count()
 
 
@@ -588,6 +587,33 @@ def test_piecewise_edits(spark):
     assert all(d >= _edit(a, b) for d, (a, b) in zip(got, rows)) and all(d == _edit(a, b) for d, (a, b) in zip(got, rows) if len(a) <= lines.PIECE and _edit(a, b) <= 0.1 * len(a))
 
 
+def test_recall_of_near_lines_on_the_table(spark):
+    """Over all lines of the table, against edit similarity alone (of pairs that share half their words)."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    label = _groups_of(spark, rows)
+    norms = sorted(n for n in label if len(n) <= 2000)
+    words, inside = [set(n.split()) for n in norms], defaultdict(list)
+    frequency = Counter(w for s in words for w in s)
+    pairs = set()
+    for i, own in enumerate(words):
+        rare = sorted(own, key=lambda w: (frequency[w], w))[: len(own) // 2 + 2]
+        for j in {j for w in rare for j in inside[w]}:
+            if 10 * abs(len(norms[i]) - len(norms[j])) <= max(len(norms[i]), len(norms[j])) and 2 * len(own & words[j]) >= max(len(own), len(words[j])):
+                pairs.add((j, i))
+        for w in rare:
+            inside[w].append(i)
+    told = spark.createDataFrame([(norms[i], norms[j]) for i, j in pairs], "a string, b string").filter("10 * levenshtein(a, b) <= greatest(length(a), length(b))").collect()
+    found = sum(label[r.a] == label[r.b] for r in told)
+    print("RECALL", found, len(told))
+    assert len(told) > 200 and found >= 0.9 * len(told)
+
+
+def test_short_and_unspaced_lines(spark):
+    rows = [(1, "Yes.\nInternationalisierungsmassnahmen\n" + "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余成岁"), (2, "Yes.\nINTERNATIONALISIERUNGSMASSNAHMEN!\n" + "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余成岁。"), (3, "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余成岁" + "永" * 2)]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == rows[0][1] and got[2].split("\n")[0] == "Yes." and "INTER" not in got[2]
+
+
 def test_long_lines_are_compared_whole(spark):
     rng = random.Random(10)
     text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
