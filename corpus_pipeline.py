@@ -13,35 +13,51 @@ from mailspan.llm import jaccard, lines, mixing, packing, quality
 from mailspan.llm._common import table, written
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """`docs` under column names that no operator uses, so that none of its columns is taken for an operator's."""
+    return docs.toDF(*(f"_{c}_{i}" for i, c in enumerate(docs.columns)))
+
+
+def _name(docs: DataFrame, column: str) -> str:
+    return f"_{column}_{docs.columns.index(column)}"
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a rule rejects go."""
-    return quality.cascade(docs).filter("kept").select(*docs.columns)
+    """Documents that a rule rejects go. Null and empty texts have no words and go; equal rows get the same verdict; columns
+    of any name keep their contents; an empty table stays empty."""
+    wide = _numbered(docs)
+    return quality.cascade(wide, _name(docs, "text")).filter("kept").select(*wide.columns).toDF(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go, and so do documents of which nothing is left. n_chars follows the text."""
-    out = lines.dedup_lines(docs)
-    out = out.filter(r"n_removed = 0 or text rlike '[^\\x20\\x09-\\x0D]'")
+    """Repeated lines go, and so do documents of which nothing is left. n_chars follows the text. Null texts stay as they are;
+    rows of equal id and text lose the same lines; columns of any name keep their contents."""
+    wide, text = _numbered(docs), _name(docs, "text")
+    out = lines.dedup_lines(wide, _name(docs, "doc_id"), text)
+    out = out.filter(rf"n_removed = 0 or {text} rlike '[^\\x20\\x09-\\x0D]'")
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        n = _name(docs, "n_chars")
+        out = out.withColumn(n, F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col(n)).cast(docs.schema["n_chars"].dataType))
+    return out.select(*wide.columns).toDF(*docs.columns)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays, and one of equal rows."""
-    others = jaccard.near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """Of each group of near-duplicates one document stays: that of the smallest id, one without an id only if all lack it.
+    Rows of equal id and text are one document, of which one row stays; rows of equal id and other texts are others."""
+    wide = _numbered(docs)
+    return jaccard.one_of_each(wide, _name(docs, "doc_id"), _name(docs, "text")).select(*wide.columns).toDF(*docs.columns)
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their weights: each document once at least, those of small sources again in later epochs."""
+    """Sources at their weights: each document once at least, those of small sources again in later epochs. Null sources are
+    one source; rows that agree in id, source and text are shown as often as one another."""
     shown = mixing.mixed(docs).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("source").alias("_s"), F.col("epoch").alias("_e")).distinct()
     same = docs["doc_id"].eqNullSafe(F.col("_d")) & docs["source"].eqNullSafe(F.col("_s")) & (F.coalesce(F.md5(docs["text"].cast("binary")), F.lit("")) == F.col("_h"))
     return docs.join(shown, same).select(*(docs[c] for c in docs.columns))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' token ids, packed into sequences."""
+    """Pieces of the documents' token ids, packed into sequences. Null texts are empty, repeated rows are packed each."""
     return packing.pack_documents(docs)
 
 
