@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from mailspan.functions.text import folded, like_column, utrim
 
 EXACT = 0.95
-#: Profiles up to this many rows are broadcast to all suggestions; beyond, both sides are blocked on trigrams.
-BROADCAST_PROFILES = 200_000
+#: Profiles up to this many rows are broadcast to all needles; beyond, both sides are blocked on trigrams. Needles that hold
+#: no trigram are broadcast up to BROADCAST_NEEDLES.
+BROADCAST_PROFILES, BROADCAST_NEEDLES = 2_000, 10_000
 
 
 def parties(fields: DataFrame) -> DataFrame:
@@ -47,40 +48,69 @@ def confidence(p: str = "p", s: str = "s") -> str:
     return f"cast(if(({n}) = 0, 0D, ({total}) / ({n})) as float)"
 
 
-def candidates(party: DataFrame, profiles: DataFrame, broadcast_profiles: int = BROADCAST_PROFILES) -> DataFrame:
-    """All (party, profile) pairs in which the party's organization, or else its name, occurs in the profile's name, or the
-    organization in the profile's organization. Structs s and p.
+def _grams(column: str) -> str:
+    """SQL: the distinct trigrams of a text, A-Z folded."""
+    text = folded(column)
+    return f"array_distinct(transform(sequence(1, length({text}) - 2), i -> substring({text}, i, 3)))"
+
+
+def _told(party: DataFrame) -> DataFrame:
+    """`party` with the needle that is looked for: the organization, or else the name; and whether it is an organization."""
+    return party.withColumn("_needle", F.coalesce("organization", "name")).withColumn("_org", F.col("organization").isNotNull())
+
 
-    Few profiles are broadcast, after a count. Many are blocked: a needle of three characters or more without wild ones
-    can only occur where its first trigram does; the others meet all profiles, in a join of their own.
+def matches(party: DataFrame, profiles: DataFrame, broadcast_profiles: int = BROADCAST_PROFILES) -> DataFrame:
+    """needle, org, id: which profiles have which needle in their name, or an organization in their organization.
+
+    Each needle is looked for once, however many parties tell it. Few profiles are broadcast, after a count. Many are
+    blocked: all trigrams of a needle without wild characters occur in what it matches, so it is looked for among the
+    profiles with its rarest one. Needles without a trigram of their own meet all profiles.
     """
-    s = party.select(F.struct(*party.columns).alias("s")).withColumn("needle", F.expr("coalesce(s.organization, s.name)"))
-    p = profiles.select(F.struct(*profiles.columns).alias("p"))
-    hit = f"{like_column('p.name', 'needle')} or coalesce(s.organization is not null and {like_column('p.organization', 's.organization')}, false)"
+    needles = _told(party).select(F.col("_needle").alias("needle"), F.col("_org").alias("org")).filter("needle is not null").distinct()
+    p = profiles.select("id", "name", "organization")
+    contained = lambda c: f"contains({folded(c)}, {folded('needle')})"
+    found = lambda c: f"if(needle rlike '[%_]', {like_column(c, 'needle')}, {contained(c)})"
+    hit = F.expr(f"coalesce({found('name')}, false) or (org and coalesce({found('organization')}, false))")
     if profiles.count() <= broadcast_profiles:
-        return s.join(F.broadcast(p), F.expr(hit)).select("s", "p")
-    plain = (F.length("needle") >= 3) & ~F.col("needle").rlike("[%_]")
-    gram = F.expr(f"substring({folded('needle')}, 1, 3)")
-    both = folded("concat(p.name, '\\0', coalesce(p.organization, ''))")
-    grams = p.withColumn("gram", F.explode(F.expr(f"array_distinct(transform(sequence(1, greatest(1, length({both}) - 2)), i -> substring({both}, i, 3)))")))
-    blocked = s.filter(plain).withColumn("gram", gram).join(grams, "gram").filter(F.expr(hit))
-    loose = s.filter(~plain).join(p, F.expr(hit))
-    return blocked.select("s", "p").union(loose.select("s", "p"))
+        return needles.join(F.broadcast(p), hit).select("needle", "org", "id")
+    parts = f"filter(if(length(needle) < 3, cast(array() as array<string>), {_grams('needle')}), g -> not g rlike '[%_]')"
+    needles = needles.withColumn("grams", F.expr(parts))
+    both = "concat(coalesce(name, ''), '\\0', coalesce(organization, ''))"
+    index = p.filter(f"length({both}) > 2").withColumn("gram", F.explode(F.expr(_grams(both))))
+    asked = needles.select("needle", "org", F.explode("grams").alias("gram"))
+    often = index.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = asked.join(often, "gram", "left").groupBy("needle", "org").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"))
+    blocked = rarest.join(index, "gram").filter(hit).select("needle", "org", "id")
+    loose = needles.filter("size(grams) = 0").drop("grams")
+    loose = F.broadcast(loose) if loose.count() <= BROADCAST_NEEDLES else loose
+    return blocked.union(p.join(loose, hit).select("needle", "org", "id"))
+
+
+def candidates(party: DataFrame, profiles: DataFrame, broadcast_profiles: int = BROADCAST_PROFILES) -> DataFrame:
+    """All (party, profile) pairs in which the party's organization, or else its name, occurs in the profile's name, or the
+    organization in the profile's organization. Structs s and p."""
+    told = _told(party).select(F.struct(*party.columns).alias("s"), "_needle", "_org")
+    found = matches(party, profiles, broadcast_profiles)
+    whole = profiles.select(F.col("id").alias("_id"), F.struct(*profiles.columns).alias("p"))
+    return told.join(found, (F.col("_needle") == F.col("needle")) & (F.col("_org") == F.col("org"))).join(whole, F.col("id") == F.col("_id")).select("s", "p")
 
 
 def suggestions(party: DataFrame, profiles: DataFrame, order: str = "createdAt", broadcast_profiles: int = BROADCAST_PROFILES) -> DataFrame:
-    """A row for each party: documentId, role, profileId, confidence, matchType and what was told.
+    """A row for each party: what was told, profileId, confidence, matchType.
 
     Of all candidates the profile that was inserted first counts, not the best one; a party without candidates is a
     new profile with confidence 0.
     """
-    pairs = candidates(party, profiles, broadcast_profiles)
-    # the first candidate by insertion order: an aggregate, so that no task ever holds a party's candidates
-    first = pairs.groupBy(F.col("s.documentId").alias("documentId"), F.col("s.role").alias("role")).agg(F.min_by(F.struct("s", "p"), F.struct(F.col(f"p.{order}"), F.col("p.id"))).alias("m"))
-    match = first.select("documentId", "role", F.col("m.p.id").alias("profileId"), F.expr(confidence("m.p", "m.s")).alias("confidence"))
-    out = party.join(match, ["documentId", "role"], "left")
-    kind = F.when(F.col("profileId").isNull(), "NEW_PROFILE").when(F.col("confidence") >= F.lit(EXACT).cast("float"), "EXACT_MATCH").otherwise("POSSIBLE_MATCH")
-    return out.withColumn("matchType", kind).withColumn("confidence", F.coalesce("confidence", F.lit(0).cast("float")))
+    whole = profiles.select(F.col("id").alias("_id"), F.struct(*profiles.columns).alias("p"))
+    pairs = matches(party, profiles, broadcast_profiles).join(whole, F.col("id") == F.col("_id"))
+    # the first candidate by insertion order, once for each needle: an aggregate, so that no task ever holds all of them
+    first = pairs.groupBy("needle", "org").agg(F.min_by("p", F.struct(F.col(f"p.{order}"), F.col("p.id"))).alias("p"))
+    told = _told(party).withColumn("s", F.struct(*party.columns))
+    out = told.join(first, (F.col("_needle") == F.col("needle")) & (F.col("_org") == F.col("org")), "left")
+    sure = F.when(F.col("p").isNotNull(), F.expr(confidence("p", "s"))).otherwise(F.lit(0).cast("float"))
+    kind = F.when(F.col("p").isNull(), "NEW_PROFILE").when(F.col("confidence") >= F.lit(EXACT).cast("float"), "EXACT_MATCH").otherwise("POSSIBLE_MATCH")
+    out = out.select(*party.columns, F.col("p.id").alias("profileId"), sure.alias("confidence"), "p")
+    return out.withColumn("matchType", kind).drop("p")
 
 
 def auto_links(suggested: DataFrame, now: int) -> DataFrame:

@@ -29,6 +29,12 @@ def upsert(table: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
     return table.join(rows.select(*keys), list(keys), "left_anti").select(*table.columns).unionByName(rows.select(*table.columns))
 
 
+def upsert_batch(table: DataFrame, rows: DataFrame, *keys: str, order: str) -> DataFrame:
+    """The same with `rows` that may repeat a key: the last by `order` stays, as if they came one after another. `order` is a
+    column of `rows` alone."""
+    return upsert(table, latest(rows, *keys, order=order), *keys)
+
+
 def replaced(table: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
     """Keys that an upsert replaces."""
     return table.join(rows.select(*keys), list(keys), "left_semi").select(*keys)

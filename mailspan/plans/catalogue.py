@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mailspan.functions import enums, scalars
@@ -189,8 +190,8 @@ def cascade_delete(spark, d):
 @query("SELECT documentId, profileId, role FROM ln WHERE NOT (documentId = '32' AND profileId LIKE 'c%')", o.LINKS)
 def unlink_profile(spark, d):
     links = views.links(spark, d)
-    rows = links.filter("documentId = '32' and profileId like 'c%'")
-    return links.join(rows, ["documentId", "profileId"], "left_anti").select("documentId", "profileId", "role")
+    profile = links.filter("documentId = '32' and profileId like 'c%'").select("profileId").first()
+    return store.delete_link(links, "32", profile.profileId if profile else "").select("documentId", "profileId", "role")
 
 
 @query("SELECT id, documentId, eventType FROM tl", o.TIMELINE)
@@ -199,11 +200,13 @@ def append_events(spark, d):
     return store.append_events(e.filter("createdAt % 3 <> 0"), e).select("id", "documentId", "eventType")
 
 
-@query(f"SELECT id, CASE WHEN documentType IN {enums.DOCUMENT_TYPE[:4]} THEN documentType END AS lenient, CASE WHEN status IN {enums.DOCUMENT_STATUS[:3]} THEN status ELSE 'NEW' END AS defaulted FROM d", o.DOCUMENTS)
+@query(f"SELECT id, CASE WHEN id::BIGINT % 5 <> 0 THEN documentType END AS lenient, CASE WHEN id::BIGINT % 7 <> 0 THEN status ELSE 'NEW' END AS defaulted FROM d", o.DOCUMENTS)
 def enum_parsing(spark, d):
+    """Whole domains; some rows have values outside them."""
     docs = views.documents(spark, d)
     checked = docs.withColumn("status", enums.strict(F.col("status"), enums.DOCUMENT_STATUS))
-    return checked.select("id", enums.or_null(F.col("documentType"), enums.DOCUMENT_TYPE[:4]).alias("lenient"), enums.or_default(F.col("status"), enums.DOCUMENT_STATUS[:3], "NEW").alias("defaulted"))
+    odd = checked.withColumn("documentType", F.expr("if(cast(id as bigint) % 5 = 0, lower(documentType), documentType)")).withColumn("status", F.expr("if(cast(id as bigint) % 7 = 0, concat(status, '?'), status)"))
+    return odd.select("id", enums.or_null(F.col("documentType"), enums.DOCUMENT_TYPE).alias("lenient"), enums.or_default(F.col("status"), enums.DOCUMENT_STATUS, "NEW").alias("defaulted"))
 
 
 # ── extraction, on letters whose contents are known from the source columns ──────────────────────────────────────────
@@ -355,19 +358,100 @@ def pipeline_failures(spark, d):
     return pipeline.process(*_pending(spark, d), NOW).failures
 
 
+# ── fields after edits, batches, recognised pages, settings, forms ───────────────────────────────────────────────────
+
+
+def _fields(spark: SparkSession, d: str) -> DataFrame:
+    return fields_long(spark, d).withColumn("id", F.concat_ws("-", "documentId", "seq")).withColumn("isConfirmed", F.lit(False))
+
+
+@query(f"SELECT documentId || '-' || seq AS id, (documentId = '32' AND seq = 1) AS isConfirmed FROM ({_FIELD_SQL})", o.LETTERS)
+def field_confirm(spark, d):
+    return store.confirm_field(_fields(spark, d), "32-1").select("id", "isConfirmed")
+
+
+@query(f"SELECT documentId || '-' || seq AS id, CASE WHEN documentId = '32' AND seq = 1 THEN 'Note' ELSE fieldName END AS fieldName, CASE WHEN documentId = '32' AND seq = 1 THEN 'by hand' ELSE fieldValue END AS fieldValue FROM ({_FIELD_SQL})", o.LETTERS)
+def field_edit(spark, d):
+    return store.edit_field(_fields(spark, d), "32-1", "Note", "by hand").select("id", "fieldName", "fieldValue")
+
+
+@query(f"SELECT documentId || '-' || seq AS id FROM ({_FIELD_SQL}) WHERE NOT (documentId = '32' AND seq = 1)", o.LETTERS)
+def field_delete(spark, d):
+    return store.delete_field(_fields(spark, d), "32-1").select("id")
+
+
+@query(f"SELECT documentId || '-' || seq AS id FROM ({_FIELD_SQL}) WHERE documentId NOT IN (SELECT o_orderkey::VARCHAR FROM orders WHERE o_orderstatus = 'F')", o.LETTERS)
+def fields_delete_of_documents(spark, d):
+    done = views.table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("documentId"))
+    return store.delete_fields_of(_fields(spark, d), done).select("id")
+
+
+@query(f"SELECT documentId, fieldName, fieldValue, isConfirmed FROM (SELECT documentId, fieldName, fieldValue, false AS isConfirmed FROM ({_FIELD_SQL}) UNION ALL SELECT '32', 'Remark', 'paid', true)", o.LETTERS)
+def field_add(spark, d):
+    return store.add_field(_fields(spark, d).drop("seq"), "32", " Remark ", "paid ").select("documentId", "fieldName", "fieldValue", "isConfirmed")
+
+
+@query("SELECT id, CASE WHEN type = 'PERSON' THEN upper(name) ELSE name END AS name FROM pr", o.PROFILES)
+def upsert_batch_last_wins(spark, d):
+    """A batch that tells each person twice: the later row counts."""
+    p = views.profiles(spark, d).select("id", "name", "type")
+    batch = p.filter("type = 'PERSON'").select("id", F.explode(F.array(F.struct(F.lit(1).alias("turn"), F.lower("name").alias("name")), F.struct(F.lit(2).alias("turn"), F.upper("name").alias("name")))).alias("x"), "type").select("id", "x.name", "type", "x.turn")
+    return store.upsert_batch(p, batch, "id", order="turn").select("id", "name")
+
+
+@query("SELECT id, name, type, city FROM pr WHERE id = 'c7'", o.PROFILES)
+def profile_by_id(spark, d):
+    return reads.by_id(views.profiles(spark, d), "c7").select("id", "name", "type", "city")
+
+
+_BLOCKS = "bl AS (SELECT doc_id, p, l[p + 1] AS text, [(p % 8) / 8.0::DOUBLE, NULL, ((p + doc_id) % 8) / 8.0::DOUBLE] AS c FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), LATERAL (SELECT unnest(range(0, len(l))) AS p))"
+
+
+@query("SELECT doc_id::VARCHAR AS document_id, string_agg(text, chr(10) ORDER BY p) AS ocr_text, count(*) AS n_blocks, min_by(list_avg(c), p)::FLOAT AS first_block, (sum(list_sum(c)) / (2 * count(*)))::FLOAT AS confidence FROM bl GROUP BY doc_id", _BLOCKS)
+def pages_recognised(spark, d):
+    """Each document as a page of lines with confidences, one of which is missing."""
+    lines = views.table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("block", "text"))
+    told = F.expr("array(cast((block % 8) / 8D as float), cast(null as float), cast(((block + doc_id) % 8) / 8D as float))")
+    got = ingest.recognised(lines.select(F.col("doc_id").cast("string").alias("document_id"), F.lit(1).alias("page_number"), "block", "text", told.alias("confidences")))
+    return got.select("document_id", "ocr_text", F.size("block_confidences").cast("long").alias("n_blocks"), F.col("block_confidences")[0].alias("first_block"), "confidence")
+
+
+@query(
+    """SELECT CASE WHEN max(CASE WHEN k = 0 THEN v END) IN ('LIGHT', 'DARK', 'SYSTEM') THEN max(CASE WHEN k = 0 THEN v END) ELSE 'SYSTEM' END AS theme, true AS auto_process, max(CASE WHEN k = 2 THEN v END) AS language, false AS notifications, false AS biometric, 'm' AS active_model
+    FROM (SELECT n_nationkey AS k, n_name AS v FROM nation)"""
+)
+def preferences_read(spark, d):
+    """Settings from rows of another table: an unknown theme, an unreadable switch, one that was set, one that was removed."""
+    stored = views.table(spark, d, "nation").filter("n_nationkey < 3").select(F.expr("element_at(array('theme', 'auto_process', 'language'), cast(n_nationkey as int) + 1)").alias("key"), F.col("n_name").alias("value"))
+    for key, value in (("notifications", "false"), ("biometric", "true"), ("biometric", None), ("active_model", "m")):
+        stored = ingest.set_preference(stored, key, value)
+    return ingest.preferences(stored)
+
+
+@query(
+    """SELECT id, CASE WHEN k % 3 = 0 THEN coalesce(organization, '') ELSE name END AS name, CASE WHEN k % 2 = 0 THEN NULL ELSE phone END AS phone, CASE WHEN k % 5 = 0 THEN 'Germany' ELSE 'France' END AS country
+    FROM (SELECT *, createdAt % 1000000000 AS k FROM pr)""",
+    o.PROFILES,
+)
+def profile_forms(spark, d):
+    p = views.profiles(spark, d).withColumn("k", F.col("createdAt") % 1_000_000_000)
+    forms = p.select("id", F.expr("if(k % 3 = 0, ' ', concat(' ', name))").alias("name"), "organization", F.expr("if(k % 2 = 0, '', phone)").alias("phone"), F.expr("if(k % 5 = 0, '  ', 'France')").alias("country"))
+    return store.form_profiles(forms).select("id", "name", "phone", "country")
+
+
 # ── resolution: each order's parties against all profiles ────────────────────────────────────────────────────────────
 
 _PARTIES = """pa AS (
   SELECT o_orderkey::VARCHAR AS documentId, 'RECEIVER' AS role, CASE WHEN o_orderkey % 3 = 0 THEN upper(c_name) ELSE substr(c_name, 1, 17) END AS name, NULL::VARCHAR AS organization,
-    CASE WHEN o_orderkey % 2 = 0 THEN 'c' || c_custkey || '@example.com' END AS email, '030 ' || c_custkey AS phone, 'Weg 1' AS address FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 20 = 0
+    CASE WHEN o_orderkey % 2 = 0 THEN 'c' || c_custkey || '@example.com' END AS email, '030 ' || c_custkey AS phone, 'Weg 1' AS address FROM orders JOIN customer ON o_custkey = c_custkey
   UNION ALL SELECT s_suppkey::VARCHAR, 'SENDER', NULL, CASE WHEN s_suppkey % 5 = 0 THEN 'Nobody ' || s_suppkey ELSE ' ' || lower(s_name) || ' ' END, NULL, NULL, NULL FROM supplier WHERE s_suppkey % 5 <> 1
   UNION ALL SELECT s_suppkey::VARCHAR, 'SENDER', NULL, substr(s_name, 1, 16), NULL, NULL, NULL FROM supplier WHERE s_suppkey % 5 = 1)"""
 
 
-def _parties(spark: SparkSession, d: str, every: int = 20) -> DataFrame:
-    """Parties with exact, partial, padded and unknown names, for one order in `every`."""
+def _parties(spark: SparkSession, d: str) -> DataFrame:
+    """Parties with exact, partial, padded and unknown names, for every order and supplier."""
     c, s = views.table(spark, d, "customer").select("c_custkey", "c_name"), views.table(spark, d, "supplier")
-    orders = views.table(spark, d, "orders").select("o_orderkey", "o_custkey").filter(f"o_orderkey % {every} = 0").join(c, F.col("o_custkey") == c["c_custkey"])
+    orders = views.table(spark, d, "orders").select("o_orderkey", "o_custkey").join(c, F.col("o_custkey") == c["c_custkey"])
     none = F.lit(None).cast("string")
     a = orders.select(F.col("o_orderkey").cast("string").alias("documentId"), F.lit("RECEIVER").alias("role"), F.expr("if(o_orderkey % 3 = 0, upper(c_name), substr(c_name, 1, 17))").alias("name"), none.alias("organization"), F.expr("if(o_orderkey % 2 = 0, concat('c', c_custkey, '@example.com'), null)").alias("email"), F.expr("concat('030 ', c_custkey)").alias("phone"), F.lit("Weg 1").alias("address"))
     b = s.select(F.col("s_suppkey").cast("string").alias("documentId"), F.lit("SENDER").alias("role"), none.alias("name"), F.expr("case when s_suppkey % 5 = 0 then concat('Nobody ', s_suppkey) when s_suppkey % 5 = 1 then substr(s_name, 1, 16) else concat(' ', lower(s_name), ' ') end").alias("organization"), none.alias("email"), none.alias("phone"), none.alias("address"))
@@ -393,7 +477,7 @@ def match_candidates(spark, d):
 
 @query("SELECT documentId, role, id AS profileId FROM ca", _PARTIES, o.PROFILES, _CANDIDATES)
 def match_candidates_blocked(spark, d):
-    """The same by trigrams, as for profiles that are too many to broadcast."""
+    """The same by the rarest trigram, as for profiles that are too many to broadcast."""
     return resolve.candidates(_parties(spark, d), views.profiles(spark, d), broadcast_profiles=0).select("s.documentId", "s.role", F.col("p.id").alias("profileId"))
 
 
@@ -412,10 +496,10 @@ def match_type(spark, d):
     return resolve.suggestions(_parties(spark, d), views.profiles(spark, d)).select("documentId", "role", "profileId", "confidence", "matchType")
 
 
-@query("SELECT documentId, role, profileId, confidence, matchType FROM su", _PARTIES.replace("o_orderkey % 20 = 0", "true"), *_RESOLVED[1:])
+@query("SELECT documentId, role, profileId, confidence, matchType FROM su", *_RESOLVED)
 def match_type_whole(spark, d):
-    """The same for every order."""
-    return resolve.suggestions(_parties(spark, d, 1), views.profiles(spark, d)).select("documentId", "role", "profileId", "confidence", "matchType")
+    """The same by trigrams."""
+    return resolve.suggestions(_parties(spark, d), views.profiles(spark, d), broadcast_profiles=0).select("documentId", "role", "profileId", "confidence", "matchType")
 
 
 @query("SELECT documentId, profileId, role FROM su WHERE matchType = 'EXACT_MATCH'", *_RESOLVED)
@@ -482,12 +566,15 @@ def arabic_hash_ids(spark, d):
     return f.select("sentence_id", "token_idx", "word_id", "pattern_id", F.col("bpe_ids")[0].alias("bpe_id"), F.col("char_ids")[0].alias("char_id"), F.col("diac_ids")[0].alias("diac_id"))
 
 
-_ROOTS = {"كتب": "تب", "الطالب": "طلب", "المدرسة": "مدر", "في": "ف"}
+_LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+_ROOT_SQL = f"""SELECT word, CASE WHEN len(word) < 2 THEN word WHEN c = '' THEN w ELSE c[1:3] END AS root FROM (SELECT word, w, regexp_replace(w, '[{arabic.NOT_CONSONANTS}]', '', 'g') AS c FROM (
+  SELECT word, CASE WHEN len(word) < 2 THEN word ELSE u[1:len(u) - len(coalesce(list_filter({_LIST(arabic.SUFFIXES)}, lambda s: ends_with(u, s) AND len(u) - len(s) >= 2)[1], ''))] END AS w FROM (
+    SELECT word, word[len(coalesce(CASE WHEN len(word) >= 2 THEN list_filter({_LIST(arabic.PREFIXES)}, lambda p: starts_with(word, p) AND len(word) - len(p) >= 2)[1] END, '')) + 1:] AS u FROM (SELECT DISTINCT word FROM sn))))"""
 
 
-@query("SELECT DISTINCT word, CASE word " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _ROOTS.items()) + " END AS root FROM sn WHERE word IN ('" + "', '".join(_ROOTS) + "')", _SENT_SQL)
+@query(_ROOT_SQL, _SENT_SQL)
 def arabic_root(spark, d):
-    words = arabic.tokens(_sentences(spark, d)).filter(F.col("word").isin(*_ROOTS)).select("word").distinct()
+    words = arabic.tokens(_sentences(spark, d)).filter("token_idx > 0").select("word").distinct()
     return arabic.with_root(words)
 
 
@@ -528,29 +615,24 @@ def chat_intent(spark, d):
     return views.table(spark, d, "conversations").select("conv_id", "turn", scalars.chat_intent(F.col("text")).alias("intent"))
 
 
-_AGO = f"({NOW} - createdAt)"
+#: After the last event.
+_LATE = 1_706_800_000_000
+_AGO = f"({_LATE} - createdAt)"
+_AGO_SQL = f"SELECT id, CASE WHEN {_AGO} < 60000 THEN 'Just now' WHEN {_AGO} < 3600000 THEN ({_AGO} // 60000) || ' min ago' WHEN {_AGO} < 86400000 THEN ({_AGO} // 3600000) || 'h ago' WHEN {_AGO} < 604800000 THEN ({_AGO} // 86400000) || 'd ago' ELSE strftime(make_timestamp(createdAt * 1000), '%d.%m.%Y') END AS ago FROM tl"
 
 
-@query(
-    f"SELECT id, CASE WHEN {_AGO} < 60000 THEN 'Just now' WHEN {_AGO} < 3600000 THEN ({_AGO} // 60000) || ' min ago' WHEN {_AGO} < 86400000 THEN ({_AGO} // 3600000) || 'h ago' WHEN {_AGO} < 604800000 THEN ({_AGO} // 86400000) || 'd ago' ELSE strftime(make_timestamp(createdAt * 1000), '%d.%m.%Y') END AS ago FROM tl WHERE createdAt <= {NOW}",
-    o.TIMELINE,
-)
+@query(_AGO_SQL, o.TIMELINE)
 def relative_time(spark, d):
-    return views.timeline(spark, d).filter(F.col("createdAt") <= NOW).select("id", scalars.relative_time(F.col("createdAt"), F.lit(NOW)).alias("ago"))
+    return views.timeline(spark, d).select("id", scalars.relative_time(F.col("createdAt"), F.lit(_LATE)).alias("ago"))
 
 
-#: After the last event.
-_LATE = 1_706_800_000_000
-_LATER = f"({_LATE} - createdAt)"
+_OWN = "SELECT event_id::VARCHAR AS id, event_id * 6100 AS n, epoch_us(ts) // 1000 AS createdAt FROM events"
 
 
-@query(
-    f"SELECT id, CASE WHEN {_LATER} < 60000 THEN 'Just now' WHEN {_LATER} < 3600000 THEN ({_LATER} // 60000) || ' min ago' WHEN {_LATER} < 86400000 THEN ({_LATER} // 3600000) || 'h ago' WHEN {_LATER} < 604800000 THEN ({_LATER} // 86400000) || 'd ago' ELSE strftime(make_timestamp(createdAt * 1000), '%d.%m.%Y') END AS ago FROM tl",
-    o.TIMELINE,
-)
+@query(f"SELECT id, CASE WHEN n < 60 THEN 'Just now' WHEN n < 3600 THEN (n // 60) || ' min ago' WHEN n < 86400 THEN (n // 3600) || 'h ago' WHEN n < 604800 THEN (n // 86400) || 'd ago' ELSE strftime(make_timestamp(createdAt * 1000), '%d.%m.%Y') END AS ago FROM ({_OWN})")
 def relative_time_whole(spark, d):
-    """The same for all events, with dates."""
-    return views.timeline(spark, d).select("id", scalars.relative_time(F.col("createdAt"), F.lit(_LATE)).alias("ago"))
+    """Each event as told some time after it, longer for each: all branches."""
+    return views.timeline(spark, d).select("id", scalars.relative_time(F.col("createdAt"), F.expr("createdAt + cast(id as bigint) * 6100000")).alias("ago"))
 
 
 @query("SELECT p_partkey, 'PAM_' || substr(regexp_replace(p_name || ' (' || p_type || ') für ' || p_brand, '[^a-zA-Z0-9_-]', '_', 'g'), 1, 50) || '.pdf' AS name FROM part")
@@ -586,7 +668,10 @@ def prompt_text(spark, d):
 
 @query("SELECT user_id::VARCHAR AS documentId, (least(count(*), 10))::INT AS pageCount FROM events GROUP BY user_id")
 def scan_pages(spark, d):
-    scans = views.table(spark, d, "events").groupBy("user_id").agg(F.collect_list(F.concat(F.lit("page://"), "event_id")).alias("uris")).select(F.col("user_id").cast("string").alias("id"), "uris")
+    # ranks are limited in each task before the shuffle, so that no list is longer than a scan may be
+    place = W.partitionBy("user_id").orderBy("event_id")
+    first = views.table(spark, d, "events").select("user_id", "event_id").withColumn("r", F.row_number().over(place)).filter(F.col("r") <= ingest.MOST_PAGES)
+    scans = first.groupBy("user_id").agg(F.collect_list(F.concat(F.lit("page://"), "event_id")).alias("uris")).select(F.col("user_id").cast("string").alias("id"), "uris")
     return ingest.scanned_pages(scans).groupBy("documentId").agg(F.max("pageCount").alias("pageCount"))
 
 

@@ -28,7 +28,7 @@ LINKS = """ln AS (
   SELECT o_orderkey::VARCHAR AS documentId, 'c' || o_custkey AS profileId, 'RECEIVER' AS role FROM orders
   UNION SELECT DISTINCT l_orderkey::VARCHAR, 's' || l_suppkey, 'SENDER' FROM lineitem)"""
 TIMELINE = """tl AS (
-  SELECT event_id::VARCHAR AS id, user_id::VARCHAR AS documentId, upper(event_type) AS eventType, 'Event ' || event_type AS title, props AS data, epoch_ms(ts) AS createdAt FROM events)"""
+  SELECT event_id::VARCHAR AS id, user_id::VARCHAR AS documentId, upper(event_type) AS eventType, 'Event ' || event_type AS title, props AS data, epoch_us(ts) // 1000 AS createdAt FROM events)"""
 _LINES = [
     "'Stadtwerke Musterstadt GmbH'", "'Hauptstraße 12'", "'Tel: 089 ' || lpad(o_orderkey::VARCHAR, 7, '0')", "'kontakt' || o_custkey || '@example.com'",
     "'Herrn Kunde ' || translate(o_custkey::VARCHAR, '0123456789', 'abcdefghij')", "'Weg ' || (o_custkey % 90 + 1)", "'1' || lpad((o_custkey % 10000)::VARCHAR, 4, '0') || ' ' || n_name", "''",
