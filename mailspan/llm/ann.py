@@ -17,12 +17,17 @@ from pyspark.sql import functions as F
 from mailspan.llm._common import arrow_batches, table, written
 
 #: Codebooks, codewords in each, beams kept while encoding, and how many candidates a block of codes hands on for each query.
-BOOKS, WORDS, BEAMS, SHORTLIST = 8, 256, 4, 100
+BOOKS, WORDS, BEAMS, SHORTLIST = 24, 256, 4, 100
 #: The codebooks are fitted on about this many vectors at most, chosen by a hash; all vectors are indexed.
 TRAINING_VECTORS = 8192
 QUERY_BLOCK, CODE_BLOCK = 1024, 16384
 
 
+def _single(vectors) -> np.ndarray:
+    """Rows in single precision; what is beyond its range for squares is at its end."""
+    return np.clip(np.stack(list(vectors)), -1e15, 1e15).astype(np.float32)
+
+
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
     centres = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
@@ -57,7 +62,7 @@ def fit(vectors: DataFrame, books: int = BOOKS, words: int = WORDS, training_vec
     sample = vectors.filter(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20) + 1)).orderBy("vec_id").select("v").toPandas()["v"]
     if not len(sample):
         return None
-    x = np.stack(sample).astype(np.float32)
+    x = _single(sample)
     rng, out = np.random.default_rng(seed), []
     rest = x
     for _ in range(books):
@@ -78,7 +83,9 @@ def nearest(df: DataFrame, queries: "F.Column | None" = None, k: int = 10, id_co
     """
     spark = df.sparkSession
     arrow_batches(spark, 4096)
-    v = df[vector_column].cast("array<float>")
+    # exact distances are those of the vectors as they are; only codes are made in single precision
+    single = df.schema[vector_column].dataType.simpleString() == "array<float>"
+    v = df[vector_column].cast("array<float>" if single else "array<double>")
     rows = df.select(df[id_column].cast("long").alias("vec_id"), v.alias("v"), (queries if queries is not None else df[id_column] % 100 == 0).alias("q"))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
     rows = rows.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
@@ -93,7 +100,7 @@ def nearest(df: DataFrame, queries: "F.Column | None" = None, k: int = 10, id_co
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                x = np.stack([np.asarray(y.values.to_numpy(), np.float32) for y in part.column(2)])
+                x = _single([y.values.to_numpy() for y in part.column(2)])
                 codes, norms = encode(x, shared.value)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32())], ["vec_id", "vh", "code", "norm"])
 
@@ -118,7 +125,7 @@ def nearest(df: DataFrame, queries: "F.Column | None" = None, k: int = 10, id_co
         ids, norms = c["vec_id"].to_numpy(), c["norm"].to_numpy(np.float32)
         for at in range(0, len(q), 64):
             part = q.iloc[at : at + 64]
-            x = np.stack(part["v"].to_numpy()).astype(np.float32)
+            x = _single(part["v"])
             tables = -2 * np.einsum("qd,mkd->mqk", x, books, optimize=True)
             scores = np.broadcast_to(norms, (len(x), len(c))).copy()
             for t, own in zip(tables, codes.T, strict=True):

@@ -17,6 +17,8 @@ from mailspan.llm._common import WORD, table, written
 TARGET, REPEATS, SEED = 0.9, 4, 17
 STEPS = 60
 BLOCK_ROWS = 50_000
+#: The driver plans for so many sources at most; up to BROADCAST_SOURCES their plan is broadcast, more are joined by a shuffle.
+MOST_SOURCES, BROADCAST_SOURCES = 5_000_000, 50_000
 
 
 def weights(tokens: dict, exponent: float) -> dict:
@@ -78,7 +80,9 @@ def mixed(df: DataFrame, id_column: str = "doc_id", source_column: str = "source
         ),
         "tokens",
     )
-    got = rows.groupBy("source").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()  # a row for each source
+    got = rows.groupBy("source").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()  # a row for each source
+    if len(got) > MOST_SOURCES:
+        raise ValueError(f"there are more than {MOST_SOURCES} sources")
     plans = plan({r.source: r.t for r in got}, target, repeats, budget)
     facts = []
     for r in got:
@@ -88,7 +92,8 @@ def mixed(df: DataFrame, id_column: str = "doc_id", source_column: str = "source
     digits = 1
     while 16**digits * BLOCK_ROWS < max((r.n for r in got), default=0):
         digits += 1
-    sources = F.broadcast(spark.createDataFrame(facts, "s string, full long, rest long, epochs long"))  # as many rows as sources
+    sources = spark.createDataFrame(facts, "s string, full long, rest long, epochs long")
+    sources = F.broadcast(sources) if len(facts) <= BROADCAST_SOURCES else sources
     shown = rows.join(sources, rows["source"].eqNullSafe(sources["s"])).drop("s").filter("epochs > 0")
     shown = shown.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)))
     shown = shown.withColumn("h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_hash"))))

@@ -17,7 +17,10 @@ from mailspan.llm._common import arrow_batches, shared_folder, table
 
 #: Code points in a chunk of the transfer framing, and in a segment of a record.
 CHUNK, SEGMENT = 4096, 16384
-RECORDS_A_FILE = 20_000
+#: A file holds so many records of at most a segment each, that is 200 MB before compression and mostly a few.
+RECORDS_A_FILE = 4_000
+#: Digests of repeated payloads are broadcast up to so many rows, so that payloads are not shuffled for them.
+BROADCAST_DIGESTS = 200_000
 DATE = "2024-01-01T00:00:00Z"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _HEAD = r"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -42,7 +45,7 @@ def write_warc(df: DataFrame, path: str, id_column: str, url_column: str, text_c
     rows = df.select(df[id_column].alias("id"), df[url_column].cast("string").alias("url"), F.coalesce(df[text_column], F.lit("")).alias("text"))
     rows = rows.withColumn("sha", F.sha1(F.col("text").cast("binary"))).withColumn("bytes", F.octet_length("text"))
     first = rows.filter(F.col("bytes") >= least_bytes).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("sha", "first")
-    rows = rows.join(first, "sha", "left").withColumn("revisit", F.coalesce((F.col("bytes") >= least_bytes) & F.col("first").isNotNull() & (F.col("id").isNull() | (F.col("id") > F.col("first"))), F.lit(False)))
+    rows = rows.join(F.broadcast(first) if first.count() <= BROADCAST_DIGESTS else first, "sha", "left").withColumn("revisit", F.coalesce((F.col("bytes") >= least_bytes) & F.col("first").isNotNull() & (F.col("id").isNull() | (F.col("id") > F.col("first"))), F.lit(False)))
     chunks = F.expr(rf"array_join(transform(regexp_extract_all(text, '(?s).{{1,{CHUNK}}}', 0), c -> concat(hex(octet_length(c)), '\r\n', c, '\r\n')), '')")
     rows = rows.withColumn("origin", F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">"))).withColumn("digest", base32_sha1("sha"))
     rows = rows.withColumn("block", F.when(F.col("revisit"), F.expr(rf"'{_HEAD}\r\n'")).otherwise(F.concat(F.expr(rf"'{_HEAD}Transfer-Encoding: chunked\r\n\r\n'"), chunks, F.expr(r"'0\r\n\r\n'"))))

@@ -295,8 +295,16 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0)).isEmpty() and ann.nearest(df.filter("vec_id in (100, 101)")).count() == 1
 
 
+def test_double_vectors_are_ranked_as_they_are(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, (1 + 1e-9 * rng.normal(size=4)).tolist()) for i in range(300)] + [(400, [1e300, 0.0, 0.0, 1.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = _brute(rows)
+    assert all(r.score == want[r.query_id][r["rank"] - 1][0] and r.vec_id == want[r.query_id][r["rank"] - 1][1] for r in got if r.query_id < 400) and len(got) == 40
+
+
 def test_recall_on_the_table(spark):
-    d = "/root/testdata/sf0.01"
+    d = "/root/testdata/sf0.1"
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()]
     want, got = _brute(rows), defaultdict(set)
     for r in ann.op7_nearest_neighbours(spark, d).collect():
