@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as p
 from mailspan.llm import quality
 from tests.helpers import SMALL
-from tests.llm.test_operators import _plain_components, _plain_lines, _plain_measures
+from tests.llm.test_operators import _groups_of, _plain_components, _plain_lines, _plain_measures
 
 
 @pytest.fixture(scope="module")
@@ -38,8 +38,10 @@ def test_quality(stages):
     assert set(rows(stages[1])) == {i for i, r in rows(stages[0]).items() if keeps(r.text)} and quality.BASE
 
 
-def test_lines(stages):
-    want = _plain_lines([(r.doc_id, r.text) for r in stages[1].collect()])
+def test_lines(spark, stages):
+    """One line of each of the operator's groups stays; its groups are tested against edit similarity in test_operators."""
+    before = [(r.doc_id, r.text) for r in stages[1].collect()]
+    want = _plain_lines(before, _groups_of(spark, before))
     assert {i: r.text for i, r in rows(stages[2]).items()} == {i: t for i, t in want.items() if t.split()}
     assert all(r.n_chars == len(r.text) for r in stages[2].collect())
 
@@ -65,3 +67,18 @@ def test_empty(spark):
     for _, f in p.STAGES:
         docs = f(spark, docs, SMALL)
         assert docs.isEmpty()
+
+
+def test_odd_rows(spark):
+    """Columns named like those of operators keep their contents; ids that are repeated or missing lose no text of their own."""
+    words = lambda k, n=40: " ".join(f"word{k}x{i}" for i in range(n))
+    rows = [(1, words(1)), (1, words(2)), (2, words(1)), (None, words(3)), (None, words(3)), (None, words(3) + " more"), (5, words(4)), (5, words(4)), (6, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source", "length(text) as n_chars", "'mine' as kept", "'mine' as rejected_by", "'mine' as n_removed", "'mine' as `group`", "'mine' as _d")
+    good = p.quality_rules(spark, docs, SMALL)
+    assert good.columns == docs.columns and good.filter("kept = 'mine' and rejected_by = 'mine'").count() == 8
+    assert p.line_dedup(spark, good, SMALL).filter("n_removed <> 'mine'").isEmpty()
+    left = p.jaccard_join(spark, docs, SMALL)
+    assert left.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in left.collect())
+    assert got[1, words(1)] == 1 and got[1, words(2)] == 1 and got[2, words(1)] == 0 and got[5, words(4)] == 1 and sum(got.values()) == 6
+    assert sum(n for (i, t), n in got.items() if i is None) == 1
