@@ -321,8 +321,8 @@ def _common(df: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def _agreeing(df: DataFrame, starts: list[int], common: tuple[np.ndarray, np.ndarray, int], buckets: int) -> DataFrame:
-    """Stars of the sets that agree in some part: pairs (src, dst) of one of them, the smallest id of those that are no
-    guests in the band, and each other one."""
+    """Stars of the sets that agree in some part, if not all of them are guests in the band: pairs (src, dst) of the smallest
+    id among them and each other one."""
     shared = df.sparkSession.sparkContext.broadcast((starts, *common[:2]))
     salts = max(1, -(-common[2] // SPLIT_ROWS))
 
@@ -366,11 +366,12 @@ def _agreeing(df: DataFrame, starts: list[int], common: tuple[np.ndarray, np.nda
         k = np.zeros((len(c), 8), np.uint8)
         k[:, :5] = np.frombuffer(b"".join(cells["keys"].to_pylist()), np.uint8).reshape(-1, 5)
         k = k.view(np.uint64).reshape(-1)
-        order = np.lexsort((c, k))  # one that is no guest first, if there is one, and the smallest id of these
+        order = np.lexsort((c, k))  # one that is no guest first, if there is one
         k, c = k[order], c[order]
         first = np.flatnonzero(np.append(True, k[1:] >> _U(1) != k[:-1] >> _U(1))) if len(k) else np.zeros(0, np.int64)
         n = np.diff(np.append(first, len(k)))
-        head = np.repeat(np.where(k[first] & _U(1), -1, c[first]), n)
+        smallest = np.minimum.reduceat(c, first) if len(k) else c
+        head = np.repeat(np.where(k[first] & _U(1), -1, smallest), n)
         c, head = c[head >= 0], head[head >= 0]
         pair = np.unique((head * len(ids) + c)[head != c])
         return pa.table({"src": ids[pair // max(1, len(ids))], "dst": ids[pair % max(1, len(ids))]})
