@@ -35,7 +35,7 @@ SHINGLE = 5
 #: Linked: 7 * common >= 3 * (a + b), which is 100 * common >= 75 * union.
 #: Shingles whose keys meet in one bucket; shingles whose keys are made at a time; members of a star that are compared at a
 #: time; members, and bytes of their sketches, that one task compares.
-SHINGLES_A_BUCKET, SHINGLES_AT_ONCE, CHUNK, MEMBERS_A_TASK, SKETCHES_A_TASK = 4_000_000, 400_000, 2048, 50_000, 32 << 20
+SHINGLES_A_BUCKET, SHINGLES_AT_ONCE, CHUNK, MEMBERS_A_TASK, SKETCHES_A_TASK = 1_000_000, 400_000, 2048, 50_000, 32 << 20
 #: Shingles that so many rows hold are common, the most common first and no more than MOST_COMMON of them; from one level to
 #: the next they may be LEVEL times as common. That decides how fast the join is, never what it finds.
 COMMON_ROWS, LEVEL, MOST_COMMON, HELD_SHINGLES = 8, 16, 1_000_000, 4_000_000
@@ -392,7 +392,9 @@ def _sides(pairs: DataFrame, table: DataFrame, key: str, *columns: str) -> DataF
 
 
 def _close(pairs: DataFrame, active: DataFrame) -> DataFrame:
-    """The pairs (src, dst), as set keys, of the pairs of ids whose sizes and sketches allow a link."""
+    """The pairs (src, dst), as set keys, of one pair of ids for each dst, if sizes and sketches allow a link: that with the
+    smallest src of a size that fits. Members of one group mostly name the same src so; what this leaves open is found by
+    `_remaining`."""
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -403,7 +405,8 @@ def _close(pairs: DataFrame, active: DataFrame) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     fit = _sides(pairs, active.select("id", "set_key", "n"), "id", "set_key", "n").filter("3 * greatest(n_a, n_b) <= 4 * least(n_a, n_b)")
-    named = fit.select(F.col("set_key_a").alias("src"), F.col("set_key_b").alias("dst")).filter("src <> dst")
+    one = fit.filter("set_key_a <> set_key_b").groupBy("set_key_b").agg(F.min_by("set_key_a", F.struct("src", "set_key_a")).alias("src"))
+    named = one.select("src", F.col("set_key_b").alias("dst"))
     return _sides(named, active, "set_key", "n", "sketch").mapInArrow(close, "src binary, dst binary")
 
 
@@ -430,11 +433,18 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return _sides(pairs, written(sets.dropDuplicates(["set_key"]), "sets"), "set_key", "shingles").mapInArrow(linked, "src binary, dst binary")
 
 
-def _remaining(stars: DataFrame, active: DataFrame, labels: DataFrame, seed: int | None) -> DataFrame:
-    """Pairs of the stars' members that are not yet connected and whose sketches allow a link."""
+def _open(members: DataFrame, active: DataFrame, labels: DataFrame) -> DataFrame:
+    """g, id of the stars whose members are not all connected. Those that are stay so, and never come back."""
+    named = active.select("id", F.col("set_key").alias("node")).join(labels, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
+    told = members.join(named, "id").groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("g")
+    return written(members.join(_few(written(told, "stars")), "g", "left_semi"), "open")
+
+
+def _remaining(members: DataFrame, active: DataFrame, labels: DataFrame, seed: int | None) -> DataFrame:
+    """Pairs of the stars' members (g, id) that are not yet connected and whose sketches allow a link."""
     named = active.select("id", "set_key").join(labels.select(F.col("node").alias("set_key"), "component"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
-    rows = stars.select(F.col("src").alias("g"), F.col("dst").alias("id")).join(named, "id")
-    sizes = rows.groupBy(F.col("g").alias("star")).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("star", "size")
+    rows = members.join(named, "id")
+    sizes = rows.groupBy(F.col("g").alias("star")).agg(F.count("*").alias("size"))
     rows = rows.join(sizes, F.col("g") == F.col("star"))
     # a large star is compared chunk by chunk, each pair of chunks for itself
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
@@ -442,7 +452,7 @@ def _remaining(stars: DataFrame, active: DataFrame, labels: DataFrame, seed: int
     rows = rows.select("g", "set_key", "component", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"))
     rows = written(rows.join(active.select("set_key", "n", "sketch"), "set_key"), "members")
     held = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("sketch")), F.lit(0)).alias("b")).first()
-    tasks = max(1, int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held.n // MEMBERS_A_TASK), -(-held.b // SKETCHES_A_TASK))
+    tasks = max(1, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held.n // MEMBERS_A_TASK), -(-held.b // SKETCHES_A_TASK))
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["g", "lo", "hi"])
@@ -518,8 +528,11 @@ def grouped(df: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     texts = written(docs.join(_few(chosen), "rk").select("set_key", "text"), "texts")
     links = written(_linked(written(_close(pairs, active).distinct(), "near"), texts), "links")
     labels = components(links)
+    # a star has its head as a member
+    members = pairs.select(F.col("src").alias("g"), F.col("dst").alias("id")).union(pairs.select("src", "src").distinct())
     for seed in (*range(FOREST_ROUNDS), None):
-        asked = written(_remaining(pairs, active, labels, seed).distinct(), "asked")
+        members = _open(members, active, labels)
+        asked = written(_remaining(members, active, labels, seed).distinct(), "asked")
         found = written(_linked(asked, texts), "links")
         n_asked, n_found = asked.count(), found.count()
         if n_found:
