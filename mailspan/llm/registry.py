@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mailspan.llm import ann, jaccard, langid, lines, mixing, packing, pii, quality, sharding, warc
+from mailspan.llm import ann, jaccard, langid, lines, mixing, packing, pii, quality, sharding, warc, winnow
 
-MODULES = (sharding, langid, warc, quality, pii, mixing, ann, packing, jaccard, lines)
+MODULES = (sharding, langid, warc, quality, pii, mixing, ann, packing, jaccard, lines, winnow)
 
 
 def queries() -> dict:
