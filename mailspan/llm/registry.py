@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mailspan.llm import ann, collocations, jaccard, langid, lines, mixing, packing, pii, quality, sharding, warc, winnow
+from mailspan.llm import ann, collocations, jaccard, langid, lines, mixing, packing, pii, quality, sharding, trie, warc, winnow
 
-MODULES = (sharding, langid, warc, quality, pii, mixing, ann, packing, jaccard, lines, collocations, winnow)
+MODULES = (sharding, langid, warc, quality, pii, mixing, ann, packing, jaccard, lines, collocations, winnow, trie)
 
 
 def queries() -> dict:
