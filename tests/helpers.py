@@ -23,11 +23,11 @@ def _plain(df: pd.DataFrame) -> pd.DataFrame:
     for k in df.columns:
         if df[k].dtype.kind in "iub":
             if df[k].isna().any():  # nullable whole numbers stay exact
-                df[k] = df[k].map(lambda v: None if v is pd.NA or v is None else str(int(v))).astype(object)
+                df[k] = pd.Series([None if v is pd.NA else str(int(v)) for v in df[k]], df.index, object)
             else:
                 df[k] = df[k].astype("int64")
         elif df[k].dtype.kind == "f" and len(df) and (df[k].dropna() % 1 == 0).all() and (df[k].dropna().abs() < 2**53).all():
-            df[k] = df[k].astype("int64") if df[k].notna().all() else df[k].map(lambda v: None if v != v else str(int(v))).astype(object)
+            df[k] = df[k].astype("int64") if df[k].notna().all() else pd.Series([None if v != v else str(int(v)) for v in df[k]], df.index, object)
         elif df[k].dtype.kind == "f":
             df[k] = df[k].astype(float)
         else:
