@@ -9,9 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mailspan.functions import enums, scalars
-from mailspan.operators import arabic, extract, pipeline, reads, resolve, store
+from mailspan.operators import arabic, extract, pipeline, reads, resolve, store, textindex
 from mailspan.plans import oracle as o
-from mailspan.sources import ingest, views
+from mailspan.sources import buckets, ingest, views
+from mailspan.sources.folders import shared_folder, written
+from mailspan.streaming import detail, live
 
 _FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 SHOWN = ("id", "title", "status", "documentType", "language", "sourceType", "isFavorite", "createdAt")
@@ -136,6 +138,76 @@ def conversation_counts(spark, d):
     return views.messages(spark, d).groupBy("conversationId").agg(F.count("*").alias("messageCount"), F.max("createdAt").alias("lastMessageAt"))
 
 
+# ── the same by an index, and a detail that is kept while its sources change ────────────────────────────────────────────
+
+NEEDLES = (NEEDLE, WILD, "of", "q", "e%r", "_", "a_b", "x%y%z", "THE AND", "zzzqqq", "ü")
+
+
+def _bucketed(df: DataFrame, by: str, *keys: str, n: int = 16) -> buckets.BucketTable:
+    return buckets.BucketTable(shared_folder(df.sparkSession, by), keys, by, df.schema, n).create(df)
+
+
+@query(f"SELECT DISTINCT needle, documentId FROM pg, (VALUES {', '.join(f"('{x}')" for x in NEEDLES)}) v(needle) WHERE {o.fold('ocrText')} LIKE '%' || {o.fold('needle')} || '%'", o.PAGES)
+def doc_search_index(spark, d):
+    """Many needles at once, from posting lists of trigrams."""
+    pages = _bucketed(views.document_pages(spark, d).select("documentId", "pageNumber", "ocrText"), "documentId", "documentId", "pageNumber")
+    return textindex.TrigramIndex(shared_folder(spark, "index"), pages).build(spark).search(spark, list(NEEDLES))
+
+
+def live_detail(spark: SparkSession, d: str) -> tuple[detail.LiveDetail, DataFrame]:
+    """The tables of a live detail, and changes to them: texts of first pages, pages and documents that go, events and fields that come."""
+    docs, pages = views.documents(spark, d).select("id"), views.document_pages(spark, d).select("documentId", "pageNumber", "ocrText")
+    mails = views.letters(spark, d).select("documentId", F.explode(extract.emails()).alias("fieldValue"))
+    fields = mails.select("documentId", F.lit(0).alias("seq"), F.lit("Email").alias("fieldName"), "fieldValue", F.lit("EMAIL").alias("fieldType"), F.lit(0.95).cast("float").alias("confidence"))
+    events = views.timeline(spark, d).select("id", "documentId", "eventType", "title", "createdAt")
+    live_ = detail.LiveDetail(shared_folder(spark, "detail"), _bucketed(docs, "id", "id"), _bucketed(pages, "documentId", "documentId", "pageNumber"), _bucketed(fields, "documentId", "documentId", "seq"), _bucketed(events, "documentId", "documentId", "id"))
+    n, seq = F.col("documentId").cast("long"), lambda k: F.lit(k)
+    first = pages.filter("pageNumber = 1").filter(n % 7 == 0)
+    said = [
+        first.withColumn("ocrText", F.lit("draft")).select(*detail.change("document_pages", "put", "documentId", seq(1), pages.columns)),
+        first.withColumn("ocrText", F.concat(F.lit("checked: "), "ocrText")).select(*detail.change("document_pages", "put", "documentId", seq(2), pages.columns)),
+        pages.filter((n % 5 == 0) & (F.col("pageNumber") == 2)).select(*detail.change("document_pages", "drop", "documentId", seq(3), ["documentId", "pageNumber"])),
+        docs.withColumn("documentId", F.col("id")).filter(n % 11 == 0).select(*detail.change("documents", "drop", "documentId", seq(4), ["id"])),
+        events.filter(F.col("id").cast("long") % 13 == 0).withColumns({"id": F.concat(F.lit("new-"), "id"), "createdAt": F.lit(9_000_000_000_000)}).select(*detail.change("timeline_events", "put", "documentId", seq(5), events.columns)),
+        fields.filter(n % 3 == 0).withColumn("fieldValue", F.lit("by hand")).select(*detail.change("extracted_data", "put", "documentId", seq(6), fields.columns)),
+    ]
+    out = said[0]
+    for x in said[1:]:
+        out = out.union(x)
+    return live_.build(spark), out
+
+
+@query(
+    """SELECT d.id, coalesce(p.n, 0) AS n_pages, coalesce(e.n, 0) AS n_events, coalesce(e.newest, '') AS newest, coalesce(p.t, '') AS first_page, coalesce(f.t, '') AS first_field
+    FROM (SELECT doc_id AS k, doc_id::VARCHAR AS id FROM documents WHERE doc_id % 11 <> 0) d
+    LEFT JOIN (SELECT documentId, count(*) AS n, min_by(CASE WHEN pageNumber = 1 AND documentId::BIGINT % 7 = 0 THEN 'checked: ' || ocrText ELSE ocrText END, pageNumber) AS t FROM pg WHERE NOT (pageNumber = 2 AND documentId::BIGINT % 5 = 0) GROUP BY 1) p ON p.documentId = d.id
+    LEFT JOIN (SELECT documentId, count(*) AS n, arg_max(id, (createdAt, id)) AS newest FROM (SELECT documentId, id, createdAt FROM tl UNION ALL SELECT documentId, 'new-' || id, 9000000000000 FROM tl WHERE id::BIGINT % 13 = 0) GROUP BY 1) e ON e.documentId = d.id
+    LEFT JOIN (SELECT documentId, CASE WHEN documentId::BIGINT % 3 = 0 THEN 'by hand' ELSE 'kontakt' || o_custkey || '@example.com' END AS t FROM lt) f ON f.documentId = d.id""",
+    o.PAGES, o.TIMELINE, o.LETTERS,
+)
+def doc_detail_incremental(spark, d):
+    """The detail after a stream of changes in three batches, each of which worked on its own documents."""
+    kept, said = live_detail(spark, d)
+    source, checkpoint = shared_folder(spark, "changes"), shared_folder(spark, "checkpoint")
+    # all changes of a document are in one file
+    said.repartition(3, F.pmod(F.xxhash64("documentId"), F.lit(3))).write.parquet(source)
+    kept.follow(spark, source, checkpoint, files_per_trigger=1).awaitTermination()
+    got = kept.view(spark).read(spark)
+    told = lambda x: F.expr(f"coalesce({x}, '')")
+    return got.select("id", F.size("pages").cast("long").alias("n_pages"), F.size("events").cast("long").alias("n_events"), told("try_element_at(events, 1).id").alias("newest"), told("try_element_at(pages, 1).ocrText").alias("first_page"), told("try_element_at(fields, 1).fieldValue").alias("first_field"))
+
+
+@query("SELECT id, documentId, eventType FROM tl", o.TIMELINE)
+def event_log(spark, d):
+    """A stream that sends half of the events twice, in later files too: each id is logged once."""
+    e = views.timeline(spark, d)
+    source, path = shared_folder(spark, "events"), shared_folder(spark, "log")
+    sent = e.withColumn("turn", F.explode(F.expr("if(createdAt % 2 = 0, array(0, 1, 2), array(cast(createdAt % 3 as int)))")))
+    sent.repartition(3, "turn").write.parquet(source)
+    live.log_events(live.changes(spark, source, e.schema, 1), path, shared_folder(spark, "checkpoint")).awaitTermination()
+    return live.logged(spark, path, e.schema).select("id", "documentId", "eventType")
+
+
 # ── changes ──────────────────────────────────────────────────────────────────────────────────────────────────────────
 
 
@@ -157,6 +229,27 @@ def upsert_cascades(spark, d):
     return store.insert_cascading(tables, "profiles", p.filter("type = 'AUTHORITY' and createdAt % 2 = 0"))["document_profile_links"].select("documentId", "profileId", "role")
 
 
+@query(
+    """SELECT id, name FROM pr WHERE type = 'PERSON' AND createdAt % 2 = 1 UNION ALL SELECT id, upper(name) FROM pr WHERE type = 'PERSON' AND createdAt % 2 = 0 UNION ALL SELECT id, name FROM pr WHERE type = 'AUTHORITY'""",
+    o.PROFILES,
+)
+def bucket_upsert_replace(spark, d):
+    """The same on a stored table, of which only the buckets of the new rows are written."""
+    p = views.profiles(spark, d).select("id", "name", "type", "createdAt")
+    stored = _bucketed(p.filter("type = 'PERSON'"), "id", "id")
+    stored.upsert(p.filter("type = 'AUTHORITY' or createdAt % 2 = 0").withColumn("name", F.when(F.col("type") == "PERSON", F.upper("name")).otherwise(F.col("name"))))
+    return stored.read(spark).select("id", "name")
+
+
+@query("SELECT ln.documentId, ln.profileId, ln.role FROM ln JOIN pr ON pr.id = ln.profileId WHERE NOT (pr.type = 'AUTHORITY' AND pr.createdAt % 2 = 0)", o.LINKS, o.PROFILES)
+def bucket_upsert_cascades(spark, d):
+    """Links after half of the authorities were inserted again, in stored tables; links are kept by document and by profile."""
+    p, ln = views.profiles(spark, d), views.links(spark, d)
+    tables = {"profiles": (_bucketed(p, "id", "id"),), "document_profile_links": tuple(_bucketed(ln, by, "documentId", "profileId") for by in ("documentId", "profileId"))}
+    buckets.insert_cascading(tables, "profiles", p.filter("type = 'AUTHORITY' and createdAt % 2 = 0"))
+    return tables["document_profile_links"][0].read(spark).select("documentId", "profileId", "role")
+
+
 @query("SELECT id, CASE WHEN createdAt % 2 = 0 THEN upper(name) ELSE name END AS name FROM pr", o.PROFILES)
 def update_rows(spark, d):
     p = views.profiles(spark, d).select("id", "name", "createdAt")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+
+from mailspan.sources.folders import written
 
 
 def changes(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -53,22 +56,40 @@ def newest_version(spark: SparkSession, path: str) -> DataFrame:
     return every.filter(F.col("version") == last).drop("version")
 
 
-def log_events(stream: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Appends events to the log at `path`, each id once, however often it is sent or a batch is repeated."""
+def log_events(stream: DataFrame, path: str, checkpoint: str, once: bool = True, buckets: int = 32, remembered: str = "1 hour") -> StreamingQuery:
+    """Appends events to the log at `path`, each id once, however often it is sent or a batch is repeated.
+
+    Repeats that arrive within `remembered` are dropped by the stream's own state, which forgets ids after that time of arrival (not of the
+    event: no event is ever too late). For older repeats a batch is compared with the log: with the buckets of its own ids alone.
+    """
 
     def append(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["id"])
-        try:
-            known = spark.read.parquet(path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        else:
-            fresh = fresh.join(known.filter(F.col("batch") != number).select("id"), "id", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return observed(stream, append, checkpoint, once)
+        fresh = written(batch.drop("_arrived").dropDuplicates(["id"]).withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")), "events")
+        of = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # at most `buckets` numbers
+        if not of:
+            return
+        known = logged(spark, path, fresh.schema)
+        if known is not None:
+            known = known.filter(F.col("bucket").isin(of) & (F.col("batch") != number)).select("bucket", "id")
+            fresh = fresh.join(known, ["bucket", "id"], "left_anti")
+        # a batch that is repeated after a failure overwrites its own folders only
+        rows = fresh.withColumn("batch", F.lit(number)).hint("rebalance", "bucket")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
+
+    once_each = stream.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", remembered).dropDuplicatesWithinWatermark(["id"])
+    return observed(once_each, append, checkpoint, once)
+
+
+def logged(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
+    """The log's rows with their `bucket` and `batch`; none before its first batch."""
+    try:
+        own = StructType([f for f in schema if f.name not in ("bucket", "batch")])
+        return spark.read.schema(StructType([*own, StructField("bucket", IntegerType()), StructField("batch", LongType())])).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def latest_states(stream: DataFrame, key: str = "documentId", state: str = "state", time: str = "ts") -> DataFrame:
