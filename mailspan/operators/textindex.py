@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from mailspan.functions.text import folded, like_column
 from mailspan.sources.buckets import BucketTable
-from mailspan.sources.folders import written
+from mailspan.sources.folders import dealt, written
 
 #: Lists that are intersected for a needle: further ones would cost more reading than they save verification.
 RAREST = 3
@@ -64,13 +64,13 @@ class TrigramIndex:
         grams = F.expr("regexp_extract_all(padded, r'(?s)(?=(...))', 1)")
         postings = text.withColumn("padded", F.concat("t", F.lit(PAD))).select(F.explode(F.array_distinct(grams)).alias("gram"), "documentId", F.col("pageNumber").cast("int").alias("pageNumber")).withColumn("bucket", self._bucket())
         # sorted by trigram, so that a list is a run of rows, and row groups are skipped by their statistics
-        dealt = postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram", "documentId", "pageNumber")
-        dealt.write.mode(mode).partitionBy("bucket").parquet(f"{self.path}/postings")
+        rows = dealt(postings, "bucket").sortWithinPartitions("bucket", "gram", "documentId", "pageNumber")
+        rows.write.mode(mode).partitionBy("bucket").parquet(f"{self.path}/postings")
         self._count(pages.sparkSession)
 
     def _count(self, spark: SparkSession) -> None:
         counts = spark.read.schema(f"{_POSTING}, bucket int").parquet(f"{self.path}/postings").groupBy("bucket", "gram").agg(F.count("*").alias("n"))
-        counts.hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/counts")
+        dealt(counts, "bucket").sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/counts")
 
     def _read(self, spark: SparkSession, what: str, schema: str, grams: Iterable[str] | None = None) -> DataFrame:
         """Rows of some trigrams, from the folders of their buckets."""

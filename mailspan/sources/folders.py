@@ -20,3 +20,10 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     path = shared_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, column: str) -> DataFrame:
+    """`df` dealt by `column` for a partitioned write: few files a folder. Large folders are split among tasks where Spark plans at run time; inside a
+    stream's batch it does not, and would ignore the hint."""
+    adaptive = df.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true"
+    return df.hint("rebalance", column) if adaptive else df.repartition(column)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from mailspan.sources.folders import written
+from mailspan.sources.folders import dealt, written
 
 
 def changes(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -74,7 +74,7 @@ def log_events(stream: DataFrame, path: str, checkpoint: str, once: bool = True,
             known = known.filter(F.col("bucket").isin(of) & (F.col("batch") != number)).select("bucket", "id")
             fresh = fresh.join(known, ["bucket", "id"], "left_anti")
         # a batch that is repeated after a failure overwrites its own folders only
-        rows = fresh.withColumn("batch", F.lit(number)).hint("rebalance", "bucket")
+        rows = dealt(fresh.withColumn("batch", F.lit(number)), "bucket")
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
 
     once_each = stream.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", remembered).dropDuplicatesWithinWatermark(["id"])
