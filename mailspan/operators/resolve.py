@@ -54,7 +54,7 @@ def _grams(column: str) -> str:
     return f"array_distinct(transform(sequence(1, length({text}) - 2), i -> substring({text}, i, 3)))"
 
 
-def _told(party: DataFrame) -> DataFrame:
+def told_needle(party: DataFrame) -> DataFrame:
     """`party` with the needle that is looked for: the organization, or else the name; and whether it is an organization."""
     return party.withColumn("_needle", F.coalesce("organization", "name")).withColumn("_org", F.col("organization").isNotNull())
 
@@ -66,7 +66,7 @@ def matches(party: DataFrame, profiles: DataFrame, broadcast_profiles: int = BRO
     blocked: all trigrams of a needle without wild characters occur in what it matches, so it is looked for among the
     profiles with its rarest one. Needles without a trigram of their own meet all profiles.
     """
-    needles = _told(party).select(F.col("_needle").alias("needle"), F.col("_org").alias("org")).filter("needle is not null").distinct()
+    needles = told_needle(party).select(F.col("_needle").alias("needle"), F.col("_org").alias("org")).filter("needle is not null").distinct()
     p = profiles.select("id", "name", "organization")
     contained = lambda c: f"contains({folded(c)}, {folded('needle')})"
     found = lambda c: f"if(needle rlike '[%_]', {like_column(c, 'needle')}, {contained(c)})"
@@ -89,23 +89,24 @@ def matches(party: DataFrame, profiles: DataFrame, broadcast_profiles: int = BRO
 def candidates(party: DataFrame, profiles: DataFrame, broadcast_profiles: int = BROADCAST_PROFILES) -> DataFrame:
     """All (party, profile) pairs in which the party's organization, or else its name, occurs in the profile's name, or the
     organization in the profile's organization. Structs s and p."""
-    told = _told(party).select(F.struct(*party.columns).alias("s"), "_needle", "_org")
+    told = told_needle(party).select(F.struct(*party.columns).alias("s"), "_needle", "_org")
     found = matches(party, profiles, broadcast_profiles)
     whole = profiles.select(F.col("id").alias("_id"), F.struct(*profiles.columns).alias("p"))
     return told.join(found, (F.col("_needle") == F.col("needle")) & (F.col("_org") == F.col("org"))).join(whole, F.col("id") == F.col("_id")).select("s", "p")
 
 
-def suggestions(party: DataFrame, profiles: DataFrame, order: str = "createdAt", broadcast_profiles: int = BROADCAST_PROFILES) -> DataFrame:
-    """A row for each party: what was told, profileId, confidence, matchType.
+def suggestions(party: DataFrame, profiles: DataFrame, order: str = "createdAt", broadcast_profiles: int = BROADCAST_PROFILES, found: DataFrame | None = None) -> DataFrame:
+    """A row for each party: what was told, profileId, confidence, matchType. `found`: matches that are known already.
 
     Of all candidates the profile that was inserted first counts, not the best one; a party without candidates is a
     new profile with confidence 0.
     """
     whole = profiles.select(F.col("id").alias("_id"), F.struct(*profiles.columns).alias("p"))
-    pairs = matches(party, profiles, broadcast_profiles).join(whole, F.col("id") == F.col("_id"))
+    found = matches(party, profiles, broadcast_profiles) if found is None else found
+    pairs = found.join(whole, F.col("id") == F.col("_id"))
     # the first candidate by insertion order, once for each needle: an aggregate, so that no task ever holds all of them
     first = pairs.groupBy("needle", "org").agg(F.min_by("p", F.struct(F.col(f"p.{order}"), F.col("p.id"))).alias("p"))
-    told = _told(party).withColumn("s", F.struct(*party.columns))
+    told = told_needle(party).withColumn("s", F.struct(*party.columns))
     out = told.join(first, (F.col("_needle") == F.col("needle")) & (F.col("_org") == F.col("org")), "left")
     sure = F.when(F.col("p").isNotNull(), F.expr(confidence("p", "s"))).otherwise(F.lit(0).cast("float"))
     kind = F.when(F.col("p").isNull(), "NEW_PROFILE").when(F.col("confidence") >= F.lit(EXACT).cast("float"), "EXACT_MATCH").otherwise("POSSIBLE_MATCH")

@@ -120,3 +120,21 @@ class TrigramIndex:
             none = spark.createDataFrame([(x,) for x in blind], "needle string")
             out = out.unionByName(self.pages.read(spark).select("documentId", "pageNumber", "ocrText").crossJoin(F.broadcast(none)))
         return out.filter(F.expr(like_column("ocrText", "needle"))).select("needle", "documentId").distinct()
+
+    def containing(self, spark: SparkSession, needles: DataFrame) -> DataFrame:
+        """needle, documentId, pageNumber for a table of distinct needles (needle): each is looked up by its rarest trigram. The buckets of all
+        their trigrams are read, and of the pages those of candidates."""
+        parts = f"filter(regexp_extract_all({folded('needle')}, r'(?s)(?=(...))', 1), g -> not g rlike '[%_]')"
+        asked = written(needles.select("needle", F.explode_outer(F.array_distinct(F.expr(parts))).alias("gram")).withColumn("bucket", self._bucket()), "asked")
+        of = [r.bucket for r in asked.filter("gram is not null").select("bucket").distinct().collect()]  # at most `buckets` numbers
+        inside = lambda what, schema: self._read(spark, what, schema).filter(F.col("bucket").isin(of))
+        often = asked.filter("gram is not null").join(inside("counts", _COUNT), ["bucket", "gram"], "left")
+        rarest = often.groupBy("needle").agg(F.min_by(F.struct("bucket", "gram"), F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).select("needle", "g.*")
+        found = written(rarest.join(inside("postings", _POSTING), ["bucket", "gram"]).select("needle", "documentId", "pageNumber"), "candidates")
+        pages = self.pages.read(spark, self.pages.touched(found)).select("documentId", "pageNumber", "ocrText")
+        out = pages.join(found, ["documentId", "pageNumber"]).filter(F.expr(like_column("ocrText", "needle")))
+        # needles without a trigram of their own meet all pages, as nothing tells them apart
+        loose = asked.filter("gram is null").select("needle")
+        if not loose.isEmpty():
+            out = out.unionByName(self.pages.read(spark).select("documentId", "pageNumber", "ocrText").join(loose, F.expr(like_column("ocrText", "needle"))))
+        return out.select("needle", "documentId", "pageNumber").distinct()

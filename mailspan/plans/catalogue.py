@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from mailspan.functions import enums, scalars
 from mailspan.operators import arabic, extract, pipeline, reads, resolve, store, textindex
 from mailspan.plans import oracle as o
-from mailspan.sources import buckets, ingest, views
+from mailspan.sources import buckets, ingest, layouts, views
 from mailspan.sources.folders import shared_folder, written
-from mailspan.streaming import detail, live
+from mailspan.streaming import arrivals, detail, live, top
 
 _FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 SHOWN = ("id", "title", "status", "documentType", "language", "sourceType", "isFavorite", "createdAt")
@@ -197,6 +197,75 @@ def doc_detail_incremental(spark, d):
     return got.select("id", F.size("pages").cast("long").alias("n_pages"), F.size("events").cast("long").alias("n_events"), told("try_element_at(events, 1).id").alias("newest"), told("try_element_at(pages, 1).ocrText").alias("first_page"), told("try_element_at(fields, 1).fieldValue").alias("first_field"))
 
 
+_CHANGED = "(SELECT id, CASE WHEN id::BIGINT % 7 = 0 THEN createdAt + 10000000000 - 120000 * id::BIGINT ELSE createdAt END AS createdAt FROM d WHERE id::BIGINT % 11 <> 0)"
+
+
+def live_top(spark: SparkSession, d: str) -> tuple[top.LiveTop, DataFrame]:
+    """The newest documents, and changes: some get a time to come, others go; each is told twice."""
+    docs = views.documents(spark, d).select("id", "createdAt")
+    n = F.col("id").cast("long")
+    later = docs.filter(n % 7 == 0).withColumn("createdAt", F.col("createdAt") + 10_000_000_000 - 120_000 * n)
+    said = later.select(F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("seq"), F.lit("put").alias("op"), "id", (F.col("createdAt") * F.when(F.col("seq") == 1, 2).otherwise(1)).alias("createdAt"))
+    gone = docs.filter(n % 11 == 0).select(F.lit(3).cast("long").alias("seq"), F.lit("drop").alias("op"), "id", "createdAt")
+    return top.LiveTop.over(spark, shared_folder(spark, "top"), _bucketed(docs, "id", "id")), said.union(gone)
+
+
+def _live_top(spark: SparkSession, d: str) -> top.LiveTop:
+    kept, said = live_top(spark, d)
+    source = shared_folder(spark, "changes")
+    said.repartition(3, F.pmod(F.xxhash64("id"), F.lit(3))).write.parquet(source)
+    kept.follow(spark, source, said.schema, shared_folder(spark, "checkpoint"), files_per_trigger=1).awaitTermination()
+    return kept
+
+
+@query(f"SELECT id, createdAt FROM {_CHANGED} ORDER BY createdAt DESC, id LIMIT 10", o.DOCUMENTS)
+def doc_top10_live(spark, d):
+    """The ten newest documents after a stream of changes, from the newest of each bucket."""
+    return _live_top(spark, d).top(spark)
+
+
+@query(f"SELECT count(*) AS n_documents FROM {_CHANGED}", o.DOCUMENTS)
+def doc_total_live(spark, d):
+    return _live_top(spark, d).total(spark)
+
+
+@query(
+    """SELECT d.id, coalesce(p.n, 0) AS n_pages, coalesce(p.t, '') AS first_page, coalesce(e.n, 0) AS n_events FROM d
+    LEFT JOIN (SELECT documentId, count(*) AS n, min_by(ocrText, pageNumber) AS t FROM pg GROUP BY 1) p ON p.documentId = d.id LEFT JOIN (SELECT documentId, count(*) AS n FROM tl GROUP BY 1) e ON e.documentId = d.id""",
+    o.DOCUMENTS, o.PAGES, o.TIMELINE,
+)
+def doc_detail_colocated(spark, d):
+    """Counts and first page of each document from tables that are bucketed by document: no shuffle."""
+    return colocated_detail(*colocated_tables(spark, d))
+
+
+def colocated_tables(spark: SparkSession, d: str, n: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
+    put = lambda df, by: layouts.colocated(df, shared_folder(spark, by), by, n)
+    return put(views.documents(spark, d).select("id", "title"), "id"), put(views.document_pages(spark, d).select("documentId", "pageNumber", "ocrText"), "documentId"), put(views.timeline(spark, d).select("documentId", "id"), "documentId")
+
+
+def colocated_detail(docs: DataFrame, pages: DataFrame, events: DataFrame) -> DataFrame:
+    p = pages.groupBy(F.col("documentId").alias("id")).agg(F.count("*").alias("n_pages"), F.min_by("ocrText", "pageNumber").alias("first_page"))
+    e = events.groupBy(F.col("documentId").alias("id")).agg(F.count("*").alias("n_events"))
+    return docs.hint("merge").join(p.hint("merge"), "id", "left").join(e.hint("merge"), "id", "left").select("id", F.coalesce("n_pages", F.lit(0)).alias("n_pages"), F.coalesce("first_page", F.lit("")).alias("first_page"), F.coalesce("n_events", F.lit(0)).alias("n_events"))
+
+
+@query("SELECT id, documentId, eventType FROM tl WHERE id IN ('17', '423', '5')", o.TIMELINE)
+def event_lookup(spark, d):
+    """Events by id from a clustered table."""
+    path = shared_folder(spark, "events")
+    layouts.write_lookup(views.timeline(spark, d), path, "id", others=("documentId",))
+    return layouts.lookup(spark, path, "id", "17", "423", "5").select("id", "documentId", "eventType")
+
+
+@query("SELECT id, documentId, eventType FROM tl WHERE documentId = '21'", o.TIMELINE)
+def event_lookup_by_document(spark, d):
+    """The same table by another key, through bloom filters."""
+    path = shared_folder(spark, "events")
+    layouts.write_lookup(views.timeline(spark, d), path, "id", others=("documentId",))
+    return layouts.lookup(spark, path, "documentId", "21").select("id", "documentId", "eventType")
+
+
 @query("SELECT id, documentId, eventType FROM tl", o.TIMELINE)
 def event_log(spark, d):
     """A stream that sends half of the events twice, in later files too: each id is logged once."""
@@ -451,6 +520,68 @@ def pipeline_failures(spark, d):
     return pipeline.process(*_pending(spark, d), NOW).failures
 
 
+_BROKEN = "((o_orderkey % 13 = 0 AND o_orderkey % 10 <> 0) OR o_orderkey % 17 = 0 OR o_orderkey % 19 = 0)"
+
+
+@query(
+    f"""SELECT documentId, CASE WHEN {_BROKEN} THEN 'ExtractionFailed' ELSE 'OcrFailed' END AS error,
+      CASE WHEN {_BROKEN} THEN concat_ws('; ', CASE WHEN o_orderkey % 17 = 0 THEN 'id: not unique' END, CASE WHEN o_orderkey % 13 = 0 AND o_orderkey % 10 <> 0 THEN 'ocrText: not UTF-8' END, CASE WHEN o_orderkey % 19 = 0 THEN 'status: unknown value LOST' END)
+      ELSE 'No pages found for document' END AS detail
+    FROM lt WHERE o_orderkey % 10 = 0 OR {_BROKEN}""",
+    o.LETTERS,
+)
+def pipeline_dead_letters(spark, d):
+    """Documents with unknown values, twice the same id or unreadable bytes fail by themselves."""
+    return _contained(spark, d).failures
+
+
+def _contained(spark: SparkSession, d: str) -> pipeline.Processed:
+    docs, pages = _pending(spark, d)
+    n = F.col("id").cast("long")
+    docs = docs.withColumn("status", F.when(n % 19 == 0, "LOST").otherwise(F.col("status")))
+    bad = F.unhex(F.lit("FF")).cast("string")
+    pages = pages.withColumn("ocrText", F.when((F.col("documentId").cast("long") % 13 == 0) & (F.col("pageNumber") == 2), bad).otherwise(F.col("ocrText")))
+    return pipeline.process_contained(docs.union(docs.filter(n % 17 == 0)), pages, NOW)
+
+
+_GOOD = "o_orderkey % 10 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0 AND o_orderkey % 19 <> 0"
+
+
+@query(f"SELECT documentId AS id, {_TYPE} AS documentType FROM lt WHERE {_GOOD}", o.LETTERS)
+def pipeline_unharmed(spark, d):
+    """What is processed beside them."""
+    return _contained(spark, d).documents.select("id", "documentType")
+
+
+@query(
+    f"""SELECT documentId, 0 AS step, 'Starting OCR...' AS message, 0::FLOAT AS progress FROM lt
+    UNION ALL SELECT documentId, s.step, CASE s.step WHEN 1 THEN 'OCR: Page 1/2' WHEN 2 THEN 'OCR: Page 2/2' WHEN 3 THEN 'Analyzing document structure...' WHEN 4 THEN 'Saving ' || CASE WHEN k < 2 THEN 13 ELSE 12 END || ' fields...' ELSE 'Completed' END,
+      [0.3::FLOAT, 0.6::FLOAT, 0.7::FLOAT, 0.9::FLOAT, 1::FLOAT][s.step] FROM lt, (SELECT unnest(range(1, 6)) AS step) s WHERE o_orderkey % 10 <> 0""",
+    o.LETTERS,
+)
+def pipeline_progress(spark, d):
+    docs, pages = _pending(spark, d)
+    return pipeline.progress(pipeline.process(docs, pages, NOW), pages)
+
+
+@query(
+    f"""SELECT 'documents' AS t, status AS what, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'PROCESSING' ELSE 'EXTRACTED' END AS status FROM lt) GROUP BY ALL
+    UNION ALL SELECT 'fields', what, n FROM (SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'old' ELSE 'new' END AS what, sum(CASE WHEN o_orderkey % 10 = 0 THEN 1 WHEN k < 2 THEN 13 ELSE 12 END)::BIGINT AS n FROM lt GROUP BY 1)
+    UNION ALL SELECT 'events', unnest(['TEXT_EXTRACTED', 'ENTITIES_EXTRACTED']), n FROM (SELECT count(*) AS n FROM lt WHERE o_orderkey % 10 <> 0)""",
+    o.LETTERS,
+)
+def pipeline_applied(spark, d):
+    """The stored tables after a run: fields from an earlier run stay with documents that failed only."""
+    docs, pages = _pending(spark, d)
+    done = pipeline.process(docs, pages, NOW)
+    old = docs.select(F.concat(F.lit("old-"), "id").alias("id"), F.col("id").alias("documentId"), F.lit("Remark").alias("fieldName"), F.lit("x").alias("fieldValue"), F.lit("TEXT").alias("fieldType"), F.lit(1.0).cast("float").alias("confidence"), F.lit(None).cast("int").alias("pageNumber"), F.lit(True).alias("isConfirmed"), F.lit(0).alias("seq"))
+    kept = pipeline.Store(_bucketed(docs, "id", "id"), _bucketed(old, "documentId", "id"), _bucketed(done.events.limit(0), "documentId", "id"))
+    for _ in range(2):  # a run that is repeated changes nothing
+        kept.apply(done)
+    told = lambda t, name, what: t.read(spark).groupBy(what.alias("what")).agg(F.count("*").alias("n")).select(F.lit(name).alias("t"), "what", "n")
+    return told(kept.documents, "documents", F.col("status")).union(told(kept.fields, "fields", F.when(F.col("id").startswith("old-"), "old").otherwise("new"))).union(told(kept.events, "events", F.col("eventType")))
+
+
 # ── fields after edits, batches, recognised pages, settings, forms ───────────────────────────────────────────────────
 
 
@@ -600,6 +731,20 @@ def match_auto_links(spark, d):
     return resolve.auto_links(resolve.suggestions(_parties(spark, d), views.profiles(spark, d)), NOW).drop("createdAt")
 
 
+@query("SELECT documentId, profileId, role FROM su WHERE matchType = 'EXACT_MATCH'", *_RESOLVED)
+def match_on_arrival(spark, d):
+    """The same links from a stream of parties in three batches, by an index of the profiles."""
+    p = views.profiles(spark, d)
+    links = buckets.BucketTable(shared_folder(spark, "links"), ("documentId", "profileId"), "documentId", spark.createDataFrame([], "documentId string, profileId string, role string, createdAt long").schema, 16)
+    links.create(spark.createDataFrame([], links.schema))
+    into = arrivals.Arrivals.over(spark, shared_folder(spark, "index"), _bucketed(p, "id", "id"), links, NOW)
+    source, party = shared_folder(spark, "parties"), _parties(spark, d)
+    # both parties of a document come together
+    party.repartition(3, F.pmod(F.xxhash64("documentId"), F.lit(3))).write.parquet(source)
+    into.follow(spark, source, party.schema, shared_folder(spark, "checkpoint"), files_per_trigger=1).awaitTermination()
+    return links.read(spark).select("documentId", "profileId", "role")
+
+
 @query(
     """SELECT pr.id, coalesce(pr.phone, f.phone) AS phone, coalesce(pr.email, f.email) AS email FROM pr LEFT JOIN (
       SELECT profileId, arg_min(phone, (documentId, role)) FILTER (WHERE phone IS NOT NULL) AS phone, arg_min(email, (documentId, role)) FILTER (WHERE email IS NOT NULL) AS email FROM su WHERE profileId IS NOT NULL GROUP BY profileId) f ON f.profileId = pr.id""",

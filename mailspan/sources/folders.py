@@ -27,3 +27,10 @@ def dealt(df: DataFrame, column: str) -> DataFrame:
     stream's batch it does not, and would ignore the hint."""
     adaptive = df.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true"
     return df.hint("rebalance", column) if adaptive else df.repartition(column)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` over all cores, before work that costs far more time than its bytes suggest: partitions are otherwise cut by size, and few small rows would all go
+    to one core. The number is explicit, as planning at run time would put them together again."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)

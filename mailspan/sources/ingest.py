@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 MOST_PAGES = 10  # of a scan
+#: Float vectors: values a row, rows of a split (64 MiB of 256 values) and of one read.
+WIDTH, SPLIT_ROWS, BATCH_ROWS = 256, 1 << 16, 4096
 PREFERENCES = {"theme": "SYSTEM", "auto_process": "true", "language": "de", "notifications": "true", "biometric": "false"}
 
 
@@ -50,13 +54,45 @@ def set_preference(stored: DataFrame, key: str, value: str | None) -> DataFrame:
     return rest if value is None else rest.unionByName(stored.sparkSession.createDataFrame([(key, value)], "key string, value string"))
 
 
-def float_rows(spark: SparkSession, path: str, width: int = 256) -> DataFrame:
-    """Rows of `width` little-endian float32 values from binary files: path, row, values."""
+class FloatRows(DataSource):
+    """Rows of little-endian float32 values in binary files, read in splits: path, row (from 0), values. Options: path (a file or folder, any that
+    pyarrow can open), width (values a row), split_rows."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for p, data in zip(b["path"], b["content"], strict=True):
-                n = len(data) // (4 * width)
-                yield pd.DataFrame({"path": [p] * n, "row": range(n), "values": [list(struct.unpack_from(f"<{width}f", data, 4 * width * i)) for i in range(n)]})
+    @classmethod
+    def name(cls) -> str:
+        return "float_rows"
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "path string, row int, values array<float>")
+    def schema(self) -> str:
+        return "path string, row long, values array<float>"
+
+    def reader(self, schema) -> FloatRowsReader:
+        return FloatRowsReader(self.options["path"], int(self.options.get("width", WIDTH)), int(self.options.get("split_rows", SPLIT_ROWS)))
+
+
+class FloatRowsReader(DataSourceReader):
+    def __init__(self, path: str, width: int, split_rows: int):
+        self.path, self.width, self.split_rows = path, width, split_rows
+
+    def partitions(self) -> list[InputPartition]:
+        """(file, first row, rows): whole rows only, what is left at a file's end is none. Only sizes are looked at."""
+        fs, at = pafs.FileSystem.from_uri(self.path) if "://" in self.path else (pafs.LocalFileSystem(), self.path.removeprefix("file:"))
+        info = fs.get_file_info(at)
+        files = [info] if info.is_file else [f for f in fs.get_file_info(pafs.FileSelector(at, recursive=True)) if f.is_file]
+        return [InputPartition((f.path, first, min(self.split_rows, n - first))) for f in sorted(files, key=lambda f: f.path) for n in [f.size // (4 * self.width)] for first in range(0, n, self.split_rows)]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        path, first, rows = partition.value
+        fs = pafs.FileSystem.from_uri(self.path)[0] if "://" in self.path else pafs.LocalFileSystem()
+        with fs.open_input_file(path) as f:
+            for start in range(first, first + rows, BATCH_ROWS):
+                n = min(BATCH_ROWS, first + rows - start)
+                f.seek(4 * self.width * start)
+                values = np.frombuffer(f.read(4 * self.width * n), "<f4").astype(np.float32, copy=False)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, self.width, dtype=np.int32)), pa.array(values))
+                yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array(np.arange(start, start + n)), lists], ["path", "row", "values"])
+
+
+def float_rows(spark: SparkSession, path: str, width: int = WIDTH, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """Rows of `width` little-endian float32 values from binary files: path, row, values. A file of any size is read in splits."""
+    spark.dataSource.register(FloatRows)
+    return spark.read.format("float_rows").option("width", width).option("split_rows", split_rows).load(path)

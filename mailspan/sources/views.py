@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mailspan.functions import enums
 from mailspan.functions.text import lines
+from mailspan.sources.folders import spread
 
 PAGE_LINES = 40
 
@@ -93,6 +94,7 @@ def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))  # 25 rows
     rows = o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"])
+    rows = spread(rows.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "n_name"), "o_orderkey")  # narrow rows: the texts are made after it
     kind = "cast(o_orderkey % 6 as int)"
     body = [
         "'Stadtwerke Musterstadt GmbH'", "'Hauptstraße 12'", "concat('Tel: 089 ', lpad(cast(o_orderkey as string), 7, '0'))", "concat('kontakt', o_custkey, '@example.com')",

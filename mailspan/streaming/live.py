@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
@@ -92,6 +92,32 @@ def logged(spark: SparkSession, path: str, schema: StructType) -> DataFrame | No
         return None
 
 
+def with_progress(work: Callable[[DataFrame], DataFrame], path: str, total: int) -> Callable[[DataFrame, int], None]:
+    """A refresh that writes what `work` makes of each batch, and beside it how far the whole job is: batch, rows, done, share. Rows are counted by the
+    job that writes them, so that no second pass is needed; a batch that is repeated replaces its own rows."""
+
+    def refresh(batch: DataFrame, number: int) -> None:
+        spark, seen = batch.sparkSession, Observation(f"batch-{number}")
+        work(batch).observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        rows = seen.get["rows"]
+        before = progress_of(spark, path)
+        done = rows + (0 if before is None else before.filter(F.col("batch") < number).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0])
+        told = spark.createDataFrame([(rows, done, done / max(1, total))], "rows long, done long, share double")
+        told.write.mode("overwrite").parquet(f"{path}/progress/batch={number}")
+
+    return refresh
+
+
+def progress_of(spark: SparkSession, path: str) -> DataFrame | None:
+    """Progress of a job by batch; none before its first batch has ended."""
+    try:
+        return spark.read.schema("rows long, done long, share double, batch long").parquet(f"{path}/progress")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def latest_states(stream: DataFrame, key: str = "documentId", state: str = "state", time: str = "ts") -> DataFrame:
     """The newest state of each key, conflated: a streaming aggregate for update or complete mode."""
     return stream.groupBy(key).agg(F.max_by(state, time).alias(state), F.max(time).alias(time))
