@@ -1,4 +1,4 @@
-"""Changes to the tables, as functions from tables to tables; and their publication as whole versions.
+"""Changes to the tables, as functions from tables to tables. (`mailspan.sources.buckets` makes them on stored tables.)
 
 A second insert of a key replaces the row and, as it deletes it first, takes the replaced row's children with it;
 an update does not. Clocks and ids are arguments, so that a rerun gives the same rows.
@@ -6,9 +6,6 @@ an update does not. Clocks and ids are arguments, so that a rerun gives the same
 
 from __future__ import annotations
 
-import json
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -132,39 +129,3 @@ def append_events(events: DataFrame, new: DataFrame) -> DataFrame:
 
 def empty(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], SCHEMAS[name])
-
-
-class Versions:
-    """Tables below a folder, published together: each commit writes new folders, and then one row that names them.
-
-    Readers take the newest row, so that they see all tables of a commit or none, also after a lost writer.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _log(self) -> str:
-        return f"{self.path}/_log"
-
-    def current(self) -> dict[str, str]:
-        from pyspark.errors import AnalysisException
-
-        try:
-            row = self.spark.read.schema("version bigint, tables string").json(self._log()).orderBy(F.desc("version")).first()
-        except AnalysisException:
-            return {}
-        return {"": str(row.version), **json.loads(row.tables)} if row else {}
-
-    def read(self, name: str) -> DataFrame:
-        at = self.current().get(name)
-        return self.spark.read.schema(SCHEMAS[name]).parquet(at) if at else empty(self.spark, name)
-
-    def commit(self, tables: dict[str, DataFrame]) -> int:
-        now = self.current()
-        version = int(now.pop("", -1)) + 1
-        for name, df in tables.items():
-            at = f"{self.path}/{name}/{version}-{uuid.uuid4().hex}"
-            df.write.parquet(at)
-            now[name] = at
-        self.spark.createDataFrame([(version, json.dumps(now))], "version bigint, tables string").coalesce(1).write.mode("append").json(self._log())
-        return version

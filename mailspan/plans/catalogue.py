@@ -722,7 +722,7 @@ def match_type(spark, d):
 
 @query("SELECT documentId, role, profileId, confidence, matchType FROM su", *_RESOLVED)
 def match_type_whole(spark, d):
-    """The same by trigrams."""
+    """The same by trigrams: `match_type` broadcasts the profiles where they are few, this never does."""
     return resolve.suggestions(_parties(spark, d), views.profiles(spark, d), broadcast_profiles=0).select("documentId", "role", "profileId", "confidence", "matchType")
 
 
@@ -869,7 +869,7 @@ _OWN = "SELECT event_id::VARCHAR AS id, event_id * 6100 AS n, epoch_us(ts) // 10
 
 @query(f"SELECT id, CASE WHEN n < 60 THEN 'Just now' WHEN n < 3600 THEN (n // 60) || ' min ago' WHEN n < 86400 THEN (n // 3600) || 'h ago' WHEN n < 604800 THEN (n // 86400) || 'd ago' ELSE strftime(make_timestamp(createdAt * 1000), '%d.%m.%Y') END AS ago FROM ({_OWN})")
 def relative_time_whole(spark, d):
-    """Each event as told some time after it, longer for each: all branches."""
+    """Each event as told some time after it, longer for each: `relative_time` tells all at one moment, which leaves most branches out."""
     return views.timeline(spark, d).select("id", scalars.relative_time(F.col("createdAt"), F.expr("createdAt + cast(id as bigint) * 6100000")).alias("ago"))
 
 

@@ -39,14 +39,6 @@ def test_fields(spark):
     assert store.delete_fields_of(f, spark.createDataFrame([("1",)], "documentId string")).isEmpty()
 
 
-def test_versions(spark, tmp_path):
-    v = store.Versions(spark, str(tmp_path / "store"))
-    assert v.read("tags").isEmpty()
-    tag = lambda *x: spark.createDataFrame([x], SCHEMAS["tags"])
-    assert v.commit({"tags": tag("1", "a", None)}) == 0 and v.commit({"tags": tag("2", "b", None)}) == 1
-    assert [r.id for r in v.read("tags").collect()] == ["2"]
-
-
 def test_enums(spark):
     df = spark.createDataFrame([("NEW",), ("?",), (None,)], "s string")
     assert [r.x for r in df.select(enums.or_null(F.col("s"), enums.DOCUMENT_STATUS).alias("x")).collect()] == ["NEW", None, None]
