@@ -64,3 +64,11 @@ def arrow_batches(spark: SparkSession, rows: int = 2000) -> None:
 def utf8_bytes(column) -> "F.Column":
     """Length in UTF-8 bytes, 0 for null."""
     return F.coalesce(F.octet_length(column), F.lit(0)).cast("long")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or a longer one that no column of `df` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

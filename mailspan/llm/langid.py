@@ -12,13 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailspan.llm._common import arrow_batches, table
+from mailspan.llm._common import arrow_batches, free_name, table
 
 #: Buckets of the hashed n-grams, their lengths, and the additive smoothing.
 BUCKETS, ORDERS, ALPHA = 1 << 15, (1, 2, 3), 0.5
 #: Training reads about this many labelled rows at most, chosen by a hash.
 TRAINING_ROWS = 40_000
 UNKNOWN = "und"
+#: Products that are made at a time, and n-grams of a text from which on equal ones are counted first.
+ENTRIES, LONG = 2_000_000, 2_000
 
 _LETTER: list[np.ndarray] = []
 
@@ -104,28 +106,43 @@ def predict(df: DataFrame, model: dict, text_column: str = "text") -> DataFrame:
         m = shared.value
         languages, log_prob, prior = m["languages"], m["log_prob"], m["log_prior"]
         for batch in batches:
-            names, scores = [], []
-            for text in batch.column(batch.schema.get_field_index("_text")).to_pylist():
+            names, scores = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows
+            held, rows, size = [], [], 0
+
+            def scored() -> None:
+                """The rows held so far, as one sparse matrix of bucket counts (columns, values, row starts), times the matrix of log probabilities."""
+                columns, values = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+                starts = np.cumsum([0, *(len(x[0]) for x in held[:-1])])
+                joint = prior + np.add.reduceat(log_prob[columns] * values[:, None], starts, axis=0, dtype=np.float64)
+                p = np.exp(joint - joint.max(1, keepdims=True))
+                best = joint.argmax(1)
+                for row, language, share in zip(rows, best.tolist(), (p[np.arange(len(best)), best] / p.sum(1)).tolist(), strict=True):
+                    names[row], scores[row] = languages[language], share
+                held.clear()
+                rows.clear()
+
+            for row, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 found = buckets(text) if languages else None
                 if found is None:
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
                     continue
-                if len(found) > 2000:  # a long text: its counts by bucket, so that each bucket is looked up once
-                    all_counts = np.bincount(found, minlength=BUCKETS)
-                    at = np.flatnonzero(all_counts)
-                    joint = prior + all_counts[at] @ log_prob[at]
-                else:
-                    joint = prior + log_prob[found].sum(0, dtype=np.float64)
-                p = np.exp(joint - joint.max())
-                best = int(joint.argmax())
-                names.append(languages[best])
-                scores.append(float(p[best] / p.sum()))
-            rest = [batch.column(batch.schema.get_field_index(c)) for c in carried]
+                values = np.ones(len(found), np.float32)
+                if len(found) > LONG:  # no more entries than there are buckets
+                    counts = np.bincount(found, minlength=BUCKETS)
+                    found = np.flatnonzero(counts)
+                    values = counts[found].astype(np.float64)
+                held.append((found, values))
+                rows.append(row)
+                size += len(found) * len(languages)
+                if size >= ENTRIES:
+                    scored()
+                    size = 0
+            if held:
+                scored()
+            rest = batch.columns[:-1]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*carried, "lang_pred", "score"])
 
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carried)
-    return df.select(*carried, df[text_column].cast("string").alias("_text")).mapInArrow(run, f"{schema + ', ' if schema else ''}lang_pred string, score double")
+    return df.select(*carried, df[text_column].cast("string").alias(free_name(df, "_text"))).mapInArrow(run, f"{schema + ', ' if schema else ''}lang_pred string, score double")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

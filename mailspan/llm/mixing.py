@@ -17,8 +17,10 @@ from mailspan.llm._common import WORD, table, written
 TARGET, REPEATS, SEED = 0.9, 4, 17
 STEPS = 60
 BLOCK_ROWS = 50_000
-#: The driver plans for so many sources at most; up to BROADCAST_SOURCES their plan is broadcast, more are joined by a shuffle.
-MOST_SOURCES, BROADCAST_SOURCES = 5_000_000, 50_000
+#: The exponent's interval is cut into so many at a time, so often: 32^12 are 2^60 pieces.
+CUTS, ROUNDS = 32, 12
+#: Up to so many sources their plan is broadcast, more are joined by a shuffle.
+BROADCAST_SOURCES = 50_000
 
 
 def weights(tokens: dict, exponent: float) -> dict:
@@ -62,12 +64,50 @@ def plan(tokens: dict, target: float = TARGET, repeats: float = REPEATS, budget:
     return {k: (w.get(k, 0.0), share.get(k, 0)) for k in tokens}
 
 
+def planned(sources: DataFrame, target: float = TARGET, repeats: float = REPEATS, budget: int | None = None) -> DataFrame:
+    """`sources` (t tokens each) plus full, rest and epochs: the same plan as `plan`, for any number of sources. A job of Spark tells the
+    entropy at many exponents at once; the driver gets these sums alone."""
+    told = sources.filter("t > 0").agg(F.count("*").alias("k"), F.sum("t").alias("total"), F.max("t").alias("most"), F.min("t").alias("least")).first()
+    whole = F.when(F.col("t") == 0, F.lit(1)).otherwise(F.lit(0)).cast("long")
+    if not told.k:
+        return sources.withColumns({"full": whole, "rest": F.lit(0).cast("long"), "epochs": F.lit(1).cast("long")})
+    share = F.col("t").cast("double") / F.lit(float(told.total))
+    goal = target * math.log(told.k) if told.k > 1 else 0.0
+
+    def entropies(exponents: list[float]) -> list[float]:
+        sums = [x for e in exponents for x in (F.sum(share ** F.lit(e)), F.sum(share ** F.lit(e) * F.lit(e) * F.log(share)))]
+        got = sources.filter("t > 0").agg(*[x.alias(f"x{i}") for i, x in enumerate(sums)]).first()
+        return [math.log(got[2 * i]) - got[2 * i + 1] / got[2 * i] for i in range(len(exponents))]
+
+    lo, hi = 0.0, 1.0
+    if entropies([1.0])[0] >= goal:
+        lo = 1.0
+    else:
+        for _ in range(ROUNDS):
+            inner = [lo + (hi - lo) * i / CUTS for i in range(1, CUTS)]
+            met = [e for e, h in zip(inner, entropies(inner), strict=True) if h >= goal]
+            lo, hi = max(met, default=lo), min((e for e in inner if e not in met), default=hi)
+            if hi - lo < 1e-15:
+                break
+    limit = 1 - math.log(repeats) / math.log(told.most / told.least) if told.most > told.least * repeats else 0.0
+    e = round(max(lo, limit), 6)
+    norm = sources.filter("t > 0").agg(F.sum(share ** F.lit(e)).alias("s")).first().s
+    weight = share ** F.lit(e) / F.lit(norm)
+    total = float(budget) if budget is not None else sources.filter("t > 0").agg(F.max(F.col("t") / weight).alias("m")).first().m
+    given = F.floor(weight * F.lit(total) + F.lit(0.5)).cast("long")
+    given = given if budget is not None else F.greatest("t", given)
+    out = sources.withColumn("given", F.when(F.col("t") > 0, given))
+    out = out.withColumns({"full": F.when(F.col("t") == 0, F.lit(1)).otherwise(F.expr("try_divide(given - given % nullif(t, 0), t)")).cast("long"), "rest": F.coalesce(F.expr("given % nullif(t, 0)"), F.lit(0)).cast("long")})
+    return out.withColumn("epochs", F.col("full") + (F.col("rest") > 0).cast("long")).drop("given")
+
+
 def mixed(df: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", target: float = TARGET, repeats: float = REPEATS, budget: int | None = None, seed: int = SEED) -> DataFrame:
     """Which rows are shown, and how often: source, epoch (from 0), doc_id, text_hash, tokens, token_start.
 
     Tokens are words. token_start is the number of tokens before a row in its source's permutation of that epoch; the
     last epoch ends before the row that would exceed the budget. Null sources are one source; texts without words have
-    no tokens, and sources without tokens are shown once; equal rows follow each other; an empty table gives no rows.
+    no tokens, and sources without tokens are shown once; equal rows follow each other; an empty table gives no rows. Any number of
+    sources will do; other columns of `df` are ignored, whatever their names.
     """
     spark = df.sparkSession
     # regexp_count counts what split() would have to build
@@ -80,20 +120,13 @@ def mixed(df: DataFrame, id_column: str = "doc_id", source_column: str = "source
         ),
         "tokens",
     )
-    got = rows.groupBy("source").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()  # a row for each source
-    if len(got) > MOST_SOURCES:
-        raise ValueError(f"there are more than {MOST_SOURCES} sources")
-    plans = plan({r.source: r.t for r in got}, target, repeats, budget)
-    facts = []
-    for r in got:
-        share = plans[r.source][1]
-        epochs, rest = divmod(share, r.t) if r.t else (1, 0)
-        facts.append((r.source, epochs, rest, epochs + (rest > 0)))
+    sources = written(rows.groupBy(F.col("source").alias("s")).agg(F.sum("tokens").alias("t"), F.count("*").alias("n")), "sources")
+    facts = sources.agg(F.count("*").alias("k"), F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()
     digits = 1
-    while 16**digits * BLOCK_ROWS < max((r.n for r in got), default=0):
+    while 16**digits * BLOCK_ROWS < facts.n:
         digits += 1
-    sources = spark.createDataFrame(facts, "s string, full long, rest long, epochs long")
-    sources = F.broadcast(sources) if len(facts) <= BROADCAST_SOURCES else sources
+    sources = planned(sources, target, repeats, budget).select("s", "full", "rest", "epochs")
+    sources = F.broadcast(sources) if facts.k <= BROADCAST_SOURCES else sources
     shown = rows.join(sources, rows["source"].eqNullSafe(sources["s"])).drop("s").filter("epochs > 0")
     shown = shown.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)))
     shown = shown.withColumn("h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_hash"))))

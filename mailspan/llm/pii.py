@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailspan.llm._common import arrow_batches, table
+from mailspan.llm._common import arrow_batches, free_name, table
 
 #: Kinds that are found exactly, and kinds that the classifier decides about, in the order of all outputs.
 BASE = ("email", "ip", "card", "phone")
@@ -218,14 +218,14 @@ def find(df: DataFrame, model: dict, text_column: str = "text", threshold: float
 
         for batch in batches:
             out = []
-            for text in batch.column(batch.schema.get_field_index("_text")).to_pylist():
+            for text in batch.column(batch.num_columns - 1).to_pylist():
                 base = base_spans(text)
                 more = sorted((s for s in extra_candidates(text, base) if accepted(text, s)), key=lambda s: (EXTRA.index(s[0]), s[1]))
                 out.append([{"kind": k, "start": a, "end": b} for k, a, b in base + more])
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in carried), pa.array(out, kind)], [*carried, "pii"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, kind)], [*carried, "pii"])
 
     schema = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in carried) + "pii array<struct<kind: string, start: bigint, end: bigint>>"
-    return df.select(*carried, df[text_column].cast("string").alias("_text")).mapInArrow(run, schema)
+    return df.select(*carried, df[text_column].cast("string").alias(free_name(df, "_text"))).mapInArrow(run, schema)
 
 
 def digest(spans: list[tuple[str, int, int]]) -> str:

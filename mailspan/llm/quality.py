@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailspan.llm._common import arrow_batches, table
+from mailspan.llm._common import arrow_batches, free_name, table
 
 #: Rows on which costs and rejection rates are measured (hash-chosen; a bound, whatever the input).
 SAMPLE_ROWS = 2000
@@ -136,7 +136,7 @@ def cascade(df: DataFrame, text_column: str = "text", order: list[str] | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: dict[str, list] = {c: [] for c in new}
-            for text in batch.column(batch.schema.get_field_index("_text")).to_pylist():
+            for text in batch.column(batch.num_columns - 1).to_pylist():
                 m = Measures(text)
                 by = next((name for name in order if RULES[name](m)), None)
                 columns["kept"].append(by is None)
@@ -145,12 +145,12 @@ def cascade(df: DataFrame, text_column: str = "text", order: list[str] | None =
                     columns[c].append(getattr(m, c))
                 if measures:
                     columns["base_failed"].append(any(RULES[name](m) for name in BASE))
-            arrays = [batch.column(batch.schema.get_field_index(c)) for c in carried]
+            arrays = list(batch.columns[:-1])
             arrays += [pa.array(columns[c], pa.int64() if c in counts else pa.string() if c == "rejected_by" else pa.bool_()) for c in new]
             yield pa.RecordBatch.from_arrays(arrays, [*carried, *new])
 
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carried] + [f"{c} {'long' if c in counts else 'string' if c == 'rejected_by' else 'boolean'}" for c in new])
-    return df.select(*carried, df[text_column].alias("_text")).mapInArrow(run, schema)
+    return df.select(*carried, df[text_column].alias(free_name(df, "_text"))).mapInArrow(run, schema)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ def odd(spark):
     rows = [(i, t, "en", "s" if i % 3 else None, len(t)) for i, t in enumerate(texts)]
     rows += [(100, None, None, None, None), (101, "", "en", "s", 0), (102, " \n\t ", "en", "s", 3), (103, texts[0], "en", "s", 1), (104, texts[0], "en", "s", 1), (105, " ".join(near), "en", "s", 1)]
     rows += [(106, "x " * 40_000, "en", "s", 1), (107, "word " * 3, "en", "t", 1), (108, "y" * 90_000, "en", "t", 1), (103, texts[0], "en", "s", 1), (None, texts[1], "en", "t", 1), (109, "é ü 中文 😀 " * 20, "zh", "u", 1)]
-    return spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(1) for c in ("kept", "k", "t", "block", "epoch", "shard", "pii", "gone", "component")})
+    return spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(1) for c in ("kept", "k", "t", "block", "epoch", "shard", "pii", "gone", "component", "_text", "_d", "_h", "_s", "_e")})
 
 
 @pytest.fixture(scope="module")
@@ -264,6 +264,16 @@ def test_mixing(odd, none):
     assert mixing.mixed(none).isEmpty()
 
 
+def test_plans_of_sources_by_spark(spark):
+    rng = random.Random(8)
+    for tokens, budget in (({"a": 5}, None), ({"a": 900, "b": 30, None: 2, "zero": 0}, None), ({f"s{i}": int(1.5 ** rng.randrange(30)) for i in range(3000)}, None), ({"a": 10, "b": 1000}, 777), ({"zero": 0}, None)):
+        got = mixing.planned(spark.createDataFrame([(k, t) for k, t in tokens.items()], "s string, t long"), budget=budget).collect()
+        plan = mixing.plan(tokens, budget=budget)
+        for r in got:
+            full, rest = divmod(plan[r.s][1], r.t) if r.t else (1, 0)
+            assert (r.full, r.rest, r.epochs) == (full, rest, full + (rest > 0)), (r, plan[r.s])
+
+
 # ── 7 ──
 
 

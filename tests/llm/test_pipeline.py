@@ -73,7 +73,7 @@ def test_odd_rows(spark):
     """Columns named like those of operators keep their contents; ids that are repeated or missing lose no text of their own."""
     words = lambda k, n=40: " ".join(f"word{k}x{i}" for i in range(n))
     rows = [(1, words(1)), (1, words(2)), (2, words(1)), (None, words(3)), (None, words(3)), (None, words(3) + " more"), (5, words(4)), (5, words(4)), (6, None), (7, "")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source", "length(text) as n_chars", "'mine' as kept", "'mine' as rejected_by", "'mine' as n_removed", "'mine' as `group`", "'mine' as _d")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source", "length(text) as n_chars", "'mine' as kept", "'mine' as rejected_by", "'mine' as n_removed", "'mine' as `group`", "'mine' as _d", "'mine' as _h", "'mine' as _s", "'mine' as _text", "'mine' as e")
     good = p.quality_rules(spark, docs, SMALL)
     assert good.columns == docs.columns and good.filter("kept = 'mine' and rejected_by = 'mine'").count() == 8
     assert p.line_dedup(spark, good, SMALL).filter("n_removed <> 'mine'").isEmpty()
@@ -82,3 +82,11 @@ def test_odd_rows(spark):
     got = Counter((r.doc_id, r.text) for r in left.collect())
     assert got[1, words(1)] == 1 and got[1, words(2)] == 1 and got[2, words(1)] == 0 and got[5, words(4)] == 1 and sum(got.values()) == 6
     assert sum(n for (i, t), n in got.items() if i is None) == 1
+    shown = p.source_mixture(spark, docs, SMALL)
+    assert shown.columns == docs.columns and shown.filter("_h <> 'mine' or e <> 'mine'").isEmpty()
+    assert Counter((r.doc_id, r.text) for r in shown.collect()) == Counter(r[:2] for r in rows)
+    pieces = p.best_fit_packing(spark, docs, SMALL)
+    assert pieces.filter("piece = 0").count() == len(rows)
+    none = docs.limit(0)
+    for _, stage in p.STAGES:
+        assert stage(spark, none, SMALL).isEmpty()
