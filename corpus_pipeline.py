@@ -50,14 +50,19 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their weights: each document once at least, those of small sources again in later epochs. Null sources are
-    one source; rows that agree in id, source and text are shown as often as one another."""
-    shown = mixing.mixed(docs).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("source").alias("_s"), F.col("epoch").alias("_e")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_d")) & docs["source"].eqNullSafe(F.col("_s")) & (F.coalesce(F.md5(docs["text"].cast("binary")), F.lit("")) == F.col("_h"))
-    return docs.join(shown, same).select(*(docs[c] for c in docs.columns))
+    one source; rows that agree in id, source and text are shown as often as one another; texts without words and long ones stay whole;
+    columns of any name keep their contents; an empty table stays empty."""
+    wide = _numbered(docs)
+    ident, source, text = (_name(docs, c) for c in ("doc_id", "source", "text"))
+    shown = mixing.mixed(wide, ident, source, text).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.col("source").alias("s"), F.col("epoch").alias("e")).distinct()
+    same = wide[ident].eqNullSafe(F.col("d")) & wide[source].eqNullSafe(F.col("s")) & (F.coalesce(F.md5(wide[text].cast("binary")), F.lit("")) == F.col("h"))
+    return wide.join(shown, same).select(*wide.columns).toDF(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' token ids, packed into sequences. Null texts are empty, repeated rows are packed each."""
+    """Pieces of the documents' token ids, packed into sequences. Null and empty texts are an end id alone, long ones are cut into pieces,
+    repeated rows are packed each, and ties in length go by a hash of the piece; other columns are ignored, whatever their names; an
+    empty table gives no pieces."""
     return packing.pack_documents(docs)
 
 
