@@ -10,209 +10,232 @@ from pyspark.sql import functions as F
 # ── Fixed values ─────────────────────────────────────────────────────────────────────────────────────────────────────
 MOST_WORDS, MOST_CHARS, SUBWORDS = 32, 16, 4
 BUCKETS, CHARS, DIACS, ROOTS, PATTERNS, PIECES, PROCLITICS, ENCLITICS = 8192, 300, 20, 5000, 200, 8000, 200, 100
-PREPOSITIONS = "إلى في من على عن حتى منذ خلال بين عبر".split()
-CONJUNCTIONS = "و أو ثم ف لكن بل أم".split()
-TAGGED_PARTICLES = "لا لم لن ما هل أ قد إن أن سوف".split()
-PRONOUNS = "هو هي هم هن أنا نحن أنت أنتم الذي التي الذين هذا هذه ذلك تلك".split()
-PARTICLES = "إن أن لا لم لن ما هل قد سوف إذا لو كي حتى يا".split()
-COMMON_VERBS = (
-    "كان قال كتب ذهب جعل علم وجد أخذ ترك بدأ رأى جاء أصبح ظل بات صار ليس مازال وضع أعلن أكد طلب حقق أضاف أشار عاد "
-    "دعا قرر أوضح اعتبر قدم حصل نفى أجرى وصل خرج دخل فتح أكل شرب درس فهم قرأ سمع رجع نزل ركب سأل أراد حمل وقع"
-).split()
-PREFIXES = "وال فال بال كال لل وب ول وي فب فل في ال لي لن لا ست سي سن سأ سـ و ف ب ل ك ي ت ن أ س".split()
-SUFFIXES = "كما هما كم هم هن نا ها ون ين ان ات وا تم تن ية ته تك ك ه ي ا ة ت ن".split()
+PREPOSITIONS = [
+    "إلى", "في", "من", "على", "عن", "حتى", "منذ", "خلال", "بين", "عبر",
+]
+CONJUNCTIONS = [
+    "و", "أو", "ثم", "ف", "لكن", "بل", "أم",
+]
+TAGGED_PARTICLES = [
+    "لا", "لم", "لن", "ما", "هل", "أ", "قد", "إن", "أن", "سوف",
+]
+PRONOUNS = [
+    "هو", "هي", "هم", "هن", "أنا", "نحن", "أنت", "أنتم", "الذي", "التي", "الذين", "هذا", "هذه", "ذلك", "تلك",
+]
+PARTICLES = [
+    "إن", "أن", "لا", "لم", "لن", "ما", "هل", "قد", "سوف", "إذا", "لو", "كي", "حتى", "يا",
+]
+COMMON_VERBS = [
+    "كان", "قال", "كتب", "ذهب", "جعل", "علم", "وجد", "أخذ", "ترك", "بدأ", "رأى", "جاء", "أصبح", "ظل", "بات", "صار", "ليس", "مازال", "وضع", "أعلن",
+    "أكد", "طلب", "حقق", "أضاف", "أشار", "عاد", "دعا", "قرر", "أوضح", "اعتبر", "قدم", "حصل", "نفى", "أجرى", "وصل", "خرج", "دخل", "فتح", "أكل", "شرب",
+    "درس", "فهم", "قرأ", "سمع", "رجع", "نزل", "ركب", "سأل", "أراد", "حمل", "وقع",
+]
+PREFIXES = [
+    "وال", "فال", "بال", "كال", "لل", "وب", "ول", "وي", "فب", "فل", "في", "ال", "لي", "لن", "لا", "ست", "سي", "سن", "سأ", "سـ", "و", "ف", "ب", "ل",
+    "ك", "ي", "ت", "ن", "أ", "س",
+]
+SUFFIXES = [
+    "كما", "هما", "كم", "هم", "هن", "نا", "ها", "ون", "ين", "ان", "ات", "وا", "تم", "تن", "ية", "ته", "تك", "ك", "ه", "ي", "ا", "ة", "ت", "ن",
+]
 NOT_CONSONANTS = "\u064e\u064f\u0650\u0651\u0652\u064b\u064c\u064d\u0670اوىيءئؤإأآ"
 CASES = {1: "Nom", 2: "Acc", 3: "Gen", 4: "Jus"}
-RELATIONS = (
-    "_ root nsubj obj iobj obl advmod amod nmod det case conj cc punct flat compound appos acl advcl cop mark dep parataxis "
-    "fixed vocative nummod flat:foreign nsubj:pass csubj xcomp ccomp orphan"
-).split()
-RELATION_NAMES = "root nsubj obj obl amod nmod cc conj mark advmod".split()
+RELATIONS = [
+    "_", "root", "nsubj", "obj", "iobj", "obl", "advmod", "amod", "nmod", "det", "case", "conj", "cc", "punct", "flat", "compound", "appos", "acl",
+    "advcl", "cop", "mark", "dep", "parataxis", "fixed", "vocative", "nummod", "flat:foreign", "nsubj:pass", "csubj", "xcomp", "ccomp", "orphan",
+]
+RELATION_NAMES = [
+    "root", "nsubj", "obj", "obl", "amod", "nmod", "cc", "conj", "mark", "advmod",
+]
 CASE_NAMES = {"Nom": ("مرفوع", "Nominative (مرفوع)"), "Acc": ("منصوب", "Accusative (منصوب)"), "Gen": ("مجرور", "Genitive (مجرور)"), "Jus": ("مجزوم", "Jussive (مجزوم)")}
 INDECLINABLE = ("ADP", "CCONJ", "SCONJ", "PART", "DET", "INTJ", "PRON")
 FATHATAN, DAMMATAN, KASRATAN, FATHA, DAMMA, KASRA, SHADDA, SUKUN = "\u064b\u064c\u064d\u064e\u064f\u0650\u0651\u0652"
 LETTER, MARK, CASE_MARK = r"\u0621-\u064a\u0671", r"\u064b-\u0655\u0670\u0617-\u061a", r"\u064b-\u0650\u0652"
-#: word, then POS:stem for each part of speech.
-STEMS = """
-ذهب VERB:ذَهَبَ
-كتب VERB:كَتَبَ NOUN:كُتُب
-قرأ VERB:قَرَأَ
-علم VERB:عَلِمَ NOUN:عِلْم
-قال VERB:قَالَ
-كان VERB:كَانَ AUX:كَانَ
-رجع VERB:رَجَعَ
-وجد VERB:وَجَدَ
-أكل VERB:أَكَلَ
-دخل VERB:دَخَلَ
-خرج VERB:خَرَجَ
-فتح VERB:فَتَحَ
-درس VERB:دَرَسَ NOUN:دَرْس
-فهم VERB:فَهِمَ
-جلس VERB:جَلَسَ
-سمع VERB:سَمِعَ
-نظر VERB:نَظَرَ
-وصل VERB:وَصَلَ
-حمل VERB:حَمَلَ
-وقع VERB:وَقَعَ
-ركب VERB:رَكِبَ
-سأل VERB:سَأَلَ
-شرب VERB:شَرِبَ
-لعب VERB:لَعِبَ
-ضرب VERB:ضَرَبَ
-نزل VERB:نَزَلَ
-طلب VERB:طَلَبَ
-جعل VERB:جَعَلَ
-أخذ VERB:أَخَذَ
-ترك VERB:تَرَكَ
-بدأ VERB:بَدَأَ
-رأى VERB:رَأَى
-جاء VERB:جَاءَ
-أصبح VERB:أَصْبَحَ
-صار VERB:صَارَ
-وضع VERB:وَضَعَ
-أعلن VERB:أَعْلَنَ
-أكد VERB:أَكَّدَ
-حقق VERB:حَقَّقَ
-أضاف VERB:أَضَافَ
-أشار VERB:أَشَارَ
-عاد VERB:عَادَ
-قرر VERB:قَرَّرَ
-أوضح VERB:أَوْضَحَ
-قدم VERB:قَدَّمَ
-حصل VERB:حَصَلَ
-أجرى VERB:أَجْرَى
-أراد VERB:أَرَادَ
-عرف VERB:عَرَفَ
-بعث VERB:بَعَثَ
-حضر VERB:حَضَرَ
-ظهر VERB:ظَهَرَ
-نام VERB:نَامَ
-مشى VERB:مَشَى
-غسل VERB:غَسَلَ
-زرع VERB:زَرَعَ
-صنع VERB:صَنَعَ
-يذهب VERB:يَذْهَبُ
-يكتب VERB:يَكْتُبُ
-يقرأ VERB:يَقْرَأُ
-يعلم VERB:يَعْلَمُ
-يقول VERB:يَقُولُ
-يأكل VERB:يَأْكُلُ
-يشرب VERB:يَشْرَبُ
-يلعب VERB:يَلْعَبُ
-يدرس VERB:يَدْرُسُ
-يفهم VERB:يَفْهَمُ
-يجلس VERB:يَجْلِسُ
-يسمع VERB:يَسْمَعُ
-ينظر VERB:يَنْظُرُ
-كتاب NOUN:كِتَاب
-طالب NOUN:طَالِب
-معلم NOUN:مُعَلِّم
-مدرسة NOUN:مَدْرَسَة
-بيت NOUN:بَيْت
-ولد NOUN:وَلَد
-رجل NOUN:رَجُل
-يوم NOUN:يَوْم
-ماء NOUN:مَاء
-سماء NOUN:سَمَاء
-أرض NOUN:أَرْض
-نور NOUN:نُور
-عمل NOUN:عَمَل
-قلم NOUN:قَلَم
-باب NOUN:بَاب
-حديقة NOUN:حَدِيقَة
-سيارة NOUN:سَيَّارَة
-جامعة NOUN:جَامِعَة
-دروس NOUN:دُرُوس
-بنت NOUN:بِنْت
-أم NOUN:أُمّ
-أب NOUN:أَب
-أخ NOUN:أَخ
-شمس NOUN:شَمْس
-قمر NOUN:قَمَر
-نهر NOUN:نَهْر
-بحر NOUN:بَحْر
-جبل NOUN:جَبَل
-شجرة NOUN:شَجَرَة
-مدينة NOUN:مَدِينَة
-قرية NOUN:قَرْيَة
-شارع NOUN:شَارِع
-طريق NOUN:طَرِيق
-وقت NOUN:وَقْت
-ساعة NOUN:سَاعَة
-صباح NOUN:صَبَاح
-مساء NOUN:مَسَاء
-ليل NOUN:لَيْل
-طعام NOUN:طَعَام
-لغة NOUN:لُغَة
-كلمة NOUN:كَلِمَة
-جملة NOUN:جُمْلَة
-حرف NOUN:حَرْف
-سؤال NOUN:سُؤَال
-جواب NOUN:جَوَاب
-الكتاب NOUN:الْكِتَاب
-الطالب NOUN:الطَّالِب
-المعلم NOUN:الْمُعَلِّم
-المدرسة NOUN:الْمَدْرَسَة
-البيت NOUN:الْبَيْت
-اليوم NOUN:الْيَوْم
-السماء NOUN:السَّمَاء
-العلم NOUN:الْعِلْم
-الدرس NOUN:الدَّرْس
-المعلمون NOUN:الْمُعَلِّمُون
-الدروس NOUN:الدُّرُوس
-المدارس NOUN:الْمَدَارِس
-الماء NOUN:الْمَاء
-الأرض NOUN:الْأَرْض
-النور NOUN:النُّور
-الشمس NOUN:الشَّمْس
-القمر NOUN:الْقَمَر
-الولد NOUN:الْوَلَد
-البنت NOUN:الْبِنْت
-الرجل NOUN:الرَّجُل
-الباب NOUN:الْبَاب
-البحر NOUN:الْبَحْر
-كبير ADJ:كَبِير
-صغير ADJ:صَغِير
-جديد ADJ:جَدِيد
-قديم ADJ:قَدِيم
-جميل ADJ:جَمِيل
-طويل ADJ:طَوِيل
-قصير ADJ:قَصِير
-سريع ADJ:سَرِيع
-بطيء ADJ:بَطِيء
-قوي ADJ:قَوِيّ
-ضعيف ADJ:ضَعِيف
-الكبيرة ADJ:الْكَبِيرَة
-الجديدة ADJ:الْجَدِيدَة
-الجميلة ADJ:الْجَمِيلَة
-جديدة ADJ:جَدِيدَة
-إلى ADP:إِلَى
-في ADP:فِي
-من ADP:مِنْ
-على ADP:عَلَى
-عن ADP:عَنْ
-حتى ADP:حَتَّى
-منذ ADP:مُنْذُ
-إن PART:إِنَّ
-أن PART:أَنَّ
-ما PART:مَا
-لا PART:لَا
-قد PART:قَدْ
-هل PART:هَلْ
-لم PART:لَمْ
-لن PART:لَنْ
-هذا DET:هٰذَا
-هذه DET:هٰذِهِ
-ذلك DET:ذٰلِكَ
-هو PRON:هُوَ
-هي PRON:هِيَ
-هم PRON:هُمْ
-هن PRON:هُنَّ
-أنا PRON:أَنَا
-نحن PRON:نَحْنُ
-أنت PRON:أَنْتَ
-أجمل VERB:أَجْمَلَ ADJ:أَجْمَل
-"""
+#: (word, part of speech, stem with its marks); of a word with several the first one is its first.
+STEMS = [
+    ("ذهب", "VERB", "ذَهَبَ"),
+    ("كتب", "VERB", "كَتَبَ"),
+    ("كتب", "NOUN", "كُتُب"),
+    ("قرأ", "VERB", "قَرَأَ"),
+    ("علم", "VERB", "عَلِمَ"),
+    ("علم", "NOUN", "عِلْم"),
+    ("قال", "VERB", "قَالَ"),
+    ("كان", "VERB", "كَانَ"),
+    ("كان", "AUX", "كَانَ"),
+    ("رجع", "VERB", "رَجَعَ"),
+    ("وجد", "VERB", "وَجَدَ"),
+    ("أكل", "VERB", "أَكَلَ"),
+    ("دخل", "VERB", "دَخَلَ"),
+    ("خرج", "VERB", "خَرَجَ"),
+    ("فتح", "VERB", "فَتَحَ"),
+    ("درس", "VERB", "دَرَسَ"),
+    ("درس", "NOUN", "دَرْس"),
+    ("فهم", "VERB", "فَهِمَ"),
+    ("جلس", "VERB", "جَلَسَ"),
+    ("سمع", "VERB", "سَمِعَ"),
+    ("نظر", "VERB", "نَظَرَ"),
+    ("وصل", "VERB", "وَصَلَ"),
+    ("حمل", "VERB", "حَمَلَ"),
+    ("وقع", "VERB", "وَقَعَ"),
+    ("ركب", "VERB", "رَكِبَ"),
+    ("سأل", "VERB", "سَأَلَ"),
+    ("شرب", "VERB", "شَرِبَ"),
+    ("لعب", "VERB", "لَعِبَ"),
+    ("ضرب", "VERB", "ضَرَبَ"),
+    ("نزل", "VERB", "نَزَلَ"),
+    ("طلب", "VERB", "طَلَبَ"),
+    ("جعل", "VERB", "جَعَلَ"),
+    ("أخذ", "VERB", "أَخَذَ"),
+    ("ترك", "VERB", "تَرَكَ"),
+    ("بدأ", "VERB", "بَدَأَ"),
+    ("رأى", "VERB", "رَأَى"),
+    ("جاء", "VERB", "جَاءَ"),
+    ("أصبح", "VERB", "أَصْبَحَ"),
+    ("صار", "VERB", "صَارَ"),
+    ("وضع", "VERB", "وَضَعَ"),
+    ("أعلن", "VERB", "أَعْلَنَ"),
+    ("أكد", "VERB", "أَكَّدَ"),
+    ("حقق", "VERB", "حَقَّقَ"),
+    ("أضاف", "VERB", "أَضَافَ"),
+    ("أشار", "VERB", "أَشَارَ"),
+    ("عاد", "VERB", "عَادَ"),
+    ("قرر", "VERB", "قَرَّرَ"),
+    ("أوضح", "VERB", "أَوْضَحَ"),
+    ("قدم", "VERB", "قَدَّمَ"),
+    ("حصل", "VERB", "حَصَلَ"),
+    ("أجرى", "VERB", "أَجْرَى"),
+    ("أراد", "VERB", "أَرَادَ"),
+    ("عرف", "VERB", "عَرَفَ"),
+    ("بعث", "VERB", "بَعَثَ"),
+    ("حضر", "VERB", "حَضَرَ"),
+    ("ظهر", "VERB", "ظَهَرَ"),
+    ("نام", "VERB", "نَامَ"),
+    ("مشى", "VERB", "مَشَى"),
+    ("غسل", "VERB", "غَسَلَ"),
+    ("زرع", "VERB", "زَرَعَ"),
+    ("صنع", "VERB", "صَنَعَ"),
+    ("يذهب", "VERB", "يَذْهَبُ"),
+    ("يكتب", "VERB", "يَكْتُبُ"),
+    ("يقرأ", "VERB", "يَقْرَأُ"),
+    ("يعلم", "VERB", "يَعْلَمُ"),
+    ("يقول", "VERB", "يَقُولُ"),
+    ("يأكل", "VERB", "يَأْكُلُ"),
+    ("يشرب", "VERB", "يَشْرَبُ"),
+    ("يلعب", "VERB", "يَلْعَبُ"),
+    ("يدرس", "VERB", "يَدْرُسُ"),
+    ("يفهم", "VERB", "يَفْهَمُ"),
+    ("يجلس", "VERB", "يَجْلِسُ"),
+    ("يسمع", "VERB", "يَسْمَعُ"),
+    ("ينظر", "VERB", "يَنْظُرُ"),
+    ("كتاب", "NOUN", "كِتَاب"),
+    ("طالب", "NOUN", "طَالِب"),
+    ("معلم", "NOUN", "مُعَلِّم"),
+    ("مدرسة", "NOUN", "مَدْرَسَة"),
+    ("بيت", "NOUN", "بَيْت"),
+    ("ولد", "NOUN", "وَلَد"),
+    ("رجل", "NOUN", "رَجُل"),
+    ("يوم", "NOUN", "يَوْم"),
+    ("ماء", "NOUN", "مَاء"),
+    ("سماء", "NOUN", "سَمَاء"),
+    ("أرض", "NOUN", "أَرْض"),
+    ("نور", "NOUN", "نُور"),
+    ("عمل", "NOUN", "عَمَل"),
+    ("قلم", "NOUN", "قَلَم"),
+    ("باب", "NOUN", "بَاب"),
+    ("حديقة", "NOUN", "حَدِيقَة"),
+    ("سيارة", "NOUN", "سَيَّارَة"),
+    ("جامعة", "NOUN", "جَامِعَة"),
+    ("دروس", "NOUN", "دُرُوس"),
+    ("بنت", "NOUN", "بِنْت"),
+    ("أم", "NOUN", "أُمّ"),
+    ("أب", "NOUN", "أَب"),
+    ("أخ", "NOUN", "أَخ"),
+    ("شمس", "NOUN", "شَمْس"),
+    ("قمر", "NOUN", "قَمَر"),
+    ("نهر", "NOUN", "نَهْر"),
+    ("بحر", "NOUN", "بَحْر"),
+    ("جبل", "NOUN", "جَبَل"),
+    ("شجرة", "NOUN", "شَجَرَة"),
+    ("مدينة", "NOUN", "مَدِينَة"),
+    ("قرية", "NOUN", "قَرْيَة"),
+    ("شارع", "NOUN", "شَارِع"),
+    ("طريق", "NOUN", "طَرِيق"),
+    ("وقت", "NOUN", "وَقْت"),
+    ("ساعة", "NOUN", "سَاعَة"),
+    ("صباح", "NOUN", "صَبَاح"),
+    ("مساء", "NOUN", "مَسَاء"),
+    ("ليل", "NOUN", "لَيْل"),
+    ("طعام", "NOUN", "طَعَام"),
+    ("لغة", "NOUN", "لُغَة"),
+    ("كلمة", "NOUN", "كَلِمَة"),
+    ("جملة", "NOUN", "جُمْلَة"),
+    ("حرف", "NOUN", "حَرْف"),
+    ("سؤال", "NOUN", "سُؤَال"),
+    ("جواب", "NOUN", "جَوَاب"),
+    ("الكتاب", "NOUN", "الْكِتَاب"),
+    ("الطالب", "NOUN", "الطَّالِب"),
+    ("المعلم", "NOUN", "الْمُعَلِّم"),
+    ("المدرسة", "NOUN", "الْمَدْرَسَة"),
+    ("البيت", "NOUN", "الْبَيْت"),
+    ("اليوم", "NOUN", "الْيَوْم"),
+    ("السماء", "NOUN", "السَّمَاء"),
+    ("العلم", "NOUN", "الْعِلْم"),
+    ("الدرس", "NOUN", "الدَّرْس"),
+    ("المعلمون", "NOUN", "الْمُعَلِّمُون"),
+    ("الدروس", "NOUN", "الدُّرُوس"),
+    ("المدارس", "NOUN", "الْمَدَارِس"),
+    ("الماء", "NOUN", "الْمَاء"),
+    ("الأرض", "NOUN", "الْأَرْض"),
+    ("النور", "NOUN", "النُّور"),
+    ("الشمس", "NOUN", "الشَّمْس"),
+    ("القمر", "NOUN", "الْقَمَر"),
+    ("الولد", "NOUN", "الْوَلَد"),
+    ("البنت", "NOUN", "الْبِنْت"),
+    ("الرجل", "NOUN", "الرَّجُل"),
+    ("الباب", "NOUN", "الْبَاب"),
+    ("البحر", "NOUN", "الْبَحْر"),
+    ("كبير", "ADJ", "كَبِير"),
+    ("صغير", "ADJ", "صَغِير"),
+    ("جديد", "ADJ", "جَدِيد"),
+    ("قديم", "ADJ", "قَدِيم"),
+    ("جميل", "ADJ", "جَمِيل"),
+    ("طويل", "ADJ", "طَوِيل"),
+    ("قصير", "ADJ", "قَصِير"),
+    ("سريع", "ADJ", "سَرِيع"),
+    ("بطيء", "ADJ", "بَطِيء"),
+    ("قوي", "ADJ", "قَوِيّ"),
+    ("ضعيف", "ADJ", "ضَعِيف"),
+    ("الكبيرة", "ADJ", "الْكَبِيرَة"),
+    ("الجديدة", "ADJ", "الْجَدِيدَة"),
+    ("الجميلة", "ADJ", "الْجَمِيلَة"),
+    ("جديدة", "ADJ", "جَدِيدَة"),
+    ("إلى", "ADP", "إِلَى"),
+    ("في", "ADP", "فِي"),
+    ("من", "ADP", "مِنْ"),
+    ("على", "ADP", "عَلَى"),
+    ("عن", "ADP", "عَنْ"),
+    ("حتى", "ADP", "حَتَّى"),
+    ("منذ", "ADP", "مُنْذُ"),
+    ("إن", "PART", "إِنَّ"),
+    ("أن", "PART", "أَنَّ"),
+    ("ما", "PART", "مَا"),
+    ("لا", "PART", "لَا"),
+    ("قد", "PART", "قَدْ"),
+    ("هل", "PART", "هَلْ"),
+    ("لم", "PART", "لَمْ"),
+    ("لن", "PART", "لَنْ"),
+    ("هذا", "DET", "هٰذَا"),
+    ("هذه", "DET", "هٰذِهِ"),
+    ("ذلك", "DET", "ذٰلِكَ"),
+    ("هو", "PRON", "هُوَ"),
+    ("هي", "PRON", "هِيَ"),
+    ("هم", "PRON", "هُمْ"),
+    ("هن", "PRON", "هُنَّ"),
+    ("أنا", "PRON", "أَنَا"),
+    ("نحن", "PRON", "نَحْنُ"),
+    ("أنت", "PRON", "أَنْتَ"),
+    ("أجمل", "VERB", "أَجْمَلَ"),
+    ("أجمل", "ADJ", "أَجْمَل"),
+]
 # ─────────────────────────────────────────────────────────────────────────────────────────────────────────────────────
 
 
@@ -293,11 +316,7 @@ def padded_sentences(featured: DataFrame) -> DataFrame:
 
 def lexicon(spark: SparkSession) -> DataFrame:
     """word, pos, stem, ord: fewer than 200 rows."""
-    rows = []
-    for line in STEMS.strip().splitlines():
-        word, *stems = line.split(" ")
-        rows += [(word, *x.split(":"), i) for i, x in enumerate(stems)]
-    return spark.createDataFrame(rows, "word string, pos string, stem string, ord int")
+    return spark.createDataFrame([(*row, i) for i, row in enumerate(STEMS)], "word string, pos string, stem string, ord int")
 
 
 def looked_up(df: DataFrame, stems: DataFrame | None = None, word: str = "bare", pos: str = "pos") -> DataFrame:

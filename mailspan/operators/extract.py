@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from mailspan.functions.text import all_found, blank, first, found, has, last, lines, units, utrim, whole
 
 # ── Fixed values: word lists and patterns ────────────────────────────────────────────────────────────────────────────
-GERMAN = (
-    "der die das und ist von mit für auf den des ein eine nicht sich auch werden haben sehr geehrte freundlichen grüßen bitte "
-    "betreff straße stadt herrn frau gmbh e.v. bundesrepublik"
-).split()
-ENGLISH = "the and for with from this that have been dear sincerely regards please subject reference".split()
+GERMAN = [
+    "der", "die", "das", "und", "ist", "von", "mit", "für", "auf", "den", "des", "ein", "eine", "nicht", "sich", "auch", "werden", "haben", "sehr",
+    "geehrte", "freundlichen", "grüßen", "bitte", "betreff", "straße", "stadt", "herrn", "frau", "gmbh", "e.v.", "bundesrepublik",
+]
+ENGLISH = [
+    "the", "and", "for", "with", "from", "this", "that", "have", "been", "dear", "sincerely", "regards", "please", "subject", "reference",
+]
 SUBJECT_LINE = r"(betreff|betrifft|subject|re:)\s*[:.]?\s*.+"
 SUBJECT_KEY = r"^(betreff|betrifft|subject|re)\s*[:.]?\s*"
 SUBJECT_TEXT = r"(?:betreff|betrifft|subject)\s*[:.]\s*(.+)"
@@ -33,18 +35,18 @@ MONTHS = "Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|Nove
 LABELLED_DATE = r"(?:datum|date|vom|berlin|münchen|hamburg|köln|frankfurt|stuttgart),?\s*(\d{1,2}\.\s*\d{1,2}\.\s*\d{4})"
 LONG_DATE = rf"(\d{{1,2}}\.\s*(?:{MONTHS})\s*\d{{4}})"
 SHORT_DATE = r"(\d{1,2}\.\d{1,2}\.\d{4})"
-_FREE, _CODE = r"\s*[:.]?\s*([A-Za-z0-9\-/\.\s]{3,30})", r"\s*[:.]?\s*([A-Za-z0-9\-]{3,20})"
+#: (label, pattern), in the order in which they are looked for.
 REFERENCES = (
-    ("File Reference (Aktenzeichen)", r"(?:aktenzeichen|az\.?)" + _FREE),
-    ("Business Reference", r"(?:geschäftszeichen|gz\.?)" + _FREE),
-    ("Our Reference", r"(?:unser zeichen|uns\.?\s*z(?:eichen)?)" + _FREE),
-    ("Your Reference", r"(?:ihr zeichen)" + _FREE),
-    ("Customer Number", r"(?:kunden[\-\s]?nr\.?|kundennummer)" + _CODE),
-    ("Contract Number", r"(?:vertrags[\-\s]?nr\.?|vertragsnummer)" + _CODE),
-    ("Invoice Number", r"(?:rechnungs[\-\s]?nr\.?|rechnungsnummer)" + _CODE),
+    ("File Reference (Aktenzeichen)", r"(?:aktenzeichen|az\.?)\s*[:.]?\s*([A-Za-z0-9\-/\.\s]{3,30})"),
+    ("Business Reference", r"(?:geschäftszeichen|gz\.?)\s*[:.]?\s*([A-Za-z0-9\-/\.\s]{3,30})"),
+    ("Our Reference", r"(?:unser zeichen|uns\.?\s*z(?:eichen)?)\s*[:.]?\s*([A-Za-z0-9\-/\.\s]{3,30})"),
+    ("Your Reference", r"(?:ihr zeichen)\s*[:.]?\s*([A-Za-z0-9\-/\.\s]{3,30})"),
+    ("Customer Number", r"(?:kunden[\-\s]?nr\.?|kundennummer)\s*[:.]?\s*([A-Za-z0-9\-]{3,20})"),
+    ("Contract Number", r"(?:vertrags[\-\s]?nr\.?|vertragsnummer)\s*[:.]?\s*([A-Za-z0-9\-]{3,20})"),
+    ("Invoice Number", r"(?:rechnungs[\-\s]?nr\.?|rechnungsnummer)\s*[:.]?\s*([A-Za-z0-9\-]{3,20})"),
     ("Tax Number", r"(?:steuer[\-\s]?nr\.?|steuernummer)\s*[:.]?\s*([0-9/\-]{5,20})"),
     ("Tax ID", r"(?:steuer[\-\s]?id|steueridentifikationsnummer)\s*[:.]?\s*(\d{11})"),
-    ("Insurance Number", r"(?:versicherungs[\-\s]?nr\.?)" + _CODE),
+    ("Insurance Number", r"(?:versicherungs[\-\s]?nr\.?)\s*[:.]?\s*([A-Za-z0-9\-]{3,20})"),
 )
 IBAN = r"[A-Z]{2}\d{2}[\s]?(?:\d{4}[\s]?){4}\d{0,4}"
 AMOUNT = r"(?:EUR|€)\s*([\d.]+,\d{2})|([\d.]+,\d{2})\s*(?:EUR|€)"
@@ -57,15 +59,15 @@ EMAIL = r"[\w.+-]+@[\w-]+\.[\w.]+"
 PHONES = (r"(?:tel\.?|telefon|fon|phone|mobil)\s*[:.]?\s*([+\d\s\-/()]{8,})", r"(?:fax)\s*[:.]?\s*([+\d\s\-/()]{8,})")
 #: The first type of which a word occurs in the text (an amount and an IBAN make an invoice, too); else an official letter.
 TYPE_WORDS = (
-    ("INVOICE", "rechnung invoice"),
-    ("INVOICE", "mahnung"),
-    ("NOTICE", "bescheid steuerbescheid"),
-    ("NOTICE", "mitteilung benachrichtigung"),
-    ("FORM", "antrag formular ausfüllen"),
-    ("CONTRACT", "vertrag contract vereinbarung"),
-    ("CONTRACT", "kündigung"),
-    ("CERTIFICATE", "zeugnis certificate bescheinigung"),
-    ("RECEIPT", "quittung receipt"),
+    ("INVOICE", ["rechnung", "invoice"]),
+    ("INVOICE", ["mahnung"]),
+    ("NOTICE", ["bescheid", "steuerbescheid"]),
+    ("NOTICE", ["mitteilung", "benachrichtigung"]),
+    ("FORM", ["antrag", "formular", "ausfüllen"]),
+    ("CONTRACT", ["vertrag", "contract", "vereinbarung"]),
+    ("CONTRACT", ["kündigung"]),
+    ("CERTIFICATE", ["zeugnis", "certificate", "bescheinigung"]),
+    ("RECEIPT", ["quittung", "receipt"]),
 )
 DEFAULT_TYPE = "OFFICIAL_LETTER"
 MOST_AMOUNTS, MOST_DEADLINES, PREVIEW_LINES, PREVIEW_CHARS = 5, 3, 5, 500
@@ -121,7 +123,7 @@ def document_type(text: str = "text", paid: str = "false") -> Column:
     """paid: SQL for whether the letter has an amount and an IBAN."""
     cases = []
     for i, (kind, words) in enumerate(TYPE_WORDS):
-        any_word = " or ".join(f"contains(lower({text}), '{w}')" for w in words.split())
+        any_word = " or ".join(f"contains(lower({text}), '{w}')" for w in words)
         cases.append(f"when {any_word}{f' or {paid}' if i == 0 else ''} then '{kind}'")
     return F.expr(f"case {' '.join(cases)} else '{DEFAULT_TYPE}' end")
 

@@ -12,7 +12,7 @@ from mailspan.functions import enums, scalars
 from mailspan.operators import arabic, extract, pipeline, reads, resolve, store, textindex
 from mailspan.plans import oracle as o
 from mailspan.sources import buckets, ingest, layouts, views
-from mailspan.sources.folders import shared_folder, written
+from mailspan.sources.folders import shared_folder, spread
 from mailspan.streaming import arrivals, detail, live, top
 
 _FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -832,17 +832,115 @@ def arabic_case(spark, d):
     return arabic.diacritized(arabic.tokens(_sentences(spark, d)), _predictions(spark, d)).filter("token_idx > 0").select("sentence_id", "token_idx", "relation", "case_name")
 
 
-@query(None)
+_ONE_OF = lambda column, words: f"{column} IN ({', '.join(repr(w) for w in words)})"
+_PRESENT = "(length(bare) >= 3 AND left(bare, 1) IN ('ي', 'ت', 'ن', 'أ') AND NOT starts_with(bare, 'ال'))"
+_NUNATED = lambda a, b: f"CASE WHEN NOT definite AND NOT construct THEN '{a}' ELSE '{b}' END"
+_MARKS_SQL = f"[{''.join(chr(c) for c in (*range(0x64B, 0x656), 0x670, *range(0x617, 0x61B)))}]"
+_LETTERS_SQL = f"{chr(0x621)}-{chr(0x64A)}{chr(0x671)}"
+_CASE_MARKS_SQL = f"[{''.join(chr(c) for c in (*range(0x64B, 0x651), 0x652))}]"
+#: Syntax nodes in SQL, stage by stage.
+_NODES = (
+    _SENT_SQL,
+    f"""n0 AS (SELECT sentence_id, i AS token_idx, word, (sentence_id + i * 7) % 34 AS rel, (sentence_id + i) % 6 AS ck FROM (SELECT * FROM sn UNION ALL SELECT DISTINCT sentence_id, 0, '<ROOT>' FROM sn))""",
+    f"""n1 AS (SELECT *, regexp_replace(word, '{_MARKS_SQL}', '', 'g') AS bare, coalesce({_LIST(arabic.RELATIONS)}[rel + 1], 'dep') AS relation, CASE ck WHEN 1 THEN 'Nom' WHEN 2 THEN 'Acc' WHEN 3 THEN 'Gen' WHEN 4 THEN 'Jus' END AS case_name FROM n0)""",
+    f"""n2 AS (SELECT *, CASE WHEN token_idx = 0 THEN 'X' WHEN relation = 'case' THEN 'ADP' WHEN relation = 'cc' THEN 'CCONJ' WHEN relation = 'mark' THEN 'SCONJ' WHEN relation = 'det' THEN 'DET' WHEN relation = 'punct' THEN 'PUNCT' WHEN relation = 'nummod' THEN 'NUM'
+      WHEN {_ONE_OF("bare", arabic.PARTICLES)} THEN 'PART' WHEN {_ONE_OF("bare", arabic.PREPOSITIONS)} THEN 'ADP' WHEN {_ONE_OF("bare", arabic.CONJUNCTIONS)} THEN 'CCONJ' WHEN {_ONE_OF("bare", arabic.PRONOUNS)} THEN 'PRON'
+      WHEN relation = 'root' OR (bare <> '' AND ({_ONE_OF("bare", arabic.COMMON_VERBS)} OR {_PRESENT} OR (length(bare) = 3 AND NOT starts_with(bare, 'ال')))) THEN 'VERB' WHEN relation = 'amod' THEN 'ADJ' WHEN relation = 'advmod' THEN 'ADV'
+      WHEN relation IN ('xcomp', 'ccomp', 'advcl', 'acl') THEN 'VERB' ELSE 'NOUN' END AS pos FROM n1)""",
+    f"""n3 AS (SELECT *, starts_with(bare, 'ال') AND length(bare) > 2 AS definite, relation IN ('nmod', 'flat', 'compound') AS construct,
+      CASE WHEN ends_with(bare, 'ون') OR ends_with(bare, 'ين') THEN 'sound_masc' WHEN ends_with(bare, 'ات') THEN 'sound_fem' ELSE '' END AS plural_type, CASE WHEN pos <> 'VERB' THEN '' WHEN {_PRESENT} THEN 'pres' ELSE 'past' END AS verb_form FROM n2)""",
+    f"lex AS (SELECT * FROM (VALUES {', '.join(f"('{w}', '{k}', '{t}', {i})" for i, (w, k, t) in enumerate(arabic.STEMS))}) v(w, k, t, i))",
+    """n4 AS (SELECT n3.*, CASE WHEN token_idx = 0 THEN '' ELSE coalesce((SELECT any_value(t) FROM lex WHERE w = bare AND k = pos), (SELECT any_value(t) FROM lex WHERE w = bare AND k = 'NOUN' AND pos IN ('PROPN', 'NUM')), (SELECT min_by(t, i) FROM lex WHERE w = bare), '') END AS stem FROM n3)""",
+    f"""n5 AS (SELECT *, CASE WHEN token_idx = 0 OR case_name IS NULL OR {_ONE_OF("pos", arabic.INDECLINABLE)} THEN NULL
+      WHEN pos IN ('VERB', 'AUX') THEN CASE WHEN verb_form IN ('past', 'imp') THEN NULL WHEN case_name = 'Nom' THEN '{arabic.DAMMA}' WHEN case_name = 'Acc' THEN '{arabic.FATHA}' WHEN case_name = 'Jus' THEN '{arabic.SUKUN}' END
+      WHEN plural_type = 'sound_masc' THEN '{arabic.FATHA}'
+      WHEN plural_type = 'sound_fem' THEN CASE WHEN case_name = 'Nom' THEN {_NUNATED(arabic.DAMMATAN, arabic.DAMMA)} ELSE {_NUNATED(arabic.KASRATAN, arabic.KASRA)} END
+      WHEN ends_with(bare, 'ى') THEN NULL WHEN case_name = 'Nom' THEN {_NUNATED(arabic.DAMMATAN, arabic.DAMMA)} WHEN case_name = 'Acc' THEN {_NUNATED(arabic.FATHATAN, arabic.FATHA)}
+      WHEN case_name = 'Gen' THEN {_NUNATED(arabic.KASRATAN, arabic.KASRA)} WHEN case_name = 'Jus' THEN '{arabic.SUKUN}' END AS ending, CASE WHEN trim(stem) = '' THEN bare ELSE stem END AS base FROM n4)""",
+    f"""n6 AS (SELECT *, regexp_extract(base, '(?s)^(.*[{_LETTERS_SQL}])({_MARKS_SQL}*)([^{_LETTERS_SQL}]*)$', ['head', 'marks', 'tail']) AS cut FROM n5)""",
+    f"""nd AS (SELECT *, CASE WHEN ending IS NULL OR NOT regexp_matches(base, '[{_LETTERS_SQL}]') THEN base
+      ELSE cut.head || CASE WHEN contains(cut.marks, '{arabic.SHADDA}') THEN '{arabic.SHADDA}' || replace(regexp_replace(cut.marks, '{_CASE_MARKS_SQL}', '', 'g'), '{arabic.SHADDA}', '') ELSE regexp_replace(cut.marks, '{_CASE_MARKS_SQL}', '', 'g') END || ending || cut.tail END AS diacritized FROM n6)""",
+)
+
+
+@query(
+    f"""SELECT sentence_id, token_idx::INT AS token_idx, bare AS word, diacritized, pos, coalesce(ending, '') AS case_diacritic,
+      CASE WHEN token_idx = 0 THEN 'root' WHEN trim(stem) <> '' THEN 'lexicon' WHEN NOT regexp_matches(bare, '[ء-ي]') THEN 'passthrough' ELSE 'none' END AS source,
+      CASE case_name WHEN 'Nom' THEN 'مرفوع' WHEN 'Acc' THEN 'منصوب' WHEN 'Gen' THEN 'مجرور' WHEN 'Jus' THEN 'مجزوم' ELSE 'مبني' END AS case_label, relation AS relation_label FROM nd""",
+    *_NODES,
+)
 def arabic_diacritize(spark, d):
     nodes = arabic.diacritized(arabic.tokens(_sentences(spark, d)), _predictions(spark, d))
     return nodes.select("sentence_id", "token_idx", "word", "diacritized", "pos", "case_diacritic", "source", arabic.case_label().alias("case_label"), arabic.relation_label().alias("relation_label"))
 
 
-@query(None)
+@query("SELECT sentence_id, string_agg(diacritized, ' ' ORDER BY token_idx) AS diacritized FROM nd WHERE token_idx > 0 GROUP BY sentence_id", *_NODES)
 def arabic_sentences(spark, d):
     return arabic.sentences_of(arabic.diacritized(arabic.tokens(_sentences(spark, d)), _predictions(spark, d)))
 
 
+# ── notes: each kind of reference, deadline, type and language ───────────────────────────────────────────────────────
+
+_NOTE_REFERENCES = [
+    "Aktenzeichen: A5/{k}", "Geschäftszeichen: G-{k}", "Unser Zeichen: U.{k}", "Ihr Zeichen: I {k}", "Kundennummer: K{k}",
+    "Vertragsnummer: V{k}", "Rechnungs-Nr. R{k}", "Steuernummer: 12/{k}", "Steuer-ID: 00000{k}", "Versicherungs-Nr. P{k}",
+]
+_NOTE_DEADLINES = ["Frist: 05.06.2024", "spätestens 3. März 2024", "innerhalb von 14 Tagen"]
+_NOTE_TYPES = ["Ihre Rechnung", "Letzte Mahnung", "Ein Bescheid", "Eine Mitteilung", "Ein Antrag", "Ein Vertrag", "Die Kündigung", "Ein Zeugnis", "Eine Quittung", "Ein Gruß"]
+_NOTE_LANGUAGES = ["der die das und ist von mit für", "the and for with from this have dear"]
+_ARABIC_NOTE = "مرحبا بكم في المدينة " * 12
+
+
+def _notes(spark: SparkSession, d: str) -> DataFrame:
+    """A short note for each part, its lines chosen by the key."""
+    said = lambda values, n: "element_at(array(" + ", ".join(f"'{v}'" for v in values) + f"), cast(p_partkey % {n} as int) + 1)"
+    reference = f"replace({said(_NOTE_REFERENCES, 10)}, '{{k}}', lpad(cast(p_partkey as string), 6, '0'))"
+    line = [f"concat({reference}, ';')", f"concat({said(_NOTE_DEADLINES, 3)}, ';')", f"concat({said(_NOTE_TYPES, 9)}, ';')", f"if(p_partkey % 7 = 0, '{_ARABIC_NOTE}', {said(_NOTE_LANGUAGES, 2)})"]
+    # the kind of a note goes by p_partkey % 9, and every 27th has none of the words
+    line[2] = f"if(p_partkey % 27 = 0, '{_NOTE_TYPES[9]};', {line[2]})"
+    return spread(views.table(spark, d, "part").select("p_partkey"), "p_partkey").select("p_partkey", F.expr(f"array_join(array({', '.join(line)}), '\\n')").alias("text"))
+
+
+_NOTE_VALUES = ["A5/{k}", "G-{k}", "U.{k}", "I {k}", "K{k}", "V{k}", "R{k}", "12/{k}", "00000{k}", "P{k}"]
+
+
+@query(
+    f"""SELECT p_partkey, {_LIST([label for label, _ in extract.REFERENCES])}[p_partkey % 10 + 1] AS label, replace({_LIST(_NOTE_VALUES)}[p_partkey % 10 + 1], '{{k}}', lpad(p_partkey::VARCHAR, 6, '0')) AS value FROM part"""
+)
+def note_references(spark, d):
+    """Each of the ten references."""
+    return _notes(spark, d).select("p_partkey", F.explode(extract.references()).alias("r")).select("p_partkey", "r.label", "r.value")
+
+
+@query(f"SELECT p_partkey, {_LIST(['05.06.2024', '3. März 2024', '14'])}[p_partkey % 3 + 1] AS deadline FROM part")
+def note_deadlines(spark, d):
+    """Dates in numbers, with the month in words, and terms."""
+    return _notes(spark, d).select("p_partkey", F.explode(extract.deadlines()).alias("deadline"))
+
+
+@query(
+    f"""SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'ar' WHEN p_partkey % 2 = 1 THEN 'en' ELSE 'de' END AS lang,
+      CASE WHEN p_partkey % 10 = 6 THEN 'INVOICE' ELSE CASE least(CASE WHEN p_partkey % 27 = 0 THEN 9 ELSE p_partkey % 9 END, CASE WHEN p_partkey % 10 = 5 THEN 5 ELSE 9 END)
+        WHEN 0 THEN 'INVOICE' WHEN 1 THEN 'INVOICE' WHEN 2 THEN 'NOTICE' WHEN 3 THEN 'NOTICE' WHEN 4 THEN 'FORM' WHEN 5 THEN 'CONTRACT' WHEN 6 THEN 'CONTRACT' WHEN 7 THEN 'CERTIFICATE' WHEN 8 THEN 'RECEIPT' ELSE 'OFFICIAL_LETTER' END END AS documentType FROM part"""
+)
+def note_types(spark, d):
+    """Every row of the type table and the default, in three languages."""
+    return _notes(spark, d).select("p_partkey", extract.language("text").alias("lang"), extract.document_type("text").alias("documentType"))
+
+
+_MONTHS_SQL = _LIST(extract.MONTHS.split("|"))
+_IN_WORDS = f"day(o_orderdate) || '. ' || {_MONTHS_SQL}[month(o_orderdate)] || ' ' || year(o_orderdate)"
+
+
+@query(f"SELECT documentId, {_IN_WORDS} AS date FROM lt", o.LETTERS)
+def extract_date_in_words(spark, d):
+    """Letters whose date has its month in words."""
+    months = "array(" + ", ".join(f"'{m}'" for m in extract.MONTHS.split("|")) + ")"
+    sent = "to_date(regexp_extract(text, 'Datum ([0-9.]+)', 1), 'dd.MM.yyyy')"
+    words = f"regexp_replace(text, 'Datum [0-9.]+', concat('Am ', day({sent}), '. ', element_at({months}, month({sent})), ' ', year({sent})))"
+    return extract.extract(views.letters(spark, d).withColumn("text", F.expr(words))).select("documentId", "date")
+
+
 # ── scalars and ingest ───────────────────────────────────────────────────────────────────────────────────────────────
 
 _INTENT = "CASE " + " ".join(f"WHEN {' OR '.join(f"contains(lower(text), '{w}')" for w in words)} THEN '{name}'" for name, words in scalars.CHAT_INTENTS) + " ELSE 'help' END"
@@ -891,7 +989,16 @@ def document_labels(spark, d):
     return views.documents(spark, d).select("id", scalars.enum_label(F.col("status")).alias("label"), scalars.language_label(F.col("language")).alias("language"))
 
 
-@query(None)
+_TEXT_SQL = lambda lines: "'" + "\n".join(lines).replace("'", "''") + "'"
+
+
+@query(
+    f"""SELECT lt.documentId AS id, array_to_string(list_filter([{_TEXT_SQL(scalars.PROMPT_HEAD)}, '', '## Current Document', 'Title: Letter ' || lt.documentId, 'Type: ' || {_TYPE}, 'Language: de', '', '## Extracted Information', f.told, '',
+      CASE WHEN p.told IS NOT NULL THEN '## Related Profiles' || chr(10) || p.told || chr(10) END, '## Document Full Text', text, '', {_TEXT_SQL(scalars.PROMPT_INSTRUCTIONS)}, ''], lambda x: x IS NOT NULL), chr(10)) AS prompt
+    FROM lt JOIN (SELECT documentId, string_agg('- ' || fieldName || ': ' || fieldValue || ' (' || fieldType || ', confidence: ' || floor((confidence * 100::FLOAT)::FLOAT)::INT || '%)', chr(10) ORDER BY seq) AS told FROM ({_FIELD_SQL}) GROUP BY 1) f ON f.documentId = lt.documentId
+    LEFT JOIN (SELECT ln.documentId, string_agg('- ' || name || ' (' || type || ')' || coalesce(chr(10) || '  Organization: ' || organization, ''), chr(10) ORDER BY name) AS told FROM ln JOIN pr ON pr.id = ln.profileId GROUP BY 1) p ON p.documentId = lt.documentId""",
+    o.LETTERS, o.PROFILES, o.LINKS,
+)
 def prompt_text(spark, d):
     """The context of a chat about a document: its type, fields, parties and text."""
     from mailspan.operators.prompt import document_prompts
