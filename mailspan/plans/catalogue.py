@@ -143,7 +143,7 @@ def conversation_counts(spark, d):
 NEEDLES = (NEEDLE, WILD, "of", "q", "e%r", "_", "a_b", "x%y%z", "THE AND", "zzzqqq", "ü")
 
 
-def _bucketed(df: DataFrame, by: str, *keys: str, n: int = 16) -> buckets.BucketTable:
+def _bucketed(df: DataFrame, by: str, *keys: str, n: int = 8) -> buckets.BucketTable:
     return buckets.BucketTable(shared_folder(df.sparkSession, by), keys, by, df.schema, n).create(df)
 
 
@@ -151,7 +151,7 @@ def _bucketed(df: DataFrame, by: str, *keys: str, n: int = 16) -> buckets.Bucket
 def doc_search_index(spark, d):
     """Many needles at once, from posting lists of trigrams."""
     pages = _bucketed(views.document_pages(spark, d).select("documentId", "pageNumber", "ocrText"), "documentId", "documentId", "pageNumber")
-    return textindex.TrigramIndex(shared_folder(spark, "index"), pages).build(spark).search(spark, list(NEEDLES))
+    return textindex.TrigramIndex(shared_folder(spark, "index"), pages, 16).build(spark).search(spark, list(NEEDLES))
 
 
 def live_detail(spark: SparkSession, d: str) -> tuple[detail.LiveDetail, DataFrame]:
@@ -735,9 +735,9 @@ def match_auto_links(spark, d):
 def match_on_arrival(spark, d):
     """The same links from a stream of parties in three batches, by an index of the profiles."""
     p = views.profiles(spark, d)
-    links = buckets.BucketTable(shared_folder(spark, "links"), ("documentId", "profileId"), "documentId", spark.createDataFrame([], "documentId string, profileId string, role string, createdAt long").schema, 16)
+    links = buckets.BucketTable(shared_folder(spark, "links"), ("documentId", "profileId"), "documentId", spark.createDataFrame([], "documentId string, profileId string, role string, createdAt long").schema, 8)
     links.create(spark.createDataFrame([], links.schema))
-    into = arrivals.Arrivals.over(spark, shared_folder(spark, "index"), _bucketed(p, "id", "id"), links, NOW)
+    into = arrivals.Arrivals.over(spark, shared_folder(spark, "index"), _bucketed(p, "id", "id"), links, NOW, buckets=16)
     source, party = shared_folder(spark, "parties"), _parties(spark, d)
     # both parties of a document come together
     party.repartition(3, F.pmod(F.xxhash64("documentId"), F.lit(3))).write.parquet(source)

@@ -49,8 +49,10 @@ class LiveDetail:
         return reads.detail(part(self.documents).select("id"), part(self.pages), part(self.fields), part(self.events))
 
     def view(self, spark: SparkSession) -> BucketTable:
-        schema = StructType.fromJson(self._of(spark, None).schema.jsonValue()).add("version", LongType())
-        return BucketTable(self.path, ("id",), "id", schema, self.documents.buckets)
+        none = lambda t: spark.createDataFrame([], t.schema)  # noqa: E731  the schema needs no table
+        made = reads.detail(none(self.documents).select("id"), none(self.pages), none(self.fields), none(self.events)).schema
+        schema = spark.createDataFrame([], made.simpleString()).schema  # as a stored table has it: everything may be null
+        return BucketTable(self.path, ("id",), "id", StructType(list(schema)).add("version", LongType()), self.documents.buckets)
 
     def build(self, spark: SparkSession) -> LiveDetail:
         self.view(spark).create(self._of(spark, None).withColumn("version", F.lit(-1)))
