@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,13 +58,31 @@ def phrases(spark):
 
 
 @pytest.mark.parametrize("least,top", [(3, 2000), (20, 5)])
-def test_collocations(spark, phrases, least, top, monkeypatch):
-    monkeypatch.setattr(collocations, "SLOT_BITS", 17)  # few slots: collisions must not matter
+def test_collocations(spark, phrases, least, top):
     df = spark.createDataFrame([(i, t, lang, "s", 1) for i, (t, lang) in enumerate(phrases)], DOCS).withColumns({c: F.lit(1) for c in ("piece", "m", "gram", "c", "k", "w", "_text")})
     got = [tuple(r) for r in collocations.collocations(df, least=least, top=top).collect()]
     assert got and sorted(got) == _plain_collocations(phrases, least, 5, top)
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5])
+def test_grams_under_any_bitmap(n):
+    """A bitmap with all bits, as if everything collided, leaves exact counts of all n-grams; an empty one leaves none."""
+    rng = random.Random(n)
+    rows = Counter((rng.choice(["en", "de"]), " ".join(rng.choice("abc") for _ in range(rng.randrange(1, 9)))) for _ in range(300))
+    batch = pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows]), pa.array([p for _, p in rows]), pa.array(list(rows.values()), pa.int64())], names=["lang", "piece", "m"])
+    want = Counter()
+    for (lang, piece), m in rows.items():
+        w = piece.split(" ")
+        for i in range(len(w) - n + 1):
+            want[lang, " ".join(w[i : i + n])] += m
+    size = (1 << collocations.SLOT_BITS) >> 3
+    for bits, told in ((np.full(size, 255, np.uint8), want), (np.zeros(size, np.uint8), want if n == 1 else {})):
+        got = pa.Table.from_batches(list(collocations.counted(collocations.grams(iter([batch, batch.slice(0, 0)]), n, bits))), collocations._COUNTS).to_pylist()
+        assert {(r["lang"], r["gram"]): r["c"] for r in got} == dict(told)
+    least = list(collocations.counted(collocations.grams(iter([batch]), n, np.full(size, 255, np.uint8)), 5))
+    assert {(r["lang"], r["gram"]) for b in least for r in b.to_pylist()} == {k for k, c in want.items() if c >= 5}
+
+
 def test_collocations_of_nothing(spark, phrases):
     none = spark.createDataFrame([], DOCS)
     assert collocations.collocations(none).isEmpty()
