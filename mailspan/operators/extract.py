@@ -287,6 +287,11 @@ def extract(df: DataFrame, text: str = "text") -> DataFrame:
     return w.drop("_t", "_f", "_refs", "_ibans", "_amounts", "_due", "_preview", "_emails", "_phones", "_blank", "letterhead", "address", "metadata", "subject_line", "body", "footer")
 
 
+def result(extracted: DataFrame, *keys: str) -> DataFrame:
+    """keys and result: all that was found in a letter as one value."""
+    return extracted.select(*keys, F.struct("fields", "documentType", F.col("lang").alias("language"), "sender", "receiver", "date", "subject", "referenceNumbers", "deadline").alias("result"))
+
+
 def fields_long(extracted: DataFrame, *keys: str) -> DataFrame:
     """A row for each field: the keys, seq (from 0), fieldName, fieldValue, fieldType, confidence.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mailspan.functions import enums
 from mailspan.functions.scalars import percent_text
 from mailspan.functions.text import like_any_case
 
@@ -107,6 +108,25 @@ def suggestions_by_state(suggestions: DataFrame) -> DataFrame:
     return suggestions.withColumn("state", F.when(F.col("isAutoLinked"), "auto_linked").otherwise("active")).withColumn("to_link", (F.col("matchType") == "EXACT_MATCH") & ~F.col("isAutoLinked"))
 
 
+DOMAIN = ("id", "title", "status", "documentType", "language", "sourceType", "thumbnailPath", "pageCount", "isFavorite", "createdAt", "modifiedAt")
+
+
+def to_domain(documents: DataFrame) -> DataFrame:
+    """Stored documents as screens know them: an unknown type is none, an unknown status or source an error; how a row is synchronised is not told."""
+    known = {"status": enums.strict(F.col("status"), enums.DOCUMENT_STATUS), "documentType": enums.or_null(F.col("documentType"), enums.DOCUMENT_TYPE), "sourceType": enums.strict(F.col("sourceType"), enums.SOURCE_TYPE)}
+    return documents.select(*[known.get(c, F.col(c)).alias(c) for c in DOMAIN])
+
+
+def to_entity(domain: DataFrame) -> DataFrame:
+    """The way back: what the domain does not know is as in a new row."""
+    return domain.select(*DOMAIN, F.lit("LOCAL").alias("syncStatus"))
+
+
+def fields_to_domain(fields: DataFrame) -> DataFrame:
+    """Stored fields; an unknown type of field is OTHER."""
+    return fields.withColumn("fieldType", enums.or_default(F.col("fieldType"), enums.FIELD_TYPE, "OTHER"))
+
+
 def state_of(rows: DataFrame, error: str | None = None) -> tuple[str, str | None]:
     """What a list shows: `Error`, `Empty` or `Success`."""
     if error is not None:

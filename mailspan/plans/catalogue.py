@@ -726,6 +726,14 @@ def match_type_whole(spark, d):
     return resolve.suggestions(_parties(spark, d), views.profiles(spark, d), broadcast_profiles=0).select("documentId", "role", "profileId", "confidence", "matchType")
 
 
+@query("SELECT documentId, role, CASE WHEN linked THEN 'auto_linked' ELSE 'active' END AS state, matchType = 'EXACT_MATCH' AND NOT linked AS to_link FROM (SELECT *, matchType = 'EXACT_MATCH' AND documentId::BIGINT % 2 = 0 AS linked FROM su)", *_RESOLVED)
+def suggestion_states(spark, d):
+    """What a screen shows of suggestions, of which half of the exact ones were linked before."""
+    s = resolve.suggestions(_parties(spark, d), views.profiles(spark, d))
+    linked = (F.col("matchType") == "EXACT_MATCH") & (F.col("documentId").cast("long") % 2 == 0)
+    return reads.suggestions_by_state(s.withColumn("isAutoLinked", linked)).select("documentId", "role", "state", "to_link")
+
+
 @query("SELECT documentId, profileId, role FROM su WHERE matchType = 'EXACT_MATCH'", *_RESOLVED)
 def match_auto_links(spark, d):
     return resolve.auto_links(resolve.suggestions(_parties(spark, d), views.profiles(spark, d)), NOW).drop("createdAt")
@@ -941,6 +949,30 @@ def extract_date_in_words(spark, d):
     return extract.extract(views.letters(spark, d).withColumn("text", F.expr(words))).select("documentId", "date")
 
 
+@query(f"SELECT id, title, status, CASE WHEN id::BIGINT % 5 <> 0 THEN documentType END AS documentType, sourceType, 'LOCAL' AS syncStatus FROM d", o.DOCUMENTS)
+def document_domain(spark, d):
+    """Stored documents to the domain and back: unknown types and the state of synchronisation are lost."""
+    docs = views.documents(spark, d).withColumn("documentType", F.expr("if(cast(id as bigint) % 5 = 0, lower(documentType), documentType)")).withColumn("syncStatus", F.lit("SYNCED"))
+    return reads.to_entity(reads.to_domain(docs)).select("id", "title", "status", "documentType", "sourceType", "syncStatus")
+
+
+@query(f"SELECT documentId, seq, CASE WHEN documentId::BIGINT % 3 = 0 THEN 'OTHER' ELSE fieldType END AS fieldType FROM ({_FIELD_SQL})", o.LETTERS)
+def field_domain(spark, d):
+    fields = fields_long(spark, d).withColumn("fieldType", F.expr("if(cast(documentId as bigint) % 3 = 0, concat('x', fieldType), fieldType)"))
+    return reads.fields_to_domain(fields).select("documentId", "seq", "fieldType")
+
+
+@query(
+    f"""SELECT documentId, {_TYPE} AS documentType, 'de' AS language, 'Stadtwerke Musterstadt GmbH' AS sender, 'Kunde ' || translate(o_custkey::VARCHAR, '0123456789', 'abcdefghij') AS receiver, sent AS date, subject,
+      CASE WHEN k < 2 THEN 'R-' || lpad(o_orderkey::VARCHAR, 6, '0') ELSE 'K-' || lpad(o_custkey::VARCHAR, 6, '0') END AS reference, due AS deadline, (CASE WHEN k < 2 THEN 13 ELSE 12 END)::BIGINT AS n_fields FROM lt""",
+    o.LETTERS,
+)
+def extraction_result(spark, d):
+    """The result of a letter as one value, taken apart again."""
+    r = extract.result(_letters(spark, d), "documentId")
+    return r.select("documentId", "result.documentType", "result.language", F.col("result.sender.organization").alias("sender"), F.col("result.receiver.name").alias("receiver"), "result.date", "result.subject", F.array_join("result.referenceNumbers", ",").alias("reference"), "result.deadline", F.size("result.fields").cast("long").alias("n_fields"))
+
+
 # ── scalars and ingest ───────────────────────────────────────────────────────────────────────────────────────────────
 
 _INTENT = "CASE " + " ".join(f"WHEN {' OR '.join(f"contains(lower(text), '{w}')" for w in words)} THEN '{name}'" for name, words in scalars.CHAT_INTENTS) + " ELSE 'help' END"
@@ -951,6 +983,29 @@ def chat_intent(spark, d):
     return views.table(spark, d, "conversations").select("conv_id", "turn", scalars.chat_intent(F.col("text")).alias("intent"))
 
 
+@query("SELECT documentId, pageNumber, floor((ocrConfidence * 100::FLOAT)::FLOAT)::INT AS percent, regexp_matches(ocrText, '[؀-ۿݐ-ݿ]') AS arabic FROM pg", o.PAGES)
+def page_marks(spark, d):
+    return views.document_pages(spark, d).select("documentId", "pageNumber", scalars.percent(F.col("ocrConfidence")).alias("percent"), scalars.is_arabic(F.col("ocrText")).alias("arabic"))
+
+
+@query(
+    """SELECT p_partkey, array_to_string(list_transform(string_split(lower(s), ''), lambda c: CASE WHEN c BETWEEN 'a' AND 'z' THEN ord(c) - 54 WHEN c = ' ' THEN 16 WHEN c = '.' THEN 4 WHEN c = '!' THEN 5 WHEN c = '?' THEN 6 WHEN c = ',' THEN 3 ELSE 0 END), ',') AS tokens,
+      array_to_string(list_transform(string_split(s, ''), lambda c: least(ord(c), 255)), ',') AS phonemes FROM (SELECT p_partkey, p_name || ', ' || p_type || '! ſ?' AS s FROM part)"""
+)
+def speech_ids(spark, d):
+    """Token ids and phonemes of a spoken text."""
+    said = views.table(spark, d, "part").select("p_partkey", F.expr("concat(p_name, ', ', p_type, '! ſ?')").alias("s"))
+    joined = lambda c: F.array_join(c.cast("array<string>"), ",")
+    return said.select("p_partkey", joined(scalars.speech_tokens(F.col("s"))).alias("tokens"), joined(scalars.phonemes(F.col("s"))).alias("phonemes"))
+
+
+@query("SELECT vec_id, array_to_string(list_transform(list_filter(embedding, lambda x: x IS NOT NULL), lambda x: printf('%02X%02X', ((trunc(greatest(-1.0, least(1.0, x::DOUBLE)) * 32767)::INT + 65536) % 65536) & 255, ((trunc(greatest(-1.0, least(1.0, x::DOUBLE)) * 32767)::INT + 65536) % 65536) >> 8)), '') AS pcm FROM embeddings WHERE embedding IS NOT NULL")
+def pcm_samples(spark, d):
+    """Vectors as sound: 16-bit samples."""
+    e = views.table(spark, d, "embeddings").filter("embedding is not null")
+    return e.select("vec_id", F.hex(scalars.pcm16(F.filter("embedding", lambda x: x.isNotNull()))).alias("pcm"))
+
+
 #: After the last event.
 _LATE = 1_706_800_000_000
 _AGO = f"({_LATE} - createdAt)"
