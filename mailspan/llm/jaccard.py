@@ -326,8 +326,10 @@ def _agreeing(df: DataFrame, starts: list[int], common: tuple[np.ndarray, np.nda
     shared = df.sparkSession.sparkContext.broadcast((starts, *common[:2]))
     salts = max(1, -(-common[2] // SPLIT_ROWS))
 
-    def packed(sets: list[np.ndarray], names: list[int]) -> pa.RecordBatch:
+    def packed(sets: list[np.ndarray], names: list[int]) -> Iterator[pa.RecordBatch]:
         k, o, guest = batch_keys(sets, *shared.value, salts)
+        if not len(k):  # sets of one or two shingles have no keys
+            return
         k = k & ~_U(1) | guest  # in the lowest bit
         bucket = ((k >> _U(32)) * _U(buckets)) >> _U(32)
         order = np.argsort(bucket * _U(len(sets)) + o.astype(np.uint64), kind="stable")
@@ -338,7 +340,7 @@ def _agreeing(df: DataFrame, starts: list[int], common: tuple[np.ndarray, np.nda
         cells = [(a, b, int(run[a]), int(run[b]) if b < len(run) else len(k)) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(run)], strict=True)]
         five = k.view(np.uint8).reshape(-1, 8)[:, :5]  # 40 of 64 bits; the bucket has others
         columns = [[five[lo:hi].tobytes() for _, _, lo, hi in cells], [counts[a:b].tobytes() for a, b, _, _ in cells], [whose[a:b].tobytes() for a, b, _, _ in cells]]
-        return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64), pa.int64()), *(pa.array(x, pa.binary()) for x in columns)], ["bucket", "keys", "counts", "names"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64), pa.int64()), *(pa.array(x, pa.binary()) for x in columns)], ["bucket", "keys", "counts", "names"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -353,10 +355,10 @@ def _agreeing(df: DataFrame, starts: list[int], common: tuple[np.ndarray, np.nda
                 names.append(node_id(key))
                 held += len(s)
                 if held >= SHINGLES_AT_ONCE:
-                    yield packed(sets, names)
+                    yield from packed(sets, names)
                     sets, names, held = [], [], 0
         if sets:
-            yield packed(sets, names)
+            yield from packed(sets, names)
 
     def meet(cells: pa.Table) -> pa.Table:
         names = np.frombuffer(b"".join(cells["names"].to_pylist()), np.int64)
@@ -366,20 +368,29 @@ def _agreeing(df: DataFrame, starts: list[int], common: tuple[np.ndarray, np.nda
         k = np.zeros((len(c), 8), np.uint8)
         k[:, :5] = np.frombuffer(b"".join(cells["keys"].to_pylist()), np.uint8).reshape(-1, 5)
         k = k.view(np.uint64).reshape(-1)
-        order = np.lexsort((c, k))  # one that is no guest first, if there is one
-        k, c = k[order], c[order]
-        first = np.flatnonzero(np.append(True, k[1:] >> _U(1) != k[:-1] >> _U(1))) if len(k) else np.zeros(0, np.int64)
-        n = np.diff(np.append(first, len(k)))
-        smallest = np.minimum.reduceat(c, first) if len(k) else c
-        head = np.repeat(np.where(k[first] & _U(1), -1, smallest), n)
-        c, head = c[head >= 0], head[head >= 0]
-        pair = np.unique((head * len(ids) + c)[head != c])
-        return pa.table({"src": ids[pair // max(1, len(ids))], "dst": ids[pair % max(1, len(ids))]})
+        src, dst = stars(k, c, len(ids))
+        return pa.table({"src": ids[src], "dst": ids[dst]})
 
     entries = df.select("text").mapInArrow(emit, "bucket long, keys binary, counts binary, names binary")
     return entries.groupBy("bucket").applyInArrow(meet, "src long, dst long").distinct()
 
 
+def stars(k: np.ndarray, c: np.ndarray, n_ids: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the keys `k` (a guest's in the lowest bit) of the codes `c` below `n_ids`: the smallest code of each key that not only
+    guests have, and each other one, every pair once."""
+    order = np.lexsort((c, k))  # one that is no guest first, if there is one
+    k, c = k[order], c[order]
+    first = np.flatnonzero(np.append(True, k[1:] >> _U(1) != k[:-1] >> _U(1))) if len(k) else np.zeros(0, np.int64)
+    n = np.diff(np.append(first, len(k)))
+    smallest = np.minimum.reduceat(c, first) if len(k) else c
+    head = np.repeat(np.where(k[first] & _U(1), -1, smallest), n)
+    c, head = c[head >= 0], head[head >= 0]
+    apart = head != c
+    # products of two codes pass 32 bits
+    pair = np.unique(head[apart].astype(np.int64) * n_ids + c[apart])
+    return pair // max(1, n_ids), pair % max(1, n_ids)
+
+
 def _few(ids: DataFrame) -> DataFrame:
     """For a join: broadcast if it has been counted to be small."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids

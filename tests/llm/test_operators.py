@@ -446,6 +446,19 @@ def test_jaccard(spark, odd, none):
     assert jaccard.near_duplicates(none).isEmpty()
 
 
+def test_jaccard_of_short_texts_alone(spark):
+    rows = [(3, "a b c"), (1, "A  b c"), (2, "x y z"), (4, ""), (5, None), (6, "a b c d e f")]
+    got = sorted(tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect())
+    assert got == [(1, 1, 1), (2, 1, 2), (3, 1, 1), (4, 0, 4), (5, 0, 5), (6, 2, 6)]
+
+
+def test_jaccard_stars_of_many_sets():
+    n = 60_000
+    c = np.arange(n, dtype=np.int32)
+    src, dst = jaccard.stars((c // 2).astype(np.uint64) << np.uint64(1), c, n)
+    assert src.tolist() == list(range(0, n, 2)) and dst.tolist() == list(range(1, n, 2))
+
+
 def test_linked_sets_share_a_key():
     rng = np.random.default_rng(5)
     starts = jaccard.band_starts(2000)
