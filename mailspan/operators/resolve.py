@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mailspan.functions.text import folded, like_column, utrim
+from mailspan.functions.text import folded, like_column, pieces, utrim
+from mailspan.sources.folders import written
 
 EXACT = 0.95
-#: Profiles up to this many rows are broadcast to all needles; beyond, both sides are blocked on trigrams. Needles that hold
-#: no trigram are broadcast up to BROADCAST_NEEDLES.
+#: Profiles up to this many rows are broadcast to all needles; beyond, both sides are blocked on pieces of text. Needles that hold
+#: no literal character are broadcast up to BROADCAST_NEEDLES.
 BROADCAST_PROFILES, BROADCAST_NEEDLES = 2_000, 10_000
+#: Lengths of the pieces: a needle takes the longest that it has between wild characters, so that little else has its rarest one.
+PIECES = (32, 24, 16, 12, 8, 6, 4, 3, 2, 1)
 
 
 def parties(fields: DataFrame) -> DataFrame:
@@ -48,12 +51,6 @@ def confidence(p: str = "p", s: str = "s") -> str:
     return f"cast(if(({n}) = 0, 0D, ({total}) / ({n})) as float)"
 
 
-def _grams(column: str) -> str:
-    """SQL: the distinct trigrams of a text, A-Z folded."""
-    text = folded(column)
-    return f"array_distinct(transform(sequence(1, length({text}) - 2), i -> substring({text}, i, 3)))"
-
-
 def told_needle(party: DataFrame) -> DataFrame:
     """`party` with the needle that is looked for: the organization, or else the name; and whether it is an organization."""
     return party.withColumn("_needle", F.coalesce("organization", "name")).withColumn("_org", F.col("organization").isNotNull())
@@ -63,8 +60,9 @@ def matches(party: DataFrame, profiles: DataFrame, broadcast_profiles: int = BRO
     """needle, org, id: which profiles have which needle in their name, or an organization in their organization.
 
     Each needle is looked for once, however many parties tell it. Few profiles are broadcast, after a count. Many are
-    blocked: all trigrams of a needle without wild characters occur in what it matches, so it is looked for among the
-    profiles with its rarest one. Needles without a trigram of their own meet all profiles.
+    blocked: what a needle matches has all of its pieces without wild characters, so it is looked for among the profiles
+    with the rarest of its longest ones. Pieces of one short length would each occur in a share of all profiles, and the
+    work grow with the square of their number. Needles of wild characters alone meet all profiles.
     """
     needles = told_needle(party).select(F.col("_needle").alias("needle"), F.col("_org").alias("org")).filter("needle is not null").distinct()
     p = profiles.select("id", "name", "organization")
@@ -73,17 +71,26 @@ def matches(party: DataFrame, profiles: DataFrame, broadcast_profiles: int = BRO
     hit = F.expr(f"coalesce({found('name')}, false) or (org and coalesce({found('organization')}, false))")
     if profiles.count() <= broadcast_profiles:
         return needles.join(F.broadcast(p), hit).select("needle", "org", "id")
-    parts = f"filter(if(length(needle) < 3, cast(array() as array<string>), {_grams('needle')}), g -> not g rlike '[%_]')"
-    needles = needles.withColumn("grams", F.expr(parts))
-    both = "concat(coalesce(name, ''), '\\0', coalesce(organization, ''))"
-    index = p.filter(f"length({both}) > 2").withColumn("gram", F.explode(F.expr(_grams(both))))
-    asked = needles.select("needle", "org", F.explode("grams").alias("gram"))
-    often = index.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = asked.join(often, "gram", "left").groupBy("needle", "org").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"))
-    blocked = rarest.join(index, "gram").filter(hit).select("needle", "org", "id")
-    loose = needles.filter("size(grams) = 0").drop("grams")
-    loose = F.broadcast(loose) if loose.count() <= BROADCAST_NEEDLES else loose
-    return blocked.union(p.join(loose, hit).select("needle", "org", "id"))
+    longest = "array_max(transform(split(needle, '[%_]'), x -> length(x)))"
+    size = f"case {' '.join(f'when {longest} >= {n} then {n}' for n in PIECES)} else 0 end"
+    needles = written(needles.withColumn("size", F.expr(size)), "needles")
+    found = blocked(needles, p).filter(hit).select("needle", "org", "id")
+    loose = needles.filter("size = 0").select("needle", "org")
+    n = loose.count()
+    return found.union(p.join(F.broadcast(loose) if n <= BROADCAST_NEEDLES else loose, hit).select("needle", "org", "id")) if n else found
+
+
+def blocked(needles: DataFrame, profiles: DataFrame) -> DataFrame:
+    """needle, org, id, name, organization: the profiles that have the rarest piece of a needle, a piece of its `size`."""
+    sizes = sorted(r.size for r in needles.filter("size > 0").select("size").distinct().collect())  # no more than there are lengths
+    own = f"case size {' '.join(f'when {n} then {pieces("needle", n)}' for n in PIECES)} end"
+    asked = needles.filter("size > 0").select("needle", "org", F.explode(F.array_distinct(F.expr(f"filter({own}, x -> not x rlike '[%_]')"))).alias("piece"))
+    both = F.expr(r"concat(coalesce(name, ''), '\0', coalesce(organization, ''))")
+    every = F.expr(f"array_distinct(concat(cast(array() as array<string>), {', '.join([pieces('_both', n) for n in sizes] or ['array()'])}))")
+    index = profiles.withColumn("_both", both).withColumn("piece", F.explode_outer(every)).filter("piece is not null").drop("_both")
+    often = index.groupBy("piece").agg(F.count("*").alias("n"))
+    rarest = asked.join(often, "piece", "left").groupBy("needle", "org").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("piece"))
+    return rarest.join(index, "piece").drop("piece")
 
 
 def candidates(party: DataFrame, profiles: DataFrame, broadcast_profiles: int = BROADCAST_PROFILES) -> DataFrame:
