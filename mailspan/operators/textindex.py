@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailspan.functions.text import folded, like_column
+from mailspan.functions.text import folded, like_column, pieces
 from mailspan.sources.buckets import BucketTable
 from mailspan.sources.folders import dealt, written
 
@@ -41,11 +41,12 @@ def demanded(needle: str) -> tuple[list[str], str | None]:
 
 @dataclass(frozen=True)
 class TrigramIndex:
-    """Posting lists below `path` for the pages in `pages` (bucketed by documentId)."""
+    """Posting lists below `path` for the pages in `pages` (bucketed by documentId): of trigrams, and of stretches of the lengths in `longer`."""
 
     path: str
     pages: BucketTable
     buckets: int = 64
+    longer: tuple[int, ...] = ()
 
     def _bucket(self, column: str = "gram"):
         return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int")
@@ -62,7 +63,8 @@ class TrigramIndex:
         text = pages.filter("ocrText <> ''").select("documentId", "pageNumber", F.expr(folded("ocrText")).alias("t"))
         # a look ahead from each place, so that a text is read once, however long it is
         grams = F.expr("regexp_extract_all(padded, r'(?s)(?=(...))', 1)")
-        postings = text.withColumn("padded", F.concat("t", F.lit(PAD))).select(F.explode(F.array_distinct(grams)).alias("gram"), "documentId", F.col("pageNumber").cast("int").alias("pageNumber")).withColumn("bucket", self._bucket())
+        each = F.concat(grams, *(F.expr(pieces("t", n)) for n in self.longer))
+        postings = text.withColumn("padded", F.concat("t", F.lit(PAD))).select(F.explode(F.array_distinct(each)).alias("gram"), "documentId", F.col("pageNumber").cast("int").alias("pageNumber")).withColumn("bucket", self._bucket())
         # sorted by trigram, so that a list is a run of rows, and row groups are skipped by their statistics
         rows = dealt(postings, "bucket").sortWithinPartitions("bucket", "gram", "documentId", "pageNumber")
         rows.write.mode(mode).partitionBy("bucket").parquet(f"{self.path}/postings")
@@ -97,7 +99,7 @@ class TrigramIndex:
         short = {needle: s for needle, (_, s) in asked.items() if s is not None}
         if short:  # any trigram that begins with the stretch will do: found in the dictionary
             some = spark.createDataFrame(list(short.items()), "needle string, stretch string")
-            words = self._read(spark, "counts", _COUNT)
+            words = self._read(spark, "counts", _COUNT).filter("length(gram) = 3")
             begins = words.join(F.broadcast(some), F.col("gram").startswith(F.col("stretch")))  # as many rows as needles
             out = out.unionByName(begins.select("needle", "gram", F.lit(1).alias("wanted")))
         return out, [needle for needle, (grams, s) in asked.items() if not grams and s is None]
@@ -121,16 +123,26 @@ class TrigramIndex:
             out = out.unionByName(self.pages.read(spark).select("documentId", "pageNumber", "ocrText").crossJoin(F.broadcast(none)))
         return out.filter(F.expr(like_column("ocrText", "needle"))).select("needle", "documentId").distinct()
 
-    def containing(self, spark: SparkSession, needles: DataFrame) -> DataFrame:
-        """needle, documentId, pageNumber for a table of distinct needles (needle): each is looked up by its rarest trigram. The buckets of all
-        their trigrams are read, and of the pages those of candidates."""
-        parts = f"filter(regexp_extract_all({folded('needle')}, r'(?s)(?=(...))', 1), g -> not g rlike '[%_]')"
-        asked = written(needles.select("needle", F.explode_outer(F.array_distinct(F.expr(parts))).alias("gram")).withColumn("bucket", self._bucket()), "asked")
+    def asked(self, needles: DataFrame) -> DataFrame:
+        """needle, gram, bucket: the longest stretches of each needle that the index has lists of; null where there are none."""
+        whole = "array_max(transform(split(needle, '[%_]'), x -> length(x)))"
+        sizes = [f"when {whole} >= {n} then {pieces('needle', n)}" for n in sorted(self.longer, reverse=True)]
+        parts = f"filter(case {' '.join(sizes)} when true then {pieces('needle', 3)} end, g -> not g rlike '[%_]')"
+        return written(needles.select("needle", F.explode_outer(F.array_distinct(F.expr(parts))).alias("gram")).withColumn("bucket", self._bucket()), "asked")
+
+    def candidates(self, spark: SparkSession, asked: DataFrame) -> DataFrame:
+        """needle, documentId, pageNumber of the pages in the shortest list of each needle."""
         of = [r.bucket for r in asked.filter("gram is not null").select("bucket").distinct().collect()]  # at most `buckets` numbers
         inside = lambda what, schema: self._read(spark, what, schema).filter(F.col("bucket").isin(of))
         often = asked.filter("gram is not null").join(inside("counts", _COUNT), ["bucket", "gram"], "left")
         rarest = often.groupBy("needle").agg(F.min_by(F.struct("bucket", "gram"), F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).select("needle", "g.*")
-        found = written(rarest.join(inside("postings", _POSTING), ["bucket", "gram"]).select("needle", "documentId", "pageNumber"), "candidates")
+        return written(rarest.join(inside("postings", _POSTING), ["bucket", "gram"]).select("needle", "documentId", "pageNumber"), "candidates")
+
+    def containing(self, spark: SparkSession, needles: DataFrame) -> DataFrame:
+        """needle, documentId, pageNumber for a table of distinct needles (needle): each is looked up by the rarest of its longest stretches. The
+        buckets of all of these are read, and of the pages those of candidates."""
+        asked = self.asked(needles)
+        found = self.candidates(spark, asked)
         pages = self.pages.read(spark, self.pages.touched(found)).select("documentId", "pageNumber", "ocrText")
         out = pages.join(found, ["documentId", "pageNumber"]).filter(F.expr(like_column("ocrText", "needle")))
         # needles without a trigram of their own meet all pages, as nothing tells them apart

@@ -14,6 +14,8 @@ from mailspan.sources.buckets import BucketTable
 from mailspan.sources.folders import written
 from mailspan.streaming.live import changes, observed
 
+#: Names are looked up by stretches of these lengths where they are long enough, else by trigrams.
+STRETCHES = (8, 16)
 #: A profile's texts as pages of the index.
 NAME, ORGANIZATION = 1, 2
 TEXTS = "documentId string, pageNumber int, ocrText string"
@@ -38,7 +40,7 @@ class Arrivals:
         """A new index at `path` over the stored profiles."""
         schema = spark.createDataFrame([], TEXTS).schema
         told = BucketTable(f"{path}/texts", ("documentId", "pageNumber"), "documentId", schema, profiles.buckets).create(texts(profiles.read(spark)))
-        return Arrivals(profiles, TrigramIndex(f"{path}/index", told, buckets).build(spark), links, now)
+        return Arrivals(profiles, TrigramIndex(f"{path}/index", told, buckets, STRETCHES).build(spark), links, now)
 
     def learn(self, rows: DataFrame) -> None:
         """Profiles that are new or changed, with their texts and postings; letters that come later are matched with them."""

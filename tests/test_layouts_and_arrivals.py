@@ -2,6 +2,8 @@
 
 import os
 import random
+import re
+import tempfile
 
 import numpy as np
 import pytest
@@ -155,3 +157,32 @@ def test_a_file_over_2_gib_is_cut(tmp_path):
     assert len(parts) == 48 and sum(p.value[2] for p in parts) == 3 << 20
     last = list(reader.read(ingest.InputPartition((*parts[-1].value[:1], (3 << 20) - 5, 5))))
     assert last[0].column(2).to_pylist()[-1] == [7.0] * 256 and last[0].column(1).to_pylist()[-1] == (3 << 20) - 1
+
+
+def _like(text, needle):
+    fold = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x)
+    pattern = "".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in fold(needle))
+    return text is not None and re.search(pattern, fold(text), re.S) is not None
+
+
+def test_needles_of_all_lengths_are_matched_by_blocks(spark):
+    names = ["Amt", "a", "", "Stadt Köln 😀 am Rhein", "x" * 70 + "Y", "per 100%", "under_score", "Ministerium für Digitales und Verkehr", None]
+    p = spark.createDataFrame([(str(i), n, names[-1 - i]) for i, n in enumerate(names)], "id string, name string, organization string")
+    told = ["a", "AM", "amt", "Köln", "😀 am", "x" * 33, "x" * 71, "y", "%", "_", "", "%%a%", "r_c", "100%", "minister%verkehr", "für digitales und verk", "zz", "t", "Stadt KöLN 😀 am Rhein"]
+    s = spark.createDataFrame([(str(i), "SENDER", None if i % 2 else n, n if i % 2 else None) for i, n in enumerate(told * 2 + ["Ä"])], "documentId string, role string, organization string, name string")
+    rows = {(r.organization or r.name or "", r.organization is not None) for r in s.collect()}
+    want = {(n, org, r.id) for n, org in rows for r in p.collect() if _like(r.name, n) or org and _like(r.organization, n)}
+    assert {tuple(r) for r in resolve.matches(s, p, 0).collect()} == want
+
+
+def test_blocks_of_numbered_names_are_small(spark):
+    n = 3_000
+    p = spark.range(n).selectExpr("cast(id as string) as id", "concat('Customer#', lpad(id, 9, '0')) as name", "cast(null as string) as organization")
+    needles = p.selectExpr("name as needle", "false as org", "16 as size")
+    # by trigrams each name would meet a share of all the others
+    assert resolve.blocked(needles, p).count() <= 2 * n
+    links = BucketTable(tempfile.mkdtemp() + "/links", ("documentId", "profileId"), "documentId", spark.createDataFrame([], "documentId string, profileId string, role string, createdAt long").schema, 2)
+    into = Arrivals.over(spark, tempfile.mkdtemp(), BucketTable(tempfile.mkdtemp() + "/profiles", ("id",), "id", p.schema, 2).create(p), links, 1, 2)
+    rarest = into.index.candidates(spark, into.index.asked(needles.select("needle")))
+    assert rarest.count() <= 2 * n
+    assert into.index.containing(spark, needles.select("needle")).count() == n
