@@ -186,3 +186,14 @@ def test_blocks_of_numbered_names_are_small(spark):
     rarest = into.index.candidates(spark, into.index.asked(needles.select("needle")))
     assert rarest.count() <= 2 * n
     assert into.index.containing(spark, needles.select("needle")).count() == n
+
+
+def test_processing_can_keep_what_it_extracted(spark):
+    docs, pages = catalogue._pending(spark, SMALL)
+    kept, anew = (pipeline.process(docs, pages, 1, keep=k) for k in (True, False))
+    for part in ("fields", "documents", "events"):
+        one, two = getattr(kept, part), getattr(anew, part)
+        # regular expressions are the extraction's alone, so each letter is read once for all parts
+        plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_extract_all" not in plan(one)
+        assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
