@@ -93,3 +93,30 @@ def test_fields_keep_their_order(spark):
     df = spark.createDataFrame([(1, G1)], "id int, text string")
     got = extract.fields_long(extract.extract(df), "id").agg(F.max("seq").alias("m"), F.count("*").alias("n")).first()
     assert (got.m, got.n) == (11, 12)
+
+
+def test_patterns_of_all_texts_do_not_ignore_case(spark):
+    """Numbers and spans are looked for in the folded text, by patterns that cost far less there."""
+    df = spark.createDataFrame([("x",)], "t string")
+    for make in (extract.phones, extract.amounts):
+        assert "(?iU)" not in df.select(make("t"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize(
+    "make, text, expected",
+    [
+        (extract.deadlines, "FRİST: 1.2.2023, frıst 3.2.2023, SPÄTEſTENS 2. MAI 2020", ["1.2.2023", "3.2.2023", "2. MAI 2020"]),
+        (extract.phones, "TELEFON 089 123456\nFAX: +49 30 1234567", ["089 123456", "+49 30 1234567"]),
+        (extract.amounts, "7,00\neur und ٥,١٢ €, EUR\n\n3,50", ["7,00 €", "٥,١٢ €", "3,50 €"]),
+        (extract.emails, None, None),
+    ],
+)
+def test_lists_fold_as_the_patterns_do(spark, make, text, expected):
+    assert spark.createDataFrame([(text,)], "t string").select(make("t").alias("x")).first().x == expected
+
+
+def test_references_of_odd_bytes_and_letters(spark):
+    df = spark.createDataFrame([("İİİ\nKUNDENNUMMER: A-1 ",), ("ÄÖ Rechnungſ-Nr. R55",)], "text string")
+    df = df.union(df.limit(1).selectExpr("cast(concat(unhex('E282FFC3'), encode('\nKundennummer: K-7\n', 'UTF-8')) as string)"))
+    got = [r.referenceNumbers for r in extract.extract(df).select("referenceNumbers").collect()]
+    assert got == [["A-1"], ["R55"], ["K-7"]]
