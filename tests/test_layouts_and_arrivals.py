@@ -95,6 +95,15 @@ def test_bad_rows_harm_no_other(spark):
         assert told == sorted(told) and told[0] == 0 and (told[-1] == 1) == (doc not in failed)
 
 
+def test_bad_rows_are_looked_for_once(spark):
+    d = spark.createDataFrame([("a", "PROCESSING", None)], "id string, status string, documentType string")
+    pages = spark.createDataFrame([("a", "x"), ("b", "y")], "documentId string, ocrText string")
+    good, bad = pipeline.contained(d, pages)
+    assert [r.id for r in good.collect()] == ["a"] and [r.documentId for r in bad.collect()] == ["b"]
+    for part in (good, bad):
+        assert "no such document" not in part._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_progress_of_a_running_job(spark, tmp_path):
     for i in range(4):
         spark.range(10 * (i + 1)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
