@@ -29,7 +29,8 @@ CLASSES, LEAST_FEATURES = ((0, 4), (24, 4), (48, 8), (96, 16)), 3
 FEATURES = 96
 #: Edit distances are first summed over aligned pieces of so many characters, which bounds that of a longer line from above
 #: in time linear in its length; what this bound does not accept is compared whole. A line of one piece is exact at once.
-PIECE = 512
+#: Lines up to LONG characters are compared whole at once.
+PIECE, LONG = 512, 2048
 #: Anchors: the longest words of a line, as these are rare. A line has as many as can be touched by the edits that are
 #: allowed and one more, but of words under ANCHOR_LETTERS letters only as many as make ANCHORS in all.
 ANCHORS, ANCHOR_LETTERS = 16, 8
@@ -108,20 +109,42 @@ def edits(x: str, y: str) -> str:
     return f"aggregate({each}, 0, (t, s) -> t + if(s.d >= 0, s.d, s.n))"
 
 
+def walked(x: str, y: str, limit: str) -> str:
+    """SQL: an upper bound of the edit distance of `x` and `y`, over `limit` if it stops early: their words are walked through side
+    by side, and one or two words that only one of them has are stepped over."""
+    xs, get = f"split({x}, ' ')", lambda k: f"get(ys, t.c + {k})"
+    state = lambda c, d: f"named_struct('c', t.c + {c}, 'd', t.d + {d}, 'l', t.l)"
+    whole = lambda w: f"length({w}) + 1"  # noqa: E731  with its blank
+    change = f"levenshtein(s.w, {get(0)}, t.l - t.d)"
+    step = f"""case when t.d > t.l then t
+        when s.w = {get(0)} then {state(1, 0)}
+        when {get(0)} is null then {state(0, whole("s.w"))}
+        when s.w = {get(1)} then {state(2, whole(get(0)))}
+        when s.v = {get(0)} then {state(0, whole("s.w"))}
+        when s.w = {get(2)} then {state(3, f"{whole(get(0))} + {whole(get(1))}")}
+        when s.u = {get(0)} then {state(0, whole("s.w"))}
+        else {state(1, f"if({change} < 0, t.l + 1, {change})")} end"""
+    rest = "t.d + if(t.c < size(ys), length(array_join(slice(ys, t.c + 1, size(ys)), ' ')) + 1, 0)"
+    ahead = "transform(xs, (w, i) -> named_struct('w', w, 'v', get(xs, i + 1), 'u', get(xs, i + 2)))"
+    start = f"named_struct('c', 0, 'd', 0, 'l', cast({limit} as int))"
+    # each list is made once, as the variable of a lambda
+    one = f"transform(array(split({y}, ' ')), ys -> aggregate({ahead}, {start}, (t, s) -> {step}, t -> {rest}))[0]"
+    return f"transform(array({xs}), xs -> {one})[0]"
+
+
 def similar(x: str, y: str) -> str:
     """SQL: whether the edit distance of `x` and `y` is within the limit.
 
-    Quick answers first, each a bound of the distance: lines of as many words differ in no more than their words do, one by
-    one, and lines of several pieces in no more than these; an edit takes away no more than three of a line's sequences of
-    three characters. What they leave open is compared whole.
+    Quick answers first, each a bound of the distance: a walk through the words of both; for long lines an edit takes away no
+    more than three of a line's sequences of three characters, and lines differ in no more than their pieces do. What they
+    leave open is compared whole; of shorter lines that costs no more than these two bounds would.
     """
     limit = f"((100 - {SIMILARITY}) * greatest(length({x}), length({y})) div 100)"
-    one_by_one = f"aggregate(zip_with(split({x}, ' '), split({y}, ' '), (a, b) -> if(a = b, 0, levenshtein(a, b))), 0, (t, d) -> t + d)"
-    words = f"if(length(replace({x}, ' ', '')) - length({x}) = length(replace({y}, ' ', '')) - length({y}), {one_by_one} <= {limit}, false)"
+    long = f"greatest(length({x}), length({y})) > {LONG}"
     grams = lambda c: f"array_distinct(regexp_extract_all({c}, r'(?s)(?=(...))', 1))"
-    other = f"size(array_except({grams(x)}, {grams(y)})) > 3 * {limit}"
-    pieces = f"length({x}) > {PIECE} and {edits(x, y)} <= {limit}"
-    return f"case when {words} then true when {other} then false when {pieces} then true else levenshtein({x}, {y}, cast({limit} as int)) >= 0 end"
+    other = f"{long} and size(array_except({grams(x)}, {grams(y)})) > 3 * {limit}"
+    pieces = f"{long} and {edits(x, y)} <= {limit}"
+    return f"case when {walked(x, y, limit)} <= {limit} then true when {other} then false when {pieces} then true else levenshtein({x}, {y}, cast({limit} as int)) >= 0 end"
 
 
 def _few(rows: DataFrame, lists: str | None = None) -> DataFrame:
