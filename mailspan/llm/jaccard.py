@@ -35,7 +35,7 @@ SHINGLE = 5
 #: Linked: 7 * common >= 3 * (a + b), which is 100 * common >= 75 * union.
 #: Shingles whose keys meet in one bucket; shingles whose keys are made at a time; members of a star that are compared at a
 #: time; members, and bytes of their sketches, that one task compares.
-SHINGLES_A_BUCKET, SHINGLES_AT_ONCE, CHUNK, MEMBERS_A_TASK, SKETCHES_A_TASK = 1_000_000, 400_000, 2048, 50_000, 32 << 20
+SHINGLES_A_BUCKET, SHINGLES_AT_ONCE, CHUNK, MEMBERS_A_TASK, SKETCHES_A_TASK = 250_000, 400_000, 2048, 50_000, 32 << 20
 #: Shingles that so many rows hold are common, the most common first and no more than MOST_COMMON of them; from one level to
 #: the next they may be LEVEL times as common. That decides how fast the join is, never what it finds.
 COMMON_ROWS, LEVEL, MOST_COMMON, HELD_SHINGLES = 8, 16, 1_000_000, 4_000_000
@@ -360,26 +360,33 @@ def _agreeing(df: DataFrame, starts: list[int], common: tuple[np.ndarray, np.nda
         if sets:
             yield from packed(sets, names)
 
-    def meet(cells: pa.Table) -> pa.Table:
-        names = np.frombuffer(b"".join(cells["names"].to_pylist()), np.int64)
-        counts = np.frombuffer(b"".join(cells["counts"].to_pylist()), np.uint32)
-        ids, code = np.unique(names, return_inverse=True)
-        c = np.repeat(code.astype(np.int32), counts)
-        k = np.zeros((len(c), 8), np.uint8)
-        k[:, :5] = np.frombuffer(b"".join(cells["keys"].to_pylist()), np.uint8).reshape(-1, 5)
-        k = k.view(np.uint64).reshape(-1)
-        src, dst = stars(k, c, len(ids))
-        return pa.table({"src": ids[src], "dst": ids[dst]})
-
     entries = df.select("text").mapInArrow(emit, "bucket long, keys binary, counts binary, names binary")
     return entries.groupBy("bucket").applyInArrow(meet, "src long, dst long").distinct()
 
 
+def meet(cells: pa.Table) -> pa.Table:
+    """The stars, as pairs of ids (src, dst), of the keys of one bucket: keys of five bytes, of each set of a cell so many as counts says."""
+    end_to_end = lambda c, kind: np.frombuffer(b"".join(x.as_buffer() for x in cells[c]), kind)
+    ids, code = np.unique(end_to_end("names", np.int64), return_inverse=True)
+    c = np.repeat(code.astype(np.int32), end_to_end("counts", np.uint32))
+    k = np.zeros((len(c), 8), np.uint8)
+    k[:, :5] = end_to_end("keys", np.uint8).reshape(-1, 5)
+    src, dst = stars(k.view(np.uint64).reshape(-1), c, len(ids))
+    return pa.table({"src": ids[src], "dst": ids[dst]})
+
+
 def stars(k: np.ndarray, c: np.ndarray, n_ids: int) -> tuple[np.ndarray, np.ndarray]:
     """For the keys `k` (a guest's in the lowest bit) of the codes `c` below `n_ids`: the smallest code of each key that not only
     guests have, and each other one, every pair once."""
-    order = np.lexsort((c, k))  # one that is no guest first, if there is one
-    k, c = k[order], c[order]
+    # one that is no guest first, if there is one
+    if len(k) and n_ids <= 1 << 24 and not int(k.max()) >> 40:  # both fit into 64 bits, which are sorted in place
+        k = k << _U(24) | c.astype(np.uint64)
+        k.sort()
+        c = (k & _U((1 << 24) - 1)).astype(np.int32)
+        k >>= _U(24)
+    else:
+        order = np.lexsort((c, k))
+        k, c = k[order], c[order]
     first = np.flatnonzero(np.append(True, k[1:] >> _U(1) != k[:-1] >> _U(1))) if len(k) else np.zeros(0, np.int64)
     n = np.diff(np.append(first, len(k)))
     smallest = np.minimum.reduceat(c, first) if len(k) else c
