@@ -40,13 +40,15 @@ class LiveDetail:
     def _of(self, spark: SparkSession, ids: DataFrame | None) -> DataFrame:
         """The detail of these documents (of all without `ids`), from their buckets."""
 
-        def part(t: BucketTable) -> DataFrame:
-            if ids is None:
+        def part(t: BucketTable, of: DataFrame | None) -> DataFrame:
+            if of is None:
                 return t.read(spark)
-            named = ids.withColumnRenamed("id", t.by)
+            named = of.withColumnRenamed("id", t.by)
             return t.read(spark, t.touched(named)).join(named, t.by, "left_semi")
 
-        return reads.detail(part(self.documents).select("id"), part(self.pages), part(self.fields), part(self.events))
+        # what hangs on no document is never gathered
+        shown = written(part(self.documents, ids).select("id"), "shown")
+        return reads.detail(shown, part(self.pages, shown), part(self.fields, shown), part(self.events, shown))
 
     def view(self, spark: SparkSession) -> BucketTable:
         none = lambda t: spark.createDataFrame([], t.schema)  # noqa: E731  the schema needs no table
